@@ -16,7 +16,7 @@ def as_column(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Drop leading and trailing white space of every kind (``trim`` drops blanks only)."""
-    return F.regexp_replace(as_column(value), r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(as_column(value), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def or_default(value: Column | str, default: str) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.text import longer_than, strip
+from ..sources.storage import stage
 
 PAGES_PER_BUCKET = 256
 
@@ -56,20 +57,26 @@ def _mark(text: Column) -> Column:
 def _with_borders(buckets: DataFrame) -> DataFrame:
     """Buckets whose texts concatenate to the document, each starting where no header is open.
 
+    The joined page texts are written once: the border tables then read a few short columns only, and the
+    texts are neither shuffled nor searched again.
+
     A bucket without any line break that surely lies outside a header cannot tell where its own headers
     start. Such loose buckets (a single line, as a rule) move whole to the next bucket that can.
     """
     # a tail is looked for behind the last header only: a header's title keeps all it holds
     free = F.substring_index(_mark(F.concat("text", F.lit("\n"))), _BODY, -1)
     tail = F.regexp_extract(F.regexp_replace(free, r"\n\z", ""), _TAIL, 0)
-    tailed = buckets.withColumn("tail", F.when(F.col("text").rlike(_TAIL), tail).otherwise(""))
+    tailed = stage(buckets.withColumns({
+        "tail": F.when(F.col("text").rlike(_TAIL), tail).otherwise(""),
+        "line": F.when(~F.col("text").rlike(_SAFE_BREAK), F.col("text")),
+    }), "pages")
 
     order = W.partitionBy("doc_id").orderBy("bucket")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
     loose = F.col("line").isNotNull() & ~F.col("is_last")
     moved_lines = F.collect_list(F.when(loose, F.struct(F.col("bucket").alias("at"), F.col("line").alias("text"))))
     runs = (
-        tailed.select("doc_id", "bucket", "tail", F.when(~F.col("text").rlike(_SAFE_BREAK), F.col("text")).alias("line"))
+        tailed.select("doc_id", "bucket", "tail", "line")
         .withColumn("is_last", F.lead("bucket").over(order).isNull())
         .withColumn("run", F.coalesce(F.sum(F.when(loose, 0).otherwise(1)).over(earlier), F.lit(0)))
         .groupBy("doc_id", "run")
@@ -91,13 +98,12 @@ def _with_borders(buckets: DataFrame) -> DataFrame:
     return tailed.join(borders, ["doc_id", "bucket"]).select("doc_id", "bucket", F.concat(front, body).alias("text"))
 
 
-def _segments(text: Column) -> Column:
-    """One struct per header found, after a first struct for the text before any header."""
-    pieces = F.split(_mark(text), _START)
+def _segments(pieces: str) -> Column:
+    """One struct per piece: a first one for the text before any header, then one per header."""
 
     def cut(piece: Column, index: Column) -> Column:
         head, body = F.substring_index(piece, _BODY, 1), F.substring_index(piece, _BODY, -1)
-        following = F.get(pieces, index + 1)
+        following = F.get(F.col(pieces), index + 1)
         # a stop may need the first letter of the next header ("7. Section 8. ...")
         visible = F.concat(body, F.coalesce(F.substring(following, 1, 1), F.lit("")))
         before_stop = F.get(F.split(visible, _STOP, 2), F.lit(0))
@@ -118,7 +124,11 @@ def split_sections(pages: DataFrame, min_body: int = fixed.MIN_SECTION_BODY) ->
 
     ``pages`` has doc_id, page_number and trimmed, non-empty raw_text (see ``clean_pages``).
     """
-    cut = _with_borders(_page_buckets(pages)).select("doc_id", "bucket", _segments(F.col("text")).alias("segments"))
+    pieces = F.split(_mark(F.col("text")), _START).alias("pieces")
+    cut = (
+        _with_borders(_page_buckets(pages)).select("doc_id", "bucket", pieces)
+        .select("doc_id", "bucket", _segments("pieces").alias("segments"))
+    )
     last = F.element_at("segments", -1)
     # what the next bucket inherits: this bucket's open section, nothing (-1), or what came before (null)
     leaves_open = (
@@ -130,7 +140,7 @@ def split_sections(pages: DataFrame, min_body: int = fixed.MIN_SECTION_BODY) ->
         "doc_id", "bucket", F.last("open", ignorenulls=True).over(earlier).alias("carry")
     )
     parts = cut.join(carried, ["doc_id", "bucket"]).select(
-        "doc_id", "bucket", "carry", F.explode("segments").alias("s")
+        "doc_id", "bucket", "carry", F.explode_outer("segments").alias("s")
     )
     own = F.col("s.index") > 0
     owned = parts.select(

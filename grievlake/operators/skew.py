@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Any key holding at least this share of all rows counts as hot, so there are at most 1/share of them.
@@ -17,10 +17,6 @@ ROWS_PER_SALT = 100_000
 BROADCAST_ROWS = 50_000
 
 
-def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def hot_keys(counts: DataFrame, keys: list[str], weight: str, floor: int = HOT_FLOOR) -> DataFrame:
     """Keys with their number of salts. ``counts`` has one row per key and its row count in ``weight``.
 
@@ -51,17 +47,13 @@ def salted_join(
         raise ValueError("salted_join keeps left rows: use 'left' or 'inner'")
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(weight))
-    hot = F.broadcast(hot_keys(counts, keys, weight, floor))
-    spread = F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.coalesce(F.col("_salts"), F.lit(1)))
-    salted = (
-        left.join(hot, _same_key(left, hot, keys), "left")
-        .select(*[left[c] for c in left.columns], spread.cast("int").alias("_salt"))
-    )
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    repeated = (
-        right.join(hot, _same_key(right, hot, keys), "left")
-        .select(*[right[c] for c in right.columns], copies.alias("_salt"))
-    )
+    hot = hot_keys(counts, keys, weight, floor).withColumnsRenamed({k: f"_hot_{k}" for k in keys})
+    is_hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*left.columns), salts).cast("int")
+    salted = left.join(F.broadcast(hot), is_hot, "left").select(*left.columns, spread.alias("_salt"))
+    copies = F.explode(F.sequence(F.lit(0), salts - 1))
+    repeated = right.join(F.broadcast(hot), is_hot, "left").select(*right.columns, copies.alias("_salt"))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
