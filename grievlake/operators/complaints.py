@@ -14,7 +14,6 @@ from ..functions.replies import coerce_entities, parse_entities
 from ..functions.shape import conform
 from ..functions.text import as_column, fill_template, strip
 from ..schemas import SILVER
-from .skew import salted_join
 
 # fixed values: words that decide issue, violence and counts; the first issue that matches wins
 ISSUE_PATTERNS = [
@@ -41,14 +40,15 @@ def with_translation(df: DataFrame, memory: DataFrame | None = None, text: str =
     """``english_text``: the stored translation of the trimmed text, else the trimmed text itself.
 
     ``memory`` has source_text (unique, trimmed) and translated_text. Texts are matched on a 128-bit
-    digest; a text that many calls share is a hot key and is spread by the join.
+    digest. Both sides are plain shuffles of a table, so adaptive execution splits the partition of a
+    text that very many calls share.
     """
     trimmed = df.withColumn("_text", strip(text))
     if memory is None:
         return trimmed.withColumnRenamed("_text", "english_text")
     digest = F.md5(F.col("_text"))
     stored = memory.select(F.md5("source_text").alias("_digest"), "translated_text")
-    joined = salted_join(trimmed.withColumn("_digest", digest), stored, ["_digest"])
+    joined = trimmed.withColumn("_digest", digest).join(stored, "_digest", "left")
     return joined.select(*df.columns, F.coalesce("translated_text", "_text").alias("english_text"))
 
 
@@ -83,8 +83,7 @@ def entities_of(text: Column | str) -> Column:
 
 
 def extract_entities(df: DataFrame, text: str = "english_text") -> DataFrame:
-    kept = [c for c in df.columns]
-    return df.withColumn("_entities", entities_of(text)).select(*kept, "_entities.*")
+    return df.withColumn("_entities", entities_of(text)).select(*df.columns, "_entities.*")
 
 
 def with_pincode(df: DataFrame, text: str = "english_text") -> DataFrame:
@@ -123,7 +122,7 @@ def build_silver(
     if replies is None:
         found = extract_entities(english)
     else:
-        joined = salted_join(english, replies.select("call_id", "raw"), ["call_id"])
+        joined = english.join(replies.select("call_id", "raw"), "call_id", "left")
         typed = joined.withColumn("_entities", coerce_entities(parse_entities("raw")))
         found = typed.select(*english.columns, "_entities.*")
     return conform(found, SILVER)

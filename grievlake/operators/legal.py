@@ -20,7 +20,11 @@ _PRIORITY = ["call_id", "pincode", "issue_type", "threat_label", "contractor_nam
 
 
 def enrich(silver: DataFrame, gold: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
-    """Complaints with the threat of their hotspot. The hotspot table itself tells which keys are hot."""
+    """Complaints with the threat of their hotspot.
+
+    ``gold`` is a stored table. Its counts tell which keys are hot, so finding them costs no extra pass
+    over the complaints.
+    """
     labels = gold.select(*KEYS, "threat_label", "escalate_immediately")
     return salted_join(silver, labels, KEYS, "left", gold, "total_complaints", floor)
 
@@ -158,7 +162,7 @@ def build_legal_actions(
     """
     rows = high_priority_complaints(silver, gold).withColumnRenamed("threat_label", "threat_level")
     if replies is not None:
-        rows = salted_join(rows, replies.select("call_id", "raw"), ["call_id"])
+        rows = rows.join(replies.select("call_id", "raw"), "call_id", "left")
         rows = rows.withColumn("reply", parse_fenced_json("raw")).drop("raw")
     else:
         rows = rows.withColumn("reply", F.lit(None).cast(ACTION))

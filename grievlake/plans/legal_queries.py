@@ -12,6 +12,7 @@ from ..functions.replies import parse_fenced_json
 from ..functions.shape import missing_fields
 from ..functions.text import fill_template
 from ..operators import hotspots, knn, legal, notices, retrieval
+from ..sources.storage import stage
 from .hotspot_queries import _GOLD, _RADAR, radar_of
 from .registry import query
 from .tables import COMPLAINTS_SQL, complaints, table
@@ -41,12 +42,17 @@ LABEL_SQL = """CASE issue_type WHEN 'WAGE_THEFT' THEN 'Wage Theft' WHEN 'PHYSICA
 
 # --- complaints and hotspots ---------------------------------------------------------------------
 
+def stored_gold(silver: DataFrame) -> DataFrame:
+    """Gold as the pipeline keeps it: written once, then read by everything that needs it."""
+    return stage(hotspots.build_gold(silver), "gold")
+
+
 @query("enriched_complaints", f"""{_GOLD}
 SELECT call_id, pincode, contractor_name, issue_type, worker_count_mentioned, threat_label, escalate_immediately
 FROM complaints LEFT JOIN gold USING (pincode, contractor_name)""")
 def enriched_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = complaints(spark, sf_dir)
-    joined = legal.enrich(silver, hotspots.build_gold(silver))
+    joined = legal.enrich(silver, stored_gold(silver))
     return joined.select(
         "call_id", "pincode", "contractor_name", "issue_type", "worker_count_mentioned", "threat_label",
         "escalate_immediately",
@@ -58,7 +64,7 @@ SELECT call_id, pincode, issue_type, threat_label, contractor_name, work_site, v
 FROM complaints JOIN gold USING (pincode, contractor_name) WHERE escalate_immediately OR threat_label = 'HIGH'""")
 def high_priority_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = complaints(spark, sf_dir)
-    return legal.high_priority_complaints(silver, hotspots.build_gold(silver))
+    return legal.high_priority_complaints(silver, stored_gold(silver))
 
 
 # --- retrieval ------------------------------------------------------------------------------------
@@ -144,7 +150,7 @@ SELECT DISTINCT issue_type, threat_label AS threat_level,
 FROM complaints JOIN gold USING (pincode, contractor_name) WHERE escalate_immediately OR threat_label = 'HIGH'""")
 def retrieval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = complaints(spark, sf_dir)
-    urgent = legal.high_priority_complaints(silver, hotspots.build_gold(silver))
+    urgent = legal.high_priority_complaints(silver, stored_gold(silver))
     return retrieval.questions(urgent.withColumnRenamed("threat_label", "threat_level"))
 
 
@@ -327,7 +333,7 @@ SELECT call_id, pincode, issue_type, threat_level, {advice_case('label', 0, ', '
 FROM urgent""")
 def legal_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = complaints(spark, sf_dir)
-    return legal.build_legal_actions(silver, hotspots.build_gold(silver), at=F.expr(FIXED_TIME))
+    return legal.build_legal_actions(silver, stored_gold(silver), at=F.expr(FIXED_TIME))
 
 
 @query("legal_actions_with_replies", f"""{_URGENT_SQL}
@@ -355,7 +361,7 @@ def legal_actions_with_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("law of "), "issue_type", F.lit(" "), "threat_level"), F.lit("BNS_316")),
     )
     return legal.build_legal_actions(
-        silver, hotspots.build_gold(silver), replies, contexts, on_failure="generic", at=F.expr(FIXED_TIME)
+        silver, stored_gold(silver), replies, contexts, on_failure="generic", at=F.expr(FIXED_TIME)
     )
 
 
