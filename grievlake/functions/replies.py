@@ -1,9 +1,9 @@
 """Model replies (free text that should hold one JSON object) to typed columns.
 
-``from_json`` accepts text after the first complete object. Wrapping the candidate in
-``{"r": ...}`` makes such left-overs an error, so a reply counts as parsed only when it is one
-object and nothing else. All fields are first read as text, so a wrong type in one field never
-spoils the others.
+``from_json`` accepts text after the first complete object. The candidate is therefore read as the
+only element of a list inside a larger object whose last member must be seen too, so a reply counts
+as parsed only when it is one object and nothing else. All fields are first read as text, so a wrong
+type in one field never spoils the others.
 """
 
 from __future__ import annotations
@@ -27,10 +27,14 @@ _PY_VALUE = r"(:\s*)%s(?=\s*[,}])"
 
 def _read_object(candidate: Column, fields: list[str]) -> Column:
     """Struct of text fields, or null when the candidate is not exactly one JSON object."""
-    row = T.StructType([T.StructField(name, T.StringType()) for name in fields])
-    wrapped = T.StructType([T.StructField("r", row), T.StructField("_corrupt", T.StringType())])
-    parsed = F.from_json(F.concat(F.lit('{"r":'), candidate, F.lit("}")), wrapped, _JSON_OPTIONS)
-    return F.when(parsed["_corrupt"].isNull(), parsed["r"])
+    text = T.StringType()
+    row = T.StructType([T.StructField(name, text) for name in fields])
+    wrapped = T.StructType([
+        T.StructField("r", T.ArrayType(row)), T.StructField("end", text), T.StructField("_corrupt", text),
+    ])
+    parsed = F.from_json(F.concat(F.lit('{"r":['), candidate, F.lit('],"end":1}')), wrapped, _JSON_OPTIONS)
+    alone = parsed["_corrupt"].isNull() & parsed["end"].isNotNull() & (F.size(parsed["r"]) == 1)
+    return F.when(alone, F.get(parsed["r"], F.lit(0)))
 
 
 def _python_literals_to_json(candidate: Column) -> Column:
