@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
 from ..schemas import ACTION, ENTITIES
-from .text import as_column, strip
+from .text import as_column, bind, strip
 
 _JSON_OPTIONS = {
     "allowSingleQuotes": "false",
@@ -33,8 +33,12 @@ def _read_object(candidate: Column, fields: list[str]) -> Column:
         T.StructField("r", T.ArrayType(row)), T.StructField("end", text), T.StructField("_corrupt", text),
     ])
     parsed = F.from_json(F.concat(F.lit('{"r":['), candidate, F.lit('],"end":1}')), wrapped, _JSON_OPTIONS)
-    alone = parsed["_corrupt"].isNull() & parsed["end"].isNotNull() & (F.size(parsed["r"]) == 1)
-    return F.when(alone, F.get(parsed["r"], F.lit(0)))
+
+    def only_element(p: Column) -> Column:
+        alone = p["_corrupt"].isNull() & p["end"].isNotNull() & (F.size(p["r"]) == 1)
+        return F.when(alone, F.get(p["r"], F.lit(0)))
+
+    return bind(parsed, only_element)
 
 
 def _python_literals_to_json(candidate: Column) -> Column:
@@ -59,12 +63,15 @@ def between_fences(raw: Column | str) -> Column:
 
 def parse_entities(raw: Column | str, repair: bool = True) -> Column:
     """Entity struct of text fields; null when no object can be read."""
-    candidate = outer_braces(raw)
     names = ENTITIES.fieldNames()
-    first = _read_object(candidate, names)
     if not repair:
-        return first
-    return F.coalesce(first, _read_object(_python_literals_to_json(candidate), names))
+        return _read_object(outer_braces(raw), names)
+
+    def read(candidate: Column) -> Column:
+        again = F.when(candidate.rlike(_PY_VALUE % "(?:True|False|None)"), _python_literals_to_json(candidate))
+        return bind(_read_object(candidate, names), lambda p: F.coalesce(p, _read_object(again, names)))
+
+    return bind(outer_braces(raw), read)
 
 
 def coerce_entities(parsed: Column) -> Column:
@@ -83,24 +90,27 @@ def coerce_entities(parsed: Column) -> Column:
 
 def parse_fenced_json(raw: Column | str, schema: T.StructType = ACTION) -> Column:
     """Struct of ``schema`` read from a fenced or bare reply; null when it is not one JSON object."""
-    texts = _read_object(between_fences(raw), schema.fieldNames())
-    typed = []
-    for field in schema.fields:
-        text = texts[field.name]
-        if isinstance(field.dataType, T.StringType):
-            value = text
-        elif isinstance(field.dataType, T.ArrayType | T.StructType | T.MapType):
-            value = F.from_json(text, field.dataType)
-        else:
-            value = text.try_cast(field.dataType)
-        typed.append(value.alias(field.name))
-    return F.when(texts.isNotNull(), F.struct(*typed))
+    def typed(texts: Column) -> Column:
+        values = []
+        for field in schema.fields:
+            text = texts[field.name]
+            if isinstance(field.dataType, T.StringType):
+                value = text
+            elif isinstance(field.dataType, T.ArrayType | T.StructType | T.MapType):
+                value = F.from_json(text, field.dataType)
+            else:
+                value = text.try_cast(field.dataType)
+            values.append(value.alias(field.name))
+        return F.when(texts.isNotNull(), F.struct(*values))
+
+    return bind(_read_object(between_fences(raw), schema.fieldNames()), typed)
 
 
 def with_entities(df: DataFrame, raw: str = "raw", repair: bool = True) -> DataFrame:
     """Entity columns plus ``parse_status`` (ok / default) for a reply column."""
-    parsed = df.withColumn("_reply", parse_entities(raw, repair))
-    return parsed.withColumns({
-        "parse_status": F.when(F.col("_reply").isNull(), "default").otherwise("ok"),
-        "_typed": coerce_entities(F.col("_reply")),
-    }).select(*df.columns, "_typed.*", "parse_status")
+    def read(parsed: Column) -> Column:
+        status = F.when(parsed.isNull(), "default").otherwise("ok")
+        return F.struct(coerce_entities(parsed).alias("typed"), status.alias("status"))
+
+    found = df.withColumn("_found", bind(parse_entities(raw, repair), read))
+    return found.select(*df.columns, "_found.typed.*", F.col("_found.status").alias("parse_status"))

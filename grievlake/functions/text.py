@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,11 @@ def or_default(value: Column | str, default: str) -> Column:
     return F.coalesce(F.nullif(as_column(value), F.lit("")), F.lit(default))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often and in whichever branches it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def literal(value) -> Column:
     """A constant of plain Python data; lists and tuples become arrays."""
     if isinstance(value, list | tuple):

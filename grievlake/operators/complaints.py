@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as fixed
 from ..functions.replies import coerce_entities, parse_entities
 from ..functions.shape import conform
-from ..functions.text import as_column, fill_template, strip
+from ..functions.text import as_column, bind, fill_template, strip
 from ..schemas import SILVER
 
 # fixed values: words that decide issue, violence and counts; the first issue that matches wins
@@ -123,6 +123,6 @@ def build_silver(
         found = extract_entities(english)
     else:
         joined = english.join(replies.select("call_id", "raw"), "call_id", "left")
-        typed = joined.withColumn("_entities", coerce_entities(parse_entities("raw")))
+        typed = joined.withColumn("_entities", bind(parse_entities("raw"), coerce_entities))
         found = typed.select(*english.columns, "_entities.*")
     return conform(found, SILVER)

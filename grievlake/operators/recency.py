@@ -20,14 +20,16 @@ def complaints_48h(
     last part each row is seen a second time, narrow, ``hours`` later.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    hour = F.floor(micros / F.lit(HOUR)).cast("long")
     own = df.withColumns({
-        "_hour": F.floor(micros / F.lit(HOUR)),
-        "_own": F.lit(1),
-    }).withColumn("_offset", micros - F.col("_hour") * HOUR)
-    own = own.withColumn("_hour", F.col("_hour").cast("long"))
-    echo = own.select(key, (F.col("_hour") + hours).alias("_hour"), F.lit(0).alias("_own"), "_offset")
+        # rows without a key are one group of their own, in windows and in the join
+        "_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "_keyless": F.col(key).isNull(),
+        "_hour": hour, "_offset": micros - hour * HOUR, "_own": F.lit(1),
+    })
+    keys = ["_key", "_keyless"]
+    echo = own.select(*keys, (F.col("_hour") + hours).alias("_hour"), "_offset", F.lit(0).alias("_own"))
 
-    group = W.partitionBy(key, "_hour")
+    group = W.partitionBy(*keys, "_hour")
     upto = group.orderBy("_offset").rangeBetween(W.unboundedPreceding, 0)
     onward = group.orderBy(F.desc("_offset")).rangeBetween(W.unboundedPreceding, 0)
     counted = (
@@ -38,9 +40,8 @@ def complaints_48h(
         })
         .filter("_own = 1")
     )
-    totals = own.groupBy(key, "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    between = W.partitionBy(key).orderBy("_hour").rangeBetween(-(hours - 1), -1)
-    full_hours = totals.select(key, "_hour", F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_between"))
-    joined = counted.join(full_hours, [key, "_hour"], "left")
+    totals = own.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    between = W.partitionBy(*keys).orderBy("_hour").rangeBetween(-(hours - 1), -1)
+    full_hours = totals.select(*keys, "_hour", F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_between"))
     count = F.col("_in_hour") + F.col("_edge") + F.coalesce("_between", F.lit(0))
-    return joined.select(*df.columns, count.alias(out))
+    return counted.join(full_hours, [*keys, "_hour"], "left").select(*df.columns, count.alias(out))

@@ -23,9 +23,9 @@ def fit_vectors(chunks: DataFrame, text: str = "content", dimensions: int = DIME
 
 
 def vectorise(model: PipelineModel, df: DataFrame, text: str = "content", out: str = "embedding") -> DataFrame:
-    """Adds a unit-length ``ARRAY<FLOAT>`` (all zero for texts without words)."""
+    """Adds a unit-length ``ARRAY<FLOAT>``; null for texts without words, which then match nothing."""
     source = model.stages[0].getInputCol()
     named = df.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias(source))
     unit = vector_to_array(F.col("_unit"), "float32")
     kept = [F.col("_row")[c].alias(c) for c in df.columns if c != out]
-    return model.transform(named).select(*kept, unit.alias(out))
+    return model.transform(named).select(*kept, F.when(F.exists(unit, lambda x: x != 0), unit).alias(out))
