@@ -18,12 +18,13 @@ def dense_ids(df: DataFrame, order: list[str], out: str, offset: int = 0) -> Dat
     """Consecutive numbers from ``offset + 1`` in the given order, computed without one global task.
 
     The sorted partitions are written once so that both passes see the same rows: one counts rows per
-    partition, the other adds the counts of earlier partitions to the position inside its own.
+    partition, the other adds the counts of earlier partitions to the position inside its own. Rows that
+    are equal in ``order`` are told apart by a hash of the whole row, so that they too can be spread.
     """
-    ties = [c for c in df.columns if c not in order]
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
     spot = F.monotonically_increasing_id().alias("_spot")
-    ordered = df.repartitionByRange(*order, *ties).sortWithinPartitions(*order, *ties).select("*", spot)
-    placed = stage(ordered, "ordered").withColumns({
+    ordered = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+    placed = stage(ordered.select(*df.columns, spot), "ordered").withColumns({
         "_part": F.shiftright("_spot", _ROW_BITS),
         "_at": F.col("_spot").bitwiseAND((1 << _ROW_BITS) - 1),
     })
@@ -35,9 +36,9 @@ def dense_ids(df: DataFrame, order: list[str], out: str, offset: int = 0) -> Dat
     return numbered.select((F.col("_start") + F.col("_at") + 1 + offset).alias(out), *df.columns)
 
 
-def assign_call_ids(df: DataFrame, offset: int = 0, path: str = "path") -> DataFrame:
+def assign_call_ids(df: DataFrame, offset: int = 0, order: list[str] | None = None) -> DataFrame:
     """``call_id`` in path order and the file name ``call_<id>.json`` (at least three digits)."""
-    return dense_ids(df, [path], "call_id", offset).withColumn(
+    return dense_ids(df, order or ["path"], "call_id", offset).withColumn(
         "file_name", F.format_string("call_%03d.json", "call_id")
     )
 

@@ -130,7 +130,8 @@ def with_chunks(hits: DataFrame, corpus: DataFrame, hit_count: int) -> DataFrame
 
 def build_context(hits: DataFrame, chars: int) -> DataFrame:
     """query_id, context, retrieved_chunks: the hits of each query in rank order, at most k of them."""
-    line = F.concat(F.lit("- "), "chunk_id", F.lit(": "), F.substring("content", 1, chars))
+    start = F.coalesce(F.substring("content", 1, chars), F.lit(""))
+    line = F.concat(F.lit("- "), "chunk_id", F.lit(": "), start)
     ordered = F.sort_array(F.collect_list(F.struct("rank", F.col("chunk_id").alias("id"), line.alias("line"))))
     return hits.groupBy("query_id").agg(ordered.alias("hits")).select(
         "query_id",

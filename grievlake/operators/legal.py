@@ -12,6 +12,7 @@ from ..functions.replies import parse_fenced_json
 from ..functions.scores import high_priority
 from ..functions.text import as_column, fill_template, iso_timestamp, literal
 from ..schemas import ACTION, ACTION_LOG
+from ..sources.storage import stage
 from .hotspots import KEYS
 from .retrieval import ASKED_BY, context_of, retrieve
 from .skew import HOT_FLOOR, lookup_join, salted_join
@@ -167,7 +168,9 @@ def build_legal_actions(
     else:
         rows = rows.withColumn("reply", F.lit(None).cast(ACTION))
     if contexts is not None:
-        rows = lookup_join(rows, contexts.select(*ASKED_BY, "retrieved_chunks"), ASKED_BY)
+        # written once: the size check and the join would otherwise both run the whole search
+        known = stage(contexts.select(*ASKED_BY, "retrieved_chunks"), "contexts")
+        rows = lookup_join(rows, known, ASKED_BY)
     else:
         rows = rows.withColumn("retrieved_chunks", F.lit(None).cast(T.ArrayType(T.StringType())))
     if on_failure == "advice":

@@ -15,9 +15,9 @@ def complaints_48h(
     """Adds, per row, the number of rows of the same key in the ``hours`` up to and including its time.
 
     One window per key would put a busy contractor into one task. Here every (key, hour) is its own
-    group: the count is the running count within the hour, plus the totals of the full hours between,
-    plus the part of the hour exactly ``hours`` earlier that lies at or after the same offset. For the
-    last part each row is seen a second time, narrow, ``hours`` later.
+    group: the count is the running count within the hour plus the totals of the ``hours`` hours before,
+    less the rows of the earliest of these hours that lie before the same offset. For that last part each
+    row is seen a second time, narrow, ``hours`` later.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     hour = F.floor(micros / F.lit(HOUR)).cast("long")
@@ -29,19 +29,17 @@ def complaints_48h(
     keys = ["_key", "_keyless"]
     echo = own.select(*keys, (F.col("_hour") + hours).alias("_hour"), "_offset", F.lit(0).alias("_own"))
 
-    group = W.partitionBy(*keys, "_hour")
-    upto = group.orderBy("_offset").rangeBetween(W.unboundedPreceding, 0)
-    onward = group.orderBy(F.desc("_offset")).rangeBetween(W.unboundedPreceding, 0)
+    group = W.partitionBy(*keys, "_hour").orderBy("_offset")
     counted = (
         own.unionByName(echo, allowMissingColumns=True)
         .withColumns({
-            "_in_hour": F.sum("_own").over(upto),
-            "_edge": F.sum(1 - F.col("_own")).over(onward),
+            "_in_hour": F.sum("_own").over(group.rangeBetween(W.unboundedPreceding, 0)),
+            "_too_early": F.sum(1 - F.col("_own")).over(group.rangeBetween(W.unboundedPreceding, -1)),
         })
         .filter("_own = 1")
     )
     totals = own.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    between = W.partitionBy(*keys).orderBy("_hour").rangeBetween(-(hours - 1), -1)
-    full_hours = totals.select(*keys, "_hour", F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_between"))
-    count = F.col("_in_hour") + F.col("_edge") + F.coalesce("_between", F.lit(0))
+    earlier = W.partitionBy(*keys).orderBy("_hour").rangeBetween(-hours, -1)
+    full_hours = totals.select(*keys, "_hour", F.sum("_n").over(earlier).alias("_earlier"))
+    count = F.col("_in_hour") + F.coalesce("_earlier", F.lit(0)) - F.coalesce("_too_early", F.lit(0))
     return counted.join(full_hours, [*keys, "_hour"], "left").select(*df.columns, count.alias(out))

@@ -58,7 +58,7 @@ SELECT row_number() OVER (ORDER BY url, page_id) + 1000 AS call_id, url AS path,
 FROM pages""")
 def call_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), "page_id")
-    return assign_call_ids(files, offset=1000)
+    return assign_call_ids(files, offset=1000, order=["path", "page_id"])
 
 
 @query("call_records", """

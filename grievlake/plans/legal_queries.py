@@ -116,7 +116,7 @@ def retrieved_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONTEXT_SQL = f"""{_KNN_SQL}, contexts AS (
-  SELECT query_id, string_agg('- ' || chunk_id || ': ' || text[:300], chr(10) ORDER BY rank) AS context
+  SELECT query_id, string_agg('- ' || chunk_id || ': ' || coalesce(text[:300], ''), chr(10) ORDER BY rank) AS context
   FROM hits LEFT JOIN documents ON chunk_id = doc_id GROUP BY query_id
 )"""
 
