@@ -122,46 +122,45 @@ def _segments(pieces: str) -> Column:
 def split_sections(pages: DataFrame, min_body: int = fixed.MIN_SECTION_BODY) -> DataFrame:
     """doc_id, section_id, section_num, title, content, source, one row per section found.
 
-    ``pages`` has doc_id, page_number and trimmed, non-empty raw_text (see ``clean_pages``).
+    ``pages`` has doc_id, page_number and trimmed, non-empty raw_text (see ``clean_pages``). The segments
+    are written once. A section that ends inside its bucket is final as it stands; only those left open
+    are grouped with the text that follows them.
     """
-    pieces = F.split(_mark(F.col("text")), _START).alias("pieces")
-    cut = (
-        _with_borders(_page_buckets(pages)).select("doc_id", "bucket", pieces)
-        .select("doc_id", "bucket", _segments("pieces").alias("segments"))
+    found = F.split(_mark(F.col("text")), _START).alias("pieces")
+    segments = stage(
+        _with_borders(_page_buckets(pages)).select("doc_id", "bucket", found)
+        .select("doc_id", "bucket", F.explode_outer(_segments("pieces")).alias("s")).select("doc_id", "bucket", "s.*"),
+        "segments",
     )
-    last = F.element_at("segments", -1)
-    # what the next bucket inherits: this bucket's open section, nothing (-1), or what came before (null)
-    leaves_open = (
-        F.when((last["index"] > 0) & ~last["closed"], F.struct(F.col("bucket").alias("bucket"), last["index"].alias("index")))
-        .when((last["index"] > 0) | last["closed"], F.struct(F.col("bucket").alias("bucket"), F.lit(-1).alias("index")))
+    last = segments.groupBy("doc_id", "bucket").agg(F.max(F.struct("index", "closed")).alias("last"))
+    # what the next bucket inherits: this bucket's open section, nothing (0), or what came before (null)
+    bucket, index, closed = F.col("bucket"), F.col("last.index"), F.col("last.closed")
+    leaves_open = F.when(
+        (index > 0) | closed, F.struct(bucket.alias("home"), F.when(closed, 0).otherwise(index).alias("index"))
     )
     earlier = W.partitionBy("doc_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = cut.select("doc_id", "bucket", leaves_open.alias("open")).select(
-        "doc_id", "bucket", F.last("open", ignorenulls=True).over(earlier).alias("carry")
+    inherited = last.select("doc_id", "bucket", F.last(leaves_open, ignorenulls=True).over(earlier).alias("open"))
+    part = F.struct(F.col("bucket").alias("at"), "text").alias("part")
+    opened = segments.filter("index > 0 and not closed").select(
+        "doc_id", bucket.alias("home"), "index", "number", "title", part
     )
-    parts = cut.join(carried, ["doc_id", "bucket"]).select(
-        "doc_id", "bucket", "carry", F.explode_outer("segments").alias("s")
-    )
-    own = F.col("s.index") > 0
-    owned = parts.select(
-        "doc_id",
-        F.when(own, F.col("bucket")).otherwise(F.col("carry.bucket")).alias("home"),
-        F.when(own, F.col("s.index")).otherwise(F.col("carry.index")).alias("index"),
-        F.when(own, F.col("s.number")).alias("number"),
-        F.when(own, F.col("s.title")).alias("title"),
-        F.struct(F.col("bucket").alias("at"), F.col("s.text").alias("text")).alias("part"),
-    ).filter(F.col("index") > 0)
-    whole = owned.groupBy("doc_id", "home", "index").agg(
-        F.max("number").alias("section_num"),
-        F.max("title").alias("title"),
-        _joined(F.collect_list("part"), "").alias("body"),
+    leads = segments.filter("index = 0").select("doc_id", "bucket", part)
+    continued = leads.join(inherited.filter("open.index > 0"), ["doc_id", "bucket"]).select("doc_id", "open.*", "part")
+    spanning = (
+        opened.unionByName(continued, allowMissingColumns=True)
+        .groupBy("doc_id", "home", "index")
+        .agg(
+            F.max("number").alias("number"), F.max("title").alias("title"),
+            _joined(F.collect_list("part"), "").alias("text"),
+        )
     )
-    content = F.replace(strip("body"), F.lit("\n"), F.lit(" "))
+    columns = ["doc_id", "number", "title", "text"]
+    whole = segments.filter("index > 0 and closed").select(*columns).unionByName(spanning.select(*columns))
     return whole.select(
         "doc_id",
-        F.concat(F.lit(fixed.SECTION_PREFIX), "section_num").alias("section_id"),
-        "section_num",
+        F.concat(F.lit(fixed.SECTION_PREFIX), "number").alias("section_id"),
+        F.col("number").alias("section_num"),
         strip("title").alias("title"),
-        content.alias("content"),
+        F.replace(strip("text"), F.lit("\n"), F.lit(" ")).alias("content"),
         F.lit(fixed.SECTION_SOURCE).alias("source"),
     ).filter(longer_than("content", min_body))
