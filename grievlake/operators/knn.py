@@ -15,12 +15,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..fixed_values import CONTEXT_CHARS
 from ..sources.storage import stage
 from .skew import BROADCAST_ROWS, salted_join
 
@@ -124,17 +125,22 @@ def with_chunks(hits: DataFrame, corpus: DataFrame, hit_count: int) -> DataFrame
     elif hit_count <= BROADCAST_ROWS:
         joined = corpus.select("chunk_id", *names).join(F.broadcast(hits), "chunk_id")
     else:
-        joined = salted_join(stage(hits, "hits"), corpus.select("chunk_id", *names), ["chunk_id"], "inner")
+        joined = salted_join(stage(hits, "hits"), corpus.select("chunk_id", *names), ["chunk_id"], "inner",
+                             spread_by=["query_id"])
     return joined.select("query_id", "chunk_id", *names, "score", "rank")
 
 
-def build_context(hits: DataFrame, chars: int) -> DataFrame:
-    """query_id, context, retrieved_chunks: the hits of each query in rank order, at most k of them."""
+def context_of_hits(chars: int = CONTEXT_CHARS) -> Column:
+    """Aggregate of one query's hits (at most k rows) to its context text and chunk ids, in rank order."""
     start = F.coalesce(F.substring("content", 1, chars), F.lit(""))
     line = F.concat(F.lit("- "), "chunk_id", F.lit(": "), start)
     ordered = F.sort_array(F.collect_list(F.struct("rank", F.col("chunk_id").alias("id"), line.alias("line"))))
-    return hits.groupBy("query_id").agg(ordered.alias("hits")).select(
-        "query_id",
-        F.array_join(F.transform("hits", lambda h: h["line"]), "\n").alias("context"),
-        F.transform("hits", lambda h: h["id"]).alias("retrieved_chunks"),
+    return F.struct(
+        F.array_join(F.transform(ordered, lambda h: h["line"]), "\n").alias("context"),
+        F.transform(ordered, lambda h: h["id"]).alias("retrieved_chunks"),
     )
+
+
+def build_context(hits: DataFrame, chars: int = CONTEXT_CHARS) -> DataFrame:
+    """query_id, context, retrieved_chunks."""
+    return hits.groupBy("query_id").agg(context_of_hits(chars).alias("c")).select("query_id", "c.*")

@@ -14,7 +14,8 @@ from ..functions.text import as_column, fill_template, iso_timestamp, literal
 from ..schemas import ACTION, ACTION_LOG
 from ..sources.storage import stage
 from .hotspots import KEYS
-from .retrieval import ASKED_BY, context_of, retrieve
+from .knn import context_of_hits
+from .retrieval import ASKED_BY, retrieve
 from .skew import HOT_FLOOR, lookup_join, salted_join
 
 _PRIORITY = ["call_id", "pincode", "issue_type", "threat_label", "contractor_name", "work_site", "violence_threatened"]
@@ -27,13 +28,13 @@ def enrich(silver: DataFrame, gold: DataFrame, floor: int = HOT_FLOOR) -> DataFr
     over the complaints.
     """
     labels = gold.select(*KEYS, "threat_label", "escalate_immediately")
-    return salted_join(silver, labels, KEYS, "left", gold, "total_complaints", floor)
+    return salted_join(silver, labels, KEYS, "left", gold, "total_complaints", floor, ["call_id"])
 
 
 def high_priority_complaints(silver: DataFrame, gold: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
     """Complaints of hotspots that are HIGH or escalated: only those hotspots take part in the join."""
     labels = high_priority(gold).select(*KEYS, "threat_label", "escalate_immediately")
-    joined = salted_join(silver, labels, KEYS, "inner", gold, "total_complaints", floor)
+    joined = salted_join(silver, labels, KEYS, "inner", gold, "total_complaints", floor, ["call_id"])
     return joined.select(*_PRIORITY)
 
 
@@ -143,8 +144,7 @@ def action_requests(asked: DataFrame, contexts: DataFrame) -> DataFrame:
 def contexts_for(actions: DataFrame, model: PipelineModel, vectors: DataFrame, k: int = 3) -> DataFrame:
     """issue_type, threat_level, query_id, context, retrieved_chunks for every distinct question."""
     hits = retrieve(actions, model, vectors, k)
-    contexts = context_of(hits.select("query_id", "chunk_id", "content", "rank"))
-    return hits.select(*ASKED_BY, "query_id").distinct().join(contexts, "query_id")
+    return hits.groupBy(*ASKED_BY, "query_id").agg(context_of_hits().alias("c")).select(*ASKED_BY, "query_id", "c.*")
 
 
 def build_legal_actions(
@@ -170,7 +170,7 @@ def build_legal_actions(
     if contexts is not None:
         # written once: the size check and the join would otherwise both run the whole search
         known = stage(contexts.select(*ASKED_BY, "retrieved_chunks"), "contexts")
-        rows = lookup_join(rows, known, ASKED_BY)
+        rows = lookup_join(rows, known, ASKED_BY, spread_by=["call_id"])
     else:
         rows = rows.withColumn("retrieved_chunks", F.lit(None).cast(T.ArrayType(T.StringType())))
     if on_failure == "advice":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions.text import fill_template
 from ..schemas import VECTORS
-from .knn import build_context, knn
+from .knn import knn
 from .vectors import fit_vectors, vectorise
 
 ASKED_BY = ["issue_type", "threat_level"]
@@ -17,8 +17,8 @@ ASKED_BY = ["issue_type", "threat_level"]
 
 def questions(actions: DataFrame) -> DataFrame:
     """One question per distinct issue and threat level: complaints that ask the same share one search."""
-    asked = actions.select(*ASKED_BY).distinct()
-    return asked.withColumn("query_id", fill_template(fixed.RETRIEVAL_QUERY))
+    asked = actions.select(*ASKED_BY).distinct().withColumn("query_text", fill_template(fixed.RETRIEVAL_QUERY))
+    return asked.withColumn("query_id", F.md5("query_text"))
 
 
 def embed_chunks(chunks: DataFrame) -> tuple[PipelineModel, DataFrame]:
@@ -28,17 +28,14 @@ def embed_chunks(chunks: DataFrame) -> tuple[PipelineModel, DataFrame]:
 
 
 def search(model: PipelineModel, vectors: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
-    """Nearest chunks for a table of question texts (``query_id`` is the text)."""
-    asked = vectorise(model, texts.select("query_id").distinct(), "query_id")
-    return knn(asked, vectors, k)
+    """Nearest chunks for a table of questions: query_id (short and unique) and query_text."""
+    asked = texts.select("query_id", "query_text").dropDuplicates(["query_id"])
+    return knn(vectorise(model, asked, "query_text"), vectors, k)
 
 
 def retrieve(actions: DataFrame, model: PipelineModel, vectors: DataFrame, k: int = 3) -> DataFrame:
     """Hits for every distinct (issue_type, threat_level): the question, then chunk, score and rank."""
     asked = questions(actions)
     hits = search(model, vectors, asked, k)
-    return asked.join(hits, "query_id").select(*ASKED_BY, "query_id", "chunk_id", "content", "source", "score", "rank")
-
-
-def context_of(hits: DataFrame, chars: int = fixed.CONTEXT_CHARS) -> DataFrame:
-    return build_context(hits, chars)
+    named = asked.join(hits, "query_id")
+    return named.select(*ASKED_BY, "query_id", "query_text", "chunk_id", "content", "source", "score", "rank")

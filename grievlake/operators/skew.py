@@ -36,12 +36,14 @@ def salted_join(
     counts: DataFrame | None = None,
     weight: str = "_rows",
     floor: int = HOT_FLOOR,
+    spread_by: list[str] | None = None,
 ) -> DataFrame:
     """Equi-join (inner or left) that spreads each hot key of the left side over several tasks.
 
     Hot keys are known from ``counts`` or counted on the left side (partial aggregation keeps that
     shuffle to one row per key and task). Their few rows are broadcast; the rows of the right side with
-    a hot key are repeated once per salt, all others stay single.
+    a hot key are repeated once per salt, all others stay single. ``spread_by`` names short columns that
+    tell rows of one key apart (all columns by default), so that wide ones need not be read for it.
     """
     if how not in ("left", "inner"):
         raise ValueError("salted_join keeps left rows: use 'left' or 'inner'")
@@ -50,15 +52,19 @@ def salted_join(
     hot = hot_keys(counts, keys, weight, floor).withColumnsRenamed({k: f"_hot_{k}" for k in keys})
     is_hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     salts = F.coalesce("_salts", F.lit(1))
-    spread = F.pmod(F.xxhash64(*left.columns), salts).cast("int")
+    row_hash = F.xxhash64(*(spread_by or left.columns))
+    spread = F.when(salts > 1, F.pmod(row_hash, salts)).otherwise(0).cast("int")
     salted = left.join(F.broadcast(hot), is_hot, "left").select(*left.columns, spread.alias("_salt"))
     copies = F.explode(F.sequence(F.lit(0), salts - 1))
     repeated = right.join(F.broadcast(hot), is_hot, "left").select(*right.columns, copies.alias("_salt"))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def lookup_join(left: DataFrame, dimension: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(
+    left: DataFrame, dimension: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS,
+    spread_by: list[str] | None = None,
+) -> DataFrame:
     """Left join to a lookup table: broadcast while its counted size allows it, else salted."""
     if dimension.limit(max_rows + 1).count() <= max_rows:
         return left.join(F.broadcast(dimension), keys, "left")
-    return salted_join(left, dimension, keys)
+    return salted_join(left, dimension, keys, spread_by=spread_by)

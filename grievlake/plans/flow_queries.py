@@ -291,10 +291,12 @@ def notices_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file_key", F.get(F.split("value", "\n"), F.lit(1)).alias("second_line"))
 
 
-@query("file_manifest")
+@query("file_manifest", " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS name, 'parquet' AS ext, true AS has_bytes" for t in TABLES
+))
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table files themselves: names and sizes without reading contents."""
-    return readers.file_manifest(spark, sf_dir, ["parquet"]).select("name", "ext", "length")
+    return readers.file_manifest(spark, sf_dir, ["parquet"]).select("name", "ext", (F.col("length") > 0).alias("has_bytes"))
 
 
 @query("table_audit", " UNION ALL ".join(

@@ -123,7 +123,7 @@ _CONTEXT_SQL = f"""{_KNN_SQL}, contexts AS (
 
 @query("prompt_context", f"{_CONTEXT_SQL} SELECT query_id, context FROM contexts")
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.context_of(_text_hits(spark, sf_dir)).select("query_id", "context")
+    return knn.build_context(_text_hits(spark, sf_dir)).select("query_id", "context")
 
 
 @query("action_prompts", f"""{_CONTEXT_SQL}
@@ -137,7 +137,7 @@ SELECT query_id, 'You are a legal aid expert for Indian unorganised labour law.'
   || '}}' AS prompt
 FROM contexts""")
 def action_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contexts = retrieval.context_of(_text_hits(spark, sf_dir))
+    contexts = knn.build_context(_text_hits(spark, sf_dir))
     asked = contexts.select(
         "query_id", F.lit("Wage Theft").alias("issue_type"), F.lit("HIGH").alias("threat_level")
     )
@@ -146,12 +146,12 @@ def action_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retrieval_questions", f"""{_GOLD}
 SELECT DISTINCT issue_type, threat_label AS threat_level,
-       issue_type || ' worker rights India ' || threat_label || ' threat' AS query_id
+       issue_type || ' worker rights India ' || threat_label || ' threat' AS query_text
 FROM complaints JOIN gold USING (pincode, contractor_name) WHERE escalate_immediately OR threat_label = 'HIGH'""")
 def retrieval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = complaints(spark, sf_dir)
     urgent = legal.high_priority_complaints(silver, stored_gold(silver))
-    return retrieval.questions(urgent.withColumnRenamed("threat_label", "threat_level"))
+    return retrieval.questions(urgent.withColumnRenamed("threat_label", "threat_level")).drop("query_id")
 
 
 @query("text_retrieval")
@@ -161,10 +161,10 @@ def text_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), "source"
     )
     model, vectors = retrieval.embed_chunks(chunks)
-    texts = table(spark, sf_dir, "benchmark").select(F.col("text").alias("query_id"))
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     hits = retrieval.search(model, vectors, texts, 3)
     return hits.select(
-        F.md5("query_id").alias("query_digest"), "chunk_id", "source", F.round("score", 6).alias("score"), "rank"
+        "query_id", "chunk_id", "source", F.round("score", 6).alias("score"), "rank"
     )
 
 

@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from grievlake.operators import knn, retrieval
+from grievlake.operators.legal import contexts_for
+from grievlake.operators.vectors import vectorise
 from grievlake.schemas import CHUNKS
 
 
@@ -83,13 +85,14 @@ def test_text_retrieval_equals_a_full_search_of_its_vectors(spark, rows):
         [("Physical Assault", "HIGH"), ("Wage Theft", "LOW"), ("Physical Assault", "HIGH")], "issue_type string, threat_level string"
     )
     questions = retrieval.questions(asked)
-    assert rows(questions, "query_id") == [
+    assert rows(questions, "query_text") == [
         ("Physical Assault worker rights India HIGH threat",), ("Wage Theft worker rights India LOW threat",),
     ]
     hits = retrieval.retrieve(asked, model, vectors, 2)
-    from grievlake.operators.vectors import vectorise
-
-    vecs = [(r["query_id"], r["embedding"]) for r in vectorise(model, questions, "query_id").collect()]
+    vecs = [(r["query_id"], r["embedding"]) for r in vectorise(model, questions, "query_text").collect()]
     assert hits_of(hits) == by_hand(vecs, stored, 2)
+    contexts = {r["issue_type"]: r for r in contexts_for(asked, model, vectors, 2).collect()}
+    assert contexts["Physical Assault"]["retrieved_chunks"][0] == "BNS_115" and len(contexts) == 2
+    assert contexts["Wage Theft"]["context"].startswith("- BNS_316: BNS Section 316")
     first = hits.filter("rank = 1 and issue_type = 'Physical Assault'").first()
     assert first["chunk_id"] == "BNS_115"
