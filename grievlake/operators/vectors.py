@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 DIMENSIONS = 512
 
 
+def _unless_zero(vector: Column) -> Column:
+    return F.when(F.exists(vector, lambda x: x != 0), vector)
+
+
 def fit_vectors(chunks: DataFrame, text: str = "content", dimensions: int = DIMENSIONS) -> PipelineModel:
     """Document frequencies are one distributed aggregate; the model holds one number per dimension."""
     stages = [
@@ -28,4 +34,4 @@ def vectorise(model: PipelineModel, df: DataFrame, text: str = "content", out: s
     named = df.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias(source))
     unit = vector_to_array(F.col("_unit"), "float32")
     kept = [F.col("_row")[c].alias(c) for c in df.columns if c != out]
-    return model.transform(named).select(*kept, F.when(F.exists(unit, lambda x: x != 0), unit).alias(out))
+    return model.transform(named).select(*kept, bind(unit, _unless_zero).alias(out))
