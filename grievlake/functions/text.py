@@ -56,11 +56,12 @@ def fill_template(template: str) -> Column:
 
 
 def head(value: Column | str, size: int) -> Column:
-    """First ``size`` characters of a text, or first ``size`` elements of an array given as ``slice``."""
+    """First ``size`` characters."""
     return F.substring(as_column(value), 1, size)
 
 
 def first_items(value: Column | str, size: int) -> Column:
+    """First ``size`` elements of an array."""
     return F.slice(as_column(value), 1, size)
 
 

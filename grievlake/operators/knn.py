@@ -27,6 +27,7 @@ from .skew import BROADCAST_ROWS, salted_join
 
 BLOCK_BYTES = 64 << 20  # query vectors sent to each task at once
 TILE_CELLS = 4_000_000  # distances held at once inside a task
+_MAX_SPLITS = 20
 _SLACK = 1e-9  # far above the rounding error of the fast distance, relative to the vector lengths
 
 
@@ -79,15 +80,21 @@ def _scanner(block, k: int, schema: pa.Schema):
 
 
 def _blocks(queries: DataFrame, count: int, dimensions: int, block_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Query ids and vectors in pieces of bounded size."""
+    """Query ids and vectors in pieces of bounded size. A piece that came out too large is split again."""
     rows = max(1, block_bytes // (8 * max(1, dimensions)))
     pieces = math.ceil(count / rows)
-    for piece in range(pieces):
-        part = queries if pieces == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == piece)
+    waiting = [(queries, 0)] if pieces == 1 else [
+        (queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == piece), 0) for piece in range(pieces)
+    ]
+    while waiting:
+        part, level = waiting.pop()
         frame = part.limit(2 * rows + 1).toPandas()
         if len(frame) > 2 * rows:
-            raise ValueError("query_id must be unique: one block holds too many rows of the same id")
-        if len(frame):
+            if level == _MAX_SPLITS:
+                raise ValueError("query_id must be unique: too many rows share one id")
+            side = F.pmod(F.xxhash64("query_id", F.lit(level)), F.lit(2))
+            waiting += [(part.filter(side == half), level + 1) for half in (0, 1)]
+        elif len(frame):
             yield frame["query_id"].tolist(), np.stack(frame["embedding"].to_numpy()).astype(np.float64)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..functions.scores import marker_radius, marker_tooltip, score_to_urgency, style_columns
+from ..functions.scores import high_priority, marker_radius, marker_tooltip, score_to_urgency, style_columns
 from ..functions.shape import ensure_columns, rename_if_present
 from ..functions.text import fill_template, lookup
 from .hotspots import KEYS
@@ -102,6 +102,4 @@ def radar_ranked(radar: DataFrame) -> DataFrame:
 
 def first_escalations(gold: DataFrame, size: int = 5) -> DataFrame:
     """The ``size`` most severe hotspots that need action."""
-    from ..functions.scores import high_priority
-
     return high_priority(gold).orderBy(F.desc("severity_score"), "pincode", "contractor_name").limit(size)

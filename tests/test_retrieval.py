@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from grievlake.operators import knn, retrieval
@@ -47,6 +48,13 @@ def test_query_blocks_and_tiles_change_nothing(spark, monkeypatch):
     assert hits_of(knn.knn(q, c, 4, block_bytes=5 * 8 * 5)) == by_hand(queries, corpus, 4)
 
 
+def test_shared_query_ids_are_refused(spark):
+    q = spark.range(30).select(F.lit("same").alias("query_id"), F.array(F.lit(1.0)).alias("embedding"))
+    c = spark.createDataFrame([(1, [1.0])], "chunk_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="unique"):
+        knn.knn(q, c, 3, block_bytes=5 * 8)
+
+
 def test_many_hits_take_the_salted_join(spark, monkeypatch):
     queries, corpus, q, c = frames(spark)
     monkeypatch.setattr(knn, "BROADCAST_ROWS", 1)
