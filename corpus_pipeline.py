@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grievlake.llm import decision_list
+from grievlake.llm import decision_list, jaccard_join
 from grievlake.llm.queries import BATCH_ROWS
 from grievlake.sources import storage
 
@@ -18,7 +18,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decision_list.filter_documents(docs, _table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality rules", quality_rules)]
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", jaccard)]
 
 #: The learned rules, drawn hashes and keyed skips of the stages cannot be written in SQL.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list
+from . import decision_list, jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs, rules).select(
         "doc_id", *[F.col(f"_statistics.{c}").alias(c) for c in counts], "base_failed", "kept", "rule"
     )
+
+
+@query("op4_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
