@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scan import (
     LEAD, LINE, NONSPACE, byte_table, letter_values, per_text, run_hashes, runs, same_in_owner, slices, text_bytes,
@@ -29,7 +30,7 @@ COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_unique_words",
     "n_upper", "n_digits", "n_stops", "n_bytes",
 )
-STATISTICS = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">"
+STATISTICS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 
 #: What the rules may test: ratios of counts, so that they mean the same in short and long texts.
 RATIOS = {
