@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, jaccard_join
+from . import decision_list, decontaminate, jaccard_join, merge_dropout, token_splice
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,19 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated(n_hit, n_words).alias("contaminated"),
     )
+
+
+@query("op8_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, path = F.coalesce("text", F.lit("")), public_tokenizers.path("word_bpe_49k.json")
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), token_splice.token_count(text, path).alias("n_tokens"))
+        .withColumn("over_limit", F.col("n_tokens") > 2048)
+    )
+
+
+@query("op10_sentencepiece_dropout")
+def sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return merge_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")

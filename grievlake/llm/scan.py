@@ -6,6 +6,8 @@ so memory follows the longest text, not the batch.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,3 +131,9 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, for tables that tasks would build again."""
+    name = "grievlake_worker_cache"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
