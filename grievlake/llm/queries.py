@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, jaccard_join, merge_dropout, token_splice
+from . import decision_list, decontaminate, jaccard_join, merge_dropout, secret_crf, token_splice
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,17 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return merge_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@query("op7_secret_scans")
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = secret_crf.learn(docs)
+    spans = F.col("_spans")
+    base = F.filter(spans, lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["after"])), ",")
+    return docs.select("doc_id", secret_crf.find_secrets(F.col("text"), field).alias("_spans")).select(
+        "doc_id", count("assign"), count("access"), count("hex"), count("crf"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"),
+    )
