@@ -34,7 +34,7 @@ WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
 BANDS, ROWS, STEP = 24, 4, 16
 HASHES = BANDS * ROWS
 #: Nodes of a bucket, and nodes or shingles of a cluster, that one side of a tile may hold on average.
-TILE_NODES, TILE_SHINGLES = 256, 500_000
+TILE_NODES, TILE_SHINGLES = 512, 500_000
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -313,7 +313,8 @@ def link(
     )
     columns = ("component", "node", "copies", "block", "blocks")
     with_sets = (
-        plain.join(placed, F.col("doc").eqNullSafe(F.col("first_doc"))).select("text", "shingle_set", *columns)
+        # merged at every size: the candidates grow with the documents, so they are never broadcast
+        plain.join(placed.hint("merge"), F.col("doc").eqNullSafe(F.col("first_doc"))).select("text", "shingle_set", *columns)
         .mapInArrow(sets, "component bigint, node bigint, copies bigint, block int, blocks int, shingles binary")
     )
     member = F.struct("node", "copies", "shingles")
@@ -324,7 +325,8 @@ def link(
         F.filter("partners", lambda x: block_of(x) == F.col("_other"))).alias("partners"))
     pair_rows = (
         kept.filter(F.size("partners") > 0).join(placed.select("node", "component", "block", "blocks"), "node")
-        .select("*", other).select("component", i, j, listed.alias("pairs")).filter(F.size("pairs.partners") > 0)
+        .select("*", F.explode(F.array_distinct(F.transform("partners", block_of))).alias("_other"))
+        .select("component", i, j, listed.alias("pairs"))
         .select("component", "i", "j", F.lit(None).cast("struct<node:bigint,copies:bigint,shingles:binary>").alias("member"), "pairs")
     )
     links = stage(
