@@ -1,10 +1,15 @@
-"""From raw documents to encoded training text: five stages, each over all that the one before kept."""
+"""From raw documents to encoded training text: five stages, each over all that the one before kept.
+
+A table without rows passes through all stages; null texts fail the base rules of the first one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grievlake.llm import decision_list, jaccard_join
+from grievlake.llm import decision_list, decontaminate, jaccard_join, merge_dropout, secret_crf
 from grievlake.llm.queries import BATCH_ROWS
 from grievlake.sources import storage
 
@@ -15,14 +20,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the learned list go."""
     return decision_list.filter_documents(docs, _table(spark, sf_dir, "labels"))
 
 
-def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
     return jaccard_join.keep_one(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", jaccard)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go if a twentieth of their words or more stands in benchmark windows."""
+    return decontaminate.remove(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked and ``n_chars`` follows."""
+    masked = secret_crf.redact(docs, secret_crf.learn(docs))
+    return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each with its pieces."""
+    return merge_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scans),
+    ("SentencePiece encoding and decoding", pieces),
+]
 
 #: The learned rules, drawn hashes and keyed skips of the stages cannot be written in SQL.
 ORACLE_SQL = None
