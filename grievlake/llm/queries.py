@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, jaccard_join, merge_dropout, secret_crf, token_splice
+from . import decision_list, decontaminate, jaccard_join, merge_dropout, secret_crf, subword_classifier, token_splice
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,12 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"), count("crf"),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"),
     )
+
+
+@query("op9_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = subword_classifier.held_out(F.col("doc_id"))
+    model = subword_classifier.learn(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), subword_classifier.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
