@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, jaccard_join, merge_dropout, secret_crf, subword_classifier, token_splice
+from ..sources import storage
+from . import (
+    decision_list, decontaminate, jaccard_join, merge_dropout, secret_crf, subword_classifier, token_splice, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +136,22 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = subword_classifier.learn(docs, table(spark, sf_dir, "labels").filter(~held_out))
     scored = docs.select("doc_id", held_out.alias("held_out"), subword_classifier.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+WARC_SQL = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM (SELECT *, CASE WHEN strlen(coalesce(html, '')) >= 1000 THEN
+                nullif(max(page_id) OVER (PARTITION BY coalesce(html, '')), page_id) END AS refers_to FROM pages)
+"""
+
+
+@query("op2_warc_salvage", WARC_SQL)
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = storage.new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_archives(spark, folder, with_payload=False).filter("kind = 'record'").select(
+        warc.page_id("record_id").alias("page_id"), F.col("length").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+        warc.page_id("refers_to").alias("refers_to"),
+    )
