@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources import storage
 from . import (
     decision_list, decontaminate, jaccard_join, merge_dropout, secret_crf, subword_classifier, token_splice, warc,
+    wrapper_induction,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +156,10 @@ def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
         warc.page_id("refers_to").alias("refers_to"),
     )
+
+
+@query("op3_wrapper_induction")
+def html_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = wrapper_induction.main_text(pages, wrapper_induction.induce(pages), ["page_id", "url"])
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
