@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources import storage
 from . import (
-    decision_list, decontaminate, jaccard_join, merge_dropout, secret_crf, subword_classifier, token_splice, warc,
-    wrapper_induction,
+    decision_list, decontaminate, jaccard_join, merge_dropout, preference_format, secret_crf, subword_classifier,
+    token_splice, warc, wrapper_induction,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,45 @@ def html_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     texts = wrapper_induction.main_text(pages, wrapper_induction.induce(pages), ["page_id", "url"])
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+PREFERENCE_SQL = r"""
+WITH last AS (
+  SELECT conv_id, max(turn) AS turn, max(text ORDER BY turn) AS answer FROM (
+    SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS k
+    FROM conversations WHERE role = 'assistant') WHERE k = 1 GROUP BY conv_id
+), sides AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS a,
+         CASE WHEN role = 'assistant' AND turn = l.turn_of THEN coalesce(d.answer, '') ELSE coalesce(text, '') END AS b
+  FROM conversations LEFT JOIN (SELECT conv_id, turn AS turn_of FROM last) l USING (conv_id)
+       LEFT JOIN (SELECT conv_id + 1 AS conv_id, answer FROM last) d USING (conv_id)
+), first_change AS (
+  SELECT conv_id, min(turn) FILTER (WHERE a <> b) AS changed FROM sides GROUP BY conv_id
+), marked AS (
+  SELECT conv_id, turn, changed IS NULL OR turn < changed AS common,
+         '<|im_start|>' || role || chr(10) AS head, regexp_replace(a, '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS a,
+         regexp_replace(b, '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS b,
+         CASE role WHEN 'assistant' THEN 1 ELSE 0 END AS loss
+  FROM sides JOIN first_change USING (conv_id)
+)
+SELECT conv_id, CAST(count(*) FILTER (WHERE common) AS BIGINT) AS n_common,
+  coalesce(string_agg(head || a || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (WHERE common), '') AS prompt,
+  coalesce(string_agg(head || a || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (WHERE NOT common), '') AS chosen,
+  coalesce(string_agg(head || b || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (WHERE NOT common), '') AS rejected,
+  coalesce(string_agg(length(head) || ':0,' || (length(a) + 10) || ':' || loss || ',1:0', ',' ORDER BY turn)
+           FILTER (WHERE NOT common), '') AS chosen_mask,
+  coalesce(string_agg(length(head) || ':0,' || (length(b) + 10) || ':' || loss || ',1:0', ',' ORDER BY turn)
+           FILTER (WHERE NOT common), '') AS rejected_mask,
+  CASE WHEN bool_and(common) THEN 'same' ELSE 'ok' END AS status
+FROM marked WHERE conv_id IS NOT NULL GROUP BY conv_id
+"""
+
+
+@query("op6_preference_formatting", PREFERENCE_SQL)
+def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = preference_format.format_pairs(turns, preference_format.with_foreign_answer(turns))
+    flat = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws(":", r["n"], r["loss"])), ",").alias(c)
+    return pairs.select(
+        "conv_id", "n_common", "prompt", "chosen", "rejected", flat("chosen_mask"), flat("rejected_mask"), "status"
+    )
