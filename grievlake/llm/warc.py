@@ -114,6 +114,8 @@ def read_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     size = fields.get("content-length", "")
     if not size.isdigit():
         return None, at, "no length"
+    if not (fields.get("warc-type") and fields.get("warc-record-id")):
+        return None, at, "no type or id"
     start, end = head.end(), head.end() + int(size)
     if end > len(data):
         return None, at, "cut off"
@@ -162,18 +164,28 @@ def salvage(data: bytes, member: int) -> Iterator[tuple]:
         yield "gap", member, start, at, why
 
 
+#: Compressed bytes given to the decoder at a time; after an error the last of them are given again in crumbs.
+PIECE, CRUMB = 1 << 16, 16
+
+
 def inflate(raw: bytes, at: int) -> tuple[bytes, int, str]:
     """The member at ``at``: its bytes (as far as they go), where it ends, and what is wrong."""
     member, parts, place = zlib.decompressobj(31), [], at
-    try:
-        while not member.eof:
-            piece = raw[place: place + (1 << 20)]
-            if not piece:
-                return b"".join(parts), len(raw), "member cut off"
+    while not member.eof:
+        piece = raw[place: place + PIECE]
+        if not piece:
+            return b"".join(parts), len(raw), "member cut off"
+        before = member.copy()
+        try:
             parts.append(member.decompress(piece))
-            place += len(piece)
-    except zlib.error as error:
-        return b"".join(parts), at, f"bad member: {str(error)[:60]}"
+        except zlib.error as error:
+            try:
+                for k in range(0, len(piece), CRUMB):
+                    parts.append(before.decompress(piece[k: k + CRUMB]))
+            except zlib.error:
+                pass
+            return b"".join(parts), at, f"bad member: {str(error)[:60]}"
+        place += len(piece)
     return b"".join(parts), place - len(member.unused_data), ""
 
 
