@@ -20,6 +20,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .scan import letter_values, mix, run_hashes, text_bytes, worker_cache
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 #: Longer words take the heap, shorter ones are merged side by side.
 SHORT_WORD = 48
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Characters of text worked on at a time.
 SLICE_CHARS = 1 << 19
 
@@ -231,31 +232,73 @@ class Agenda:
         return np.array([i for i, a in zip(ids, alive, strict=True) if a], "<i4").tobytes()
 
 
-def encode_texts(texts: list[str], agenda: Agenda, variants: int, known: dict) -> Iterator[bytes]:
-    """Ids of every text as 32-bit numbers, a slice of texts at a time."""
-    first = 0
+class Known(dict):
+    """Numbers of the words met so far, and the pieces of each word and variant in one growing array."""
+
+    def __init__(self, variants: int):
+        self.variants, self.words = variants, []
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        return number
+
+    def fill(self, keys: np.ndarray, agenda: Agenda) -> None:
+        """Encode the keys (word number x variants + variant) that have no pieces yet."""
+        room = len(self.words) * self.variants
+        if room > len(self.size):
+            more = max(room, 2 * len(self.size)) - len(self.size)
+            self.start = np.append(self.start, np.zeros(more, np.int64))
+            self.size = np.append(self.size, np.full(more, -1))
+        new = np.unique(keys[self.size[keys] < 0])
+        if not len(new):
+            return
+        coded = agenda.encode([self.words[k] for k in (new // self.variants).tolist()], (new % self.variants).tolist())
+        flat = np.frombuffer(b"".join(coded), "<i4")
+        self.size[new] = [len(c) // 4 for c in coded]
+        self.start[new] = self.used + np.cumsum(self.size[new]) - self.size[new]
+        if self.used + len(flat) > len(self.pool):
+            grown = np.zeros(max(2 * len(self.pool), self.used + len(flat)), np.int32)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
+        self.pool[self.used: self.used + len(flat)] = flat
+        self.used += len(flat)
+
+
+def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of a pool one after the other."""
+    before = np.cumsum(size) - size
+    total = int(size.sum())
+    return pool[np.repeat(start - before, size) + np.arange(total)]
+
+
+def encode_texts(texts: list[str], agenda: Agenda, known: Known) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For slices of the texts: all piece ids in order, and how many each text has."""
+    first, variants = 0, known.variants
     while first < len(texts):
         last, size = first, 0
         while last < len(texts) and (size == 0 or size + len(texts[last]) <= SLICE_CHARS):
             size += len(texts[last]) + 1
             last += 1
-        keys = []
-        for text in texts[first:last]:
-            words = WORDS.findall(" " + text if agenda.model.dummy_prefix and text else text)
-            if agenda.drops and variants > 1:
-                data, at = text_bytes(pa.array([text], pa.large_string()))
-                own = run_hashes(data, at[:1], at[1:], letter_values(False))
-                draw = mix(mix(own + agenda.seed) + np.arange(len(words), dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                keys.append(list(zip(words, (draw % np.uint64(variants)).tolist(), strict=True)))
-            else:
-                keys.append([(w, 0) for w in words])
-        new = list(set().union(*keys).difference(known))
-        if new:
-            known.update(zip(new, agenda.encode([w for w, _ in new], [v for _, v in new]), strict=True))
-        for own in keys:
-            yield b"".join(map(known.__getitem__, own))
-        if len(known) > REMEMBERED:
+        words = [WORDS.findall(" " + t if agenda.model.dummy_prefix and t else t) for t in texts[first:last]]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        keys = np.array(list(map(known.__getitem__, chain.from_iterable(words))), np.int64) * variants
+        if agenda.drops and variants > 1:
+            data, at = text_bytes(pa.array(texts[first:last], pa.large_string()))
+            own = run_hashes(data, at[:-1], at[1:], letter_values(False))
+            number = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+            draw = mix(np.repeat(mix(own + agenda.seed), counts) + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            keys += (draw % np.uint64(variants)).astype(np.int64)
+        known.fill(keys, agenda)
+        sizes = known.size[keys]
+        so_far = np.concatenate([[0], np.cumsum(sizes)])
+        ends = so_far[np.cumsum(counts)]
+        yield gather(known.pool, known.start[keys], sizes), np.diff(ends, prepend=0)
+        if len(known.words) > REMEMBERED:
             known.clear()
+            known.__init__(variants)
         first = last
 
 
@@ -264,6 +307,26 @@ def decode_ids(ids: list[int], pieces: tuple[bytes, ...], dummy_prefix: bool) ->
     return raw[1:] if dummy_prefix and raw else raw
 
 
+class Speller:
+    """Decodes many texts at once."""
+
+    def __init__(self, model: Model):
+        self.bytes = np.frombuffer(b"".join(model.pieces), np.uint8)
+        self.size = np.array([len(p) for p in model.pieces], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.prefix = model.dummy_prefix
+
+    def exact(self, ids: np.ndarray, counts: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether the pieces of each text spell it."""
+        spelled = gather(self.bytes, self.start[ids], self.size[ids]).tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])[np.cumsum(counts)].tolist()
+        out, begin = [], 0
+        for text, end in zip(texts, ends, strict=True):
+            out.append(spelled[begin + (self.prefix and end > begin): end] == text.encode("utf-8", "surrogatepass"))
+            begin = end
+        return out
+
+
 ENCODED = T.StructType([
     T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()),
     T.StructField("lossless", T.BooleanType()),
@@ -281,17 +344,17 @@ def encode(
     def run(texts: pa.Array) -> pa.Array:
         cache = worker_cache()
         if key not in cache:
-            cache[key] = (Agenda(model, dropout, seed), {})
-        agenda, known = cache[key]
+            cache[key] = (Agenda(model, dropout, seed), Known(variants), Speller(model))
+        agenda, known, speller = cache[key]
         given = [t or "" for t in texts.to_pylist()]
-        parts, exact = [], []
-        for text, raw in zip(given, encode_texts(given, agenda, variants, known), strict=True):
-            parts.append(raw)
-            ids = np.frombuffer(raw, "<i4").tolist()
-            exact.append(decode_ids(ids, model.pieces, model.dummy_prefix) == text.encode("utf-8", "surrogatepass"))
-        sizes = np.array([len(p) // 4 for p in parts], np.int64)
+        parts, sizes, exact = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
+        for ids, counts in encode_texts(given, agenda, known):
+            exact += speller.exact(ids, counts, given[len(exact): len(exact) + len(counts)])
+            parts.append(ids)
+            sizes.append(counts)
+        sizes = np.concatenate(sizes)
         at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts), pa.int32()))
         return pa.StructArray.from_arrays([lists, pa.array(sizes), pa.array(exact, pa.bool_())], names=["pieces", "n_pieces", "lossless"])
 
     coded = F.arrow_udf(run, ENCODED)(F.col(text_col))
