@@ -57,8 +57,11 @@ def test_token_count_column(spark):
 
 def encoded(texts, dropout, seed=17):
     model = merge_dropout.load_model(PIECES)
-    parts = merge_dropout.encode_texts([t or "" for t in texts], merge_dropout.Agenda(model, dropout, seed), 4, {})
-    return model, [np.frombuffer(p, "<i4").tolist() for p in parts]
+    texts, out = [t or "" for t in texts], []
+    for ids, counts in merge_dropout.encode_texts(texts, merge_dropout.Agenda(model, dropout, seed), merge_dropout.Known(4)):
+        assert all(merge_dropout.Speller(model).exact(ids, counts, texts[len(out): len(out) + len(counts)]))
+        out += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    return model, out
 
 
 def test_without_dropout_pieces_are_those_of_the_library():
@@ -103,7 +106,7 @@ def test_both_ways_of_merging_follow_the_agenda(monkeypatch):
     agenda = merge_dropout.Agenda(model, 0.3, 5)
     words = sorted({w for w in merge_dropout.WORDS.findall(" " + prose(150))})
     names = merge_dropout.run_hashes(np.frombuffer("".join(words).encode(), np.uint8), *[np.array(x) for x in zip(*spans(words), strict=True)], merge_dropout.letter_values(False))
-    names = merge_dropout.mix(names + np.uint64(3) * np.uint64(0xA0761D6478BD642F))
+    names = merge_dropout.mix(names + np.array([3], np.uint64) * np.uint64(0xA0761D6478BD642F))
     want = [reference_agenda(w, model, agenda, n) for w, n in zip(words, names, strict=True)]
     for limit in (48, 0):
         monkeypatch.setattr(merge_dropout, "SHORT_WORD", limit)
