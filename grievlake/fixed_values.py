@@ -9,13 +9,7 @@ from __future__ import annotations
 UNKNOWN = "UNKNOWN"
 OTHER_ISSUE = "OTHER"
 SENTINEL_PINCODE = "000000"
-ISSUE_CODES = ["WAGE_THEFT", "PHYSICAL_ASSAULT", "WRONGFUL_TERMINATION", "UNSAFE_CONDITIONS", "OTHER"]
-ISSUE_LABELS = [
-    "Wage Theft", "Physical Assault", "Wrongful Termination",
-    "Forced Labour", "Criminal Intimidation", "Other",
-]
 THREAT_LEVELS = ["LOW", "MEDIUM", "HIGH"]
-URGENCY_LEVELS = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
 # --- fixed values: scores, colours, coordinates, file types -----------------------------------
 THREAT_SCORE = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}

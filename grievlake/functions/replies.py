@@ -1,8 +1,9 @@
 """Model replies (free text that should hold one JSON object) to typed columns.
 
-``from_json`` accepts text after the first complete object. The candidate is therefore read as the
-only element of a list inside a larger object whose last member must be seen too, so a reply counts
-as parsed only when it is one object and nothing else. All fields are first read as text, so a wrong
+``from_json`` accepts text after the first complete object. The brackets of a candidate (outside its
+strings) are therefore counted first: one that closes before its end is more than one object. What is
+left is read as the only element of a list inside a larger object whose last member must be seen too, so a
+reply counts as parsed only when it is one object and nothing else. All fields are first read as text, so a wrong
 type in one field never spoils the others.
 """
 
@@ -21,8 +22,21 @@ _JSON_OPTIONS = {
     "allowNonNumericNumbers": "false",
     "columnNameOfCorruptRecord": "_corrupt",
 }
-# a Python literal in value position: between a colon and the end of the member
-_PY_VALUE = r"(:\s*)%s(?=\s*[,}])"
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+# a Python literal standing for a value: after a colon, a comma or an opening bracket
+_PY_VALUE = r"([:,\[]\s*)%s(?=\s*[,}\]])"
+
+
+def _closes_once(candidate: Column) -> Column:
+    """Brackets outside strings close for the first time where the last of them stands."""
+    brackets = F.regexp_replace(F.regexp_replace(candidate, _STRING, ""), r"[^\[\]{}]", "")
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"))
+
+    def step(s: Column, b: Column) -> Column:
+        depth = s["depth"] + F.when(b.isin("{", "["), 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), (s["closed"] + F.when(depth <= 0, 1).otherwise(0)).alias("closed"))
+
+    return F.aggregate(F.regexp_extract_all(brackets, F.lit("."), F.lit(0)), state, step)["closed"] == 1
 
 
 def _read_object(candidate: Column, fields: list[str]) -> Column:
@@ -35,16 +49,27 @@ def _read_object(candidate: Column, fields: list[str]) -> Column:
     parsed = F.from_json(F.concat(F.lit('{"r":['), candidate, F.lit('],"end":1}')), wrapped, _JSON_OPTIONS)
 
     def only_element(p: Column) -> Column:
-        alone = p["_corrupt"].isNull() & p["end"].isNotNull() & (F.size(p["r"]) == 1)
+        alone = _closes_once(candidate) & p["_corrupt"].isNull() & p["end"].isNotNull() & (F.size(p["r"]) == 1)
         return F.when(alone, F.get(p["r"], F.lit(0)))
 
     return bind(parsed, only_element)
 
 
 def _python_literals_to_json(candidate: Column) -> Column:
-    for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
-        candidate = F.regexp_replace(candidate, _PY_VALUE % python, "$1" + json)
-    return candidate
+    """Strings stay as they are: the literals are looked for between them."""
+    def outside(piece: Column) -> Column:
+        for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
+            # neighbours in a list share a comma, so every other one is left to a second pass
+            for _ in range(2):
+                piece = F.regexp_replace(piece, _PY_VALUE % python, "$1" + json)
+        return piece
+
+    # a string takes part as one mark, so that what stands around it still reads as one text
+    strings = F.regexp_extract_all(candidate, F.lit(_STRING), F.lit(0))
+    parts = F.split(outside(F.regexp_replace(candidate, _STRING, '"')), '"')
+    joined = F.array_join(F.zip_with(parts, strings, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    # a quote without its partner: the text is no object either way
+    return F.when(F.size(parts) == F.size(strings) + 1, joined).otherwise(candidate)
 
 
 def outer_braces(raw: Column | str) -> Column:

@@ -20,6 +20,12 @@ def rename_if_present(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(present)
 
 
+def json_without(row: Column | str, left_out: list[str]) -> Column:
+    """A struct as JSON text, without the named fields."""
+    row = F.col(row) if isinstance(row, str) else row
+    return F.to_json(row.dropFields(*left_out))
+
+
 def ensure_columns(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Add each missing column with its default value or default column."""
     missing = {n: v if isinstance(v, Column) else literal(v) for n, v in defaults.items() if n not in df.columns}

@@ -54,9 +54,16 @@ def with_translation(df: DataFrame, memory: DataFrame | None = None, text: str =
 
 def untranslated(df: DataFrame, memory: DataFrame, text: str = "raw_text") -> DataFrame:
     """Distinct trimmed texts the memory does not hold yet: the work list for a translation client."""
-    wanted = df.select(strip(text).alias("source_text")).filter("source_text != ''").distinct()
-    known = memory.select("source_text")
-    return wanted.join(known, "source_text", "left_anti")
+    wanted = df.select(strip(text).alias("source_text")).filter("source_text != ''").withColumn("_digest", F.md5("source_text"))
+    known = memory.select(F.md5("source_text").alias("_digest"))
+    # matched on digests as in with_translation; a text many calls share leaves one row per task
+    return wanted.groupBy("_digest").agg(F.first("source_text").alias("source_text")).join(
+        known, "_digest", "left_anti").select("source_text")
+
+
+def one_reply_per_call(replies: DataFrame) -> DataFrame:
+    """A client that tried twice answers twice: of several replies to a call the first in text order counts."""
+    return replies.groupBy("call_id").agg(F.min("raw").alias("raw"))
 
 
 def issue_of(text: Column) -> Column:
@@ -122,7 +129,7 @@ def build_silver(
     if replies is None:
         found = extract_entities(english)
     else:
-        joined = english.join(replies.select("call_id", "raw"), "call_id", "left")
+        joined = english.join(one_reply_per_call(replies), "call_id", "left")
         typed = joined.withColumn("_entities", bind(parse_entities("raw"), coerce_entities))
         found = typed.select(*english.columns, "_entities.*")
     return conform(found, SILVER)

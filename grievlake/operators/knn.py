@@ -22,12 +22,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..fixed_values import CONTEXT_CHARS
-from ..sources.storage import stage
-from .skew import BROADCAST_ROWS, salted_join
+from ..functions.text import head
 
 BLOCK_BYTES = 64 << 20  # query vectors sent to each task at once
 TILE_CELLS = 4_000_000  # distances held at once inside a task
-_MAX_SPLITS = 20
 _SLACK = 1e-9  # far above the rounding error of the fast distance, relative to the vector lengths
 
 
@@ -43,6 +41,19 @@ def _best_of(points: np.ndarray, target: np.ndarray, fast: np.ndarray, k: int, s
     return [(float(exact[i]), int(rows[i])) for i in chosen]
 
 
+def usable(vector: Column | str, dimensions: int) -> Column:
+    """Has the wanted length, and every element is a finite number."""
+    vector = F.col(vector) if isinstance(vector, str) else vector
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce((F.size(vector) == dimensions) & finite, F.lit(False))
+
+
+def split_vectors(df: DataFrame, dimensions: int, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Rows that a search can use, and the rejects: null, of another length, or with elements that are not finite."""
+    good = usable(column, dimensions)
+    return df.filter(good), df.filter(~good)
+
+
 def _points_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     """Ids in ascending order and their vectors as one matrix; rows without a vector are left out."""
     batch = batch.filter(pc.is_valid(batch.column("embedding")))
@@ -67,9 +78,12 @@ def _scanner(block, k: int, schema: pa.Schema):
             for start in range(0, len(queries), tile):
                 part = targets[start:start + tile]
                 fast = lengths[start:start + tile, None] + norms[None, :] - 2.0 * (part @ points.T)
-                for i, row in enumerate(fast):
-                    scale = float(lengths[start + i] + norms.max())
-                    found = [(d, ids[r].as_py()) for d, r in _best_of(points, part[i], row, k, scale)]
+                longest = float(norms.max())
+                # only queries with a row closer than their k-th best so far are looked at one by one
+                bound = np.array([kept[-1][0] if len(kept) == k else np.inf for kept in best[start:start + tile]])
+                for i in np.flatnonzero(fast.min(axis=1) <= bound + _SLACK * (lengths[start:start + tile] + longest)):
+                    scale = float(lengths[start + i] + longest)
+                    found = [(d, ids[r].as_py()) for d, r in _best_of(points, part[i], fast[i], k, scale)]
                     best[start + i] = sorted(best[start + i] + found)[:k]
         hits = [(queries[i], chunk, d) for i, kept in enumerate(best) for d, chunk in kept]
         if hits:
@@ -80,7 +94,8 @@ def _scanner(block, k: int, schema: pa.Schema):
 
 
 def _blocks(queries: DataFrame, count: int, dimensions: int, block_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Query ids and vectors in pieces of bounded size. A piece that came out too large is split again."""
+    """Query ids and vectors in pieces of bounded size. A piece that came out too large is split again; rows
+    that no hash tells apart share their id, which is refused."""
     rows = max(1, block_bytes // (8 * max(1, dimensions)))
     pieces = math.ceil(count / rows)
     waiting = [(queries, 0)] if pieces == 1 else [
@@ -90,7 +105,7 @@ def _blocks(queries: DataFrame, count: int, dimensions: int, block_bytes: int) -
         part, level = waiting.pop()
         frame = part.limit(2 * rows + 1).toPandas()
         if len(frame) > 2 * rows:
-            if level == _MAX_SPLITS:
+            if part.select("query_id").distinct().limit(2).count() < 2:
                 raise ValueError("query_id must be unique: too many rows share one id")
             side = F.pmod(F.xxhash64("query_id", F.lit(level)), F.lit(2))
             waiting += [(part.filter(side == half), level + 1) for half in (0, 1)]
@@ -104,6 +119,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, block_bytes: int = BL
     ``queries`` has query_id (unique) and embedding; ``corpus`` has chunk_id (unique), embedding and any
     columns to carry along, such as content and source. Scores are squared distances; ties go to the
     lower chunk_id. Only ids and vectors reach Python: the other columns are joined to the hits.
+    The longest query vector sets the dimension; vectors of another length, or with an element that is null
+    or not finite, match nothing (``split_vectors`` hands them out).
     """
     spark = corpus.sparkSession
     queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
@@ -113,33 +130,33 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, block_bytes: int = BL
         T.StructField("chunk_id", corpus.schema["chunk_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    vectors = corpus.select("chunk_id", "embedding")
+    dimensions = size["d"] or 1
+    queries = queries.filter(usable("embedding", dimensions))
+    vectors = corpus.select("chunk_id", "embedding").filter(usable("embedding", dimensions))
     scans = [
         vectors.mapInArrow(_scanner(spark.sparkContext.broadcast(block), k, to_arrow_schema(schema)), schema)
-        for block in _blocks(queries, size["n"], size["d"] or 1, block_bytes)
+        for block in _blocks(queries, size["n"], dimensions, block_bytes)
     ]
     near = reduce(DataFrame.unionByName, scans) if scans else spark.createDataFrame([], schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "chunk_id"))
     hits = near.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return with_chunks(hits, corpus, size["n"] * k)
+    return with_chunks(hits, corpus)
 
 
-def with_chunks(hits: DataFrame, corpus: DataFrame, hit_count: int) -> DataFrame:
-    """Hits with the other columns of their chunks. Few hits are broadcast, many are joined salted."""
+def with_chunks(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Hits with the other columns of their chunks. Spark picks the join by its own size threshold, and
+    adaptive execution splits the partition of a chunk that very many queries hit."""
     names = [c for c in corpus.columns if c not in ("chunk_id", "embedding")]
     if not names:
         joined = hits
-    elif hit_count <= BROADCAST_ROWS:
-        joined = corpus.select("chunk_id", *names).join(F.broadcast(hits), "chunk_id")
     else:
-        joined = salted_join(stage(hits, "hits"), corpus.select("chunk_id", *names), ["chunk_id"], "inner",
-                             spread_by=["query_id"])
+        joined = hits.join(corpus.select("chunk_id", *names), "chunk_id")
     return joined.select("query_id", "chunk_id", *names, "score", "rank")
 
 
 def context_of_hits(chars: int = CONTEXT_CHARS) -> Column:
     """Aggregate of one query's hits (at most k rows) to its context text and chunk ids, in rank order."""
-    start = F.coalesce(F.substring("content", 1, chars), F.lit(""))
+    start = F.coalesce(head("content", chars), F.lit(""))
     line = F.concat(F.lit("- "), "chunk_id", F.lit(": "), start)
     ordered = F.sort_array(F.collect_list(F.struct("rank", F.col("chunk_id").alias("id"), line.alias("line"))))
     return F.struct(

@@ -10,14 +10,14 @@ from pyspark.sql import types as T
 from .. import fixed_values as fixed
 from ..functions.replies import parse_fenced_json
 from ..functions.scores import high_priority
-from ..functions.text import as_column, fill_template, iso_timestamp, literal
+from ..functions.text import as_column, fill_template, iso_timestamp, issue_label, literal
 from ..schemas import ACTION, ACTION_LOG
-from ..sources.storage import stage
+from .complaints import one_reply_per_call
 from .corpus import keep_first
 from .hotspots import KEYS
 from .knn import context_of_hits
 from .retrieval import ASKED_BY, retrieve
-from .skew import HOT_FLOOR, lookup_join, salted_join
+from .skew import HOT_FLOOR, salted_join
 
 _PRIORITY = ["call_id", "pincode", "issue_type", "threat_label", "contractor_name", "work_site", "violence_threatened"]
 
@@ -39,11 +39,6 @@ def high_priority_complaints(silver: DataFrame, gold: DataFrame, floor: int = HO
     return joined.select(*_PRIORITY)
 
 
-def issue_label(issue: Column | str) -> Column:
-    """``WAGE_THEFT`` to ``Wage Theft``; labels pass unchanged."""
-    return F.initcap(F.replace(as_column(issue), F.lit("_"), F.lit(" ")))
-
-
 def _advice(values: tuple) -> Column:
     sections, steps, portal, urgency = values
     return F.struct(
@@ -164,14 +159,13 @@ def build_legal_actions(
     """
     rows = high_priority_complaints(silver, gold).withColumnRenamed("threat_label", "threat_level")
     if replies is not None:
-        rows = rows.join(replies.select("call_id", "raw"), "call_id", "left")
+        rows = rows.join(one_reply_per_call(replies), "call_id", "left")
         rows = rows.withColumn("reply", parse_fenced_json("raw")).drop("raw")
     else:
         rows = rows.withColumn("reply", F.lit(None).cast(ACTION))
     if contexts is not None:
-        # written once: the size check and the join would otherwise both run the whole search
-        known = stage(contexts.select(*ASKED_BY, "retrieved_chunks"), "contexts")
-        rows = lookup_join(rows, known, ASKED_BY, spread_by=["call_id"])
+        # a row per issue and threat level: small enough for Spark to broadcast, else split by adaptive execution
+        rows = rows.join(contexts.select(*ASKED_BY, "retrieved_chunks"), ASKED_BY, "left")
     else:
         rows = rows.withColumn("retrieved_chunks", F.lit(None).cast(T.ArrayType(T.StringType())))
     if on_failure == "advice":

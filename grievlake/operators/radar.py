@@ -10,7 +10,6 @@ from ..functions.scores import high_priority, marker_radius, marker_tooltip, sco
 from ..functions.shape import ensure_columns, rename_if_present
 from ..functions.text import fill_template, lookup
 from .hotspots import KEYS
-from .skew import lookup_join
 
 
 def primary_issue(silver: DataFrame) -> DataFrame:
@@ -30,7 +29,7 @@ def with_coordinates(df: DataFrame, places: DataFrame | None = None) -> DataFram
         ).drop("_spot")
     lat, lon = fixed.DEFAULT_COORDINATES
     keyed = places.select(F.col("pincode").cast("string").alias("pincode"), "lat", "lon")
-    joined = lookup_join(df.withColumn("pincode", F.col("pincode").cast("string")), keyed, ["pincode"])
+    joined = df.withColumn("pincode", F.col("pincode").cast("string")).join(keyed, ["pincode"], "left")
     return joined.withColumns({
         "lat": F.coalesce("lat", F.lit(lat)),
         "lon": F.coalesce("lon", F.lit(lon)),

@@ -18,8 +18,11 @@ def complaints_48h(
     group: the count is the running count within the hour plus the totals of the ``hours`` hours before,
     less the rows of the earliest of these hours that lie before the same offset. For that last part each
     row is seen a second time, narrow, ``hours`` later.
+
+    A time that is null or cannot be read has no place among the others: such a row counts the rows of its
+    key that have no time either, itself included, as a window over null times does.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = F.unix_micros(F.col(ts).try_cast("timestamp"))
     hour = F.floor(micros / F.lit(HOUR)).cast("long")
     own = df.withColumns({
         # rows without a key are one group of their own, in windows and in the join
@@ -41,5 +44,6 @@ def complaints_48h(
     totals = own.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_hour").rangeBetween(-hours, -1)
     full_hours = totals.select(*keys, "_hour", F.sum("_n").over(earlier).alias("_earlier"))
-    count = F.col("_in_hour") + F.coalesce("_earlier", F.lit(0)) - F.coalesce("_too_early", F.lit(0))
+    timed = F.col("_in_hour") + F.coalesce("_earlier", F.lit(0)) - F.coalesce("_too_early", F.lit(0))
+    count = F.when(F.col("_hour").isNull(), F.col("_in_hour")).otherwise(timed)
     return counted.join(full_hours, [*keys, "_hour"], "left").select(*df.columns, count.alias(out))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..functions.text import fill_template
+from ..functions.text import fill_template, issue_label
 from ..schemas import VECTORS
 from .knn import knn
 from .vectors import fit_vectors, vectorise
@@ -15,9 +15,17 @@ from .vectors import fit_vectors, vectorise
 ASKED_BY = ["issue_type", "threat_level"]
 
 
-def questions(actions: DataFrame) -> DataFrame:
-    """One question per distinct issue and threat level: complaints that ask the same share one search."""
-    asked = actions.select(*ASKED_BY).distinct().withColumn("query_text", fill_template(fixed.RETRIEVAL_QUERY))
+def questions(actions: DataFrame, as_words: bool = True) -> DataFrame:
+    """One question per distinct issue and threat level: complaints that ask the same share one search.
+
+    Issue codes are asked as words, since no chunk holds a code; ``as_words=False`` asks them as they are.
+    """
+    asked = actions.select(*ASKED_BY).distinct()
+    worded = asked.withColumn("_issue", F.col("issue_type"))
+    if as_words:
+        worded = worded.withColumn("issue_type", issue_label("issue_type"))
+    worded = worded.withColumn("query_text", fill_template(fixed.RETRIEVAL_QUERY))
+    asked = worded.select(F.col("_issue").alias("issue_type"), "threat_level", "query_text")
     return asked.withColumn("query_id", F.md5("query_text"))
 
 

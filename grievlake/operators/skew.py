@@ -7,25 +7,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Any key holding at least this share of all rows counts as hot, so there are at most 1/share of them.
-HOT_SHARE = 0.001
-# Keys below this many rows are never worth splitting.
+# A key of at least so many rows is hot: what one task should hold. There are at most total / HOT_FLOOR of them.
 HOT_FLOOR = 200_000
 # Rows of a hot key that one salt should hold.
 ROWS_PER_SALT = 100_000
-# A lookup table up to this many rows is broadcast; larger ones take the shuffled, salted join.
-BROADCAST_ROWS = 50_000
 
 
 def hot_keys(counts: DataFrame, keys: list[str], weight: str, floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys with their number of salts. ``counts`` has one row per key and its row count in ``weight``.
-
-    A hot key holds at least ``HOT_SHARE`` of all rows, so the result never exceeds 1000 rows.
-    """
-    total = counts.agg(F.sum(weight).alias("total")).scalar()
-    limit = F.greatest(F.lit(float(floor)), total * F.lit(HOT_SHARE))
+    """Keys of at least ``floor`` rows with their number of salts. ``counts`` has one row per key and its row
+    count in ``weight``. The limit is absolute, so a hot key is split whatever its share of the table."""
     salts = F.ceil(F.col(weight) / F.lit(ROWS_PER_SALT)).cast("int")
-    return counts.filter(F.col(weight) >= limit).select(*keys, salts.alias("_salts"))
+    return counts.filter(F.col(weight) >= floor).select(*keys, salts.alias("_salts"))
 
 
 def salted_join(
@@ -41,8 +33,9 @@ def salted_join(
     """Equi-join (inner or left) that spreads each hot key of the left side over several tasks.
 
     Hot keys are known from ``counts`` or counted on the left side (partial aggregation keeps that
-    shuffle to one row per key and task). Their few rows are broadcast; the rows of the right side with
-    a hot key are repeated once per salt, all others stay single. ``spread_by`` names short columns that
+    shuffle to one row per key and task). They are few, and Spark broadcasts them as long as they are below
+    its own threshold; the rows of the right side with a hot key are repeated once per salt, all others stay
+    single. ``spread_by`` names short columns that
     tell rows of one key apart (all columns by default), so that wide ones need not be read for it.
     """
     if how not in ("left", "inner"):
@@ -54,17 +47,7 @@ def salted_join(
     salts = F.coalesce("_salts", F.lit(1))
     row_hash = F.xxhash64(*(spread_by or left.columns))
     spread = F.when(salts > 1, F.pmod(row_hash, salts)).otherwise(0).cast("int")
-    salted = left.join(F.broadcast(hot), is_hot, "left").select(*left.columns, spread.alias("_salt"))
+    salted = left.join(hot, is_hot, "left").select(*left.columns, spread.alias("_salt"))
     copies = F.explode(F.sequence(F.lit(0), salts - 1))
-    repeated = right.join(F.broadcast(hot), is_hot, "left").select(*right.columns, copies.alias("_salt"))
+    repeated = right.join(hot, is_hot, "left").select(*right.columns, copies.alias("_salt"))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def lookup_join(
-    left: DataFrame, dimension: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS,
-    spread_by: list[str] | None = None,
-) -> DataFrame:
-    """Left join to a lookup table: broadcast while its counted size allows it, else salted."""
-    if dimension.limit(max_rows + 1).count() <= max_rows:
-        return left.join(F.broadcast(dimension), keys, "left")
-    return salted_join(left, dimension, keys, spread_by=spread_by)

@@ -17,10 +17,16 @@ def _unless_zero(vector: Column) -> Column:
     return F.when(F.exists(vector, lambda x: x != 0), vector)
 
 
-def fit_vectors(chunks: DataFrame, text: str = "content", dimensions: int = DIMENSIONS) -> PipelineModel:
-    """Document frequencies are one distributed aggregate; the model holds one number per dimension."""
+def fit_vectors(
+    chunks: DataFrame, text: str = "content", dimensions: int = DIMENSIONS, min_letters: int = 1
+) -> PipelineModel:
+    """Document frequencies are one distributed aggregate; the model holds one number per dimension.
+
+    ``dimensions`` is how many buckets the words share, and the length of every vector: raise it with the
+    vocabulary. Words of fewer than ``min_letters`` are left out.
+    """
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2),
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=min_letters),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
         IDF(inputCol="_counts", outputCol="_weights"),
         Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import with_mime
+from ..functions import shape
 from ..functions.shape import conform, ensure_columns, rename_if_present
 from ..functions.text import base_name, extension, or_default
 from ..operators import audit, notices, radar
@@ -291,14 +292,6 @@ def notices_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file_key", F.get(F.split("value", "\n"), F.lit(1)).alias("second_line"))
 
 
-@query("file_manifest", " UNION ALL ".join(
-    f"SELECT '{t}.parquet' AS name, 'parquet' AS ext, true AS has_bytes" for t in TABLES
-))
-def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves: names and sizes without reading contents."""
-    return readers.file_manifest(spark, sf_dir, ["parquet"]).select("name", "ext", (F.col("length") > 0).alias("has_bytes"))
-
-
 @query("table_audit", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS rows, 'OK' AS status, false AS all_good FROM {t}" for t in TABLES
 ) + " UNION ALL SELECT 'absent', NULL, 'MISSING', false")
@@ -306,6 +299,22 @@ def table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_tables(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES] + [f"{sf_dir}/absent.parquet"])
 
 
+@query("table_audit_all_good", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows, 'OK' AS status, true AS all_good FROM {t}" for t in TABLES
+))
+def table_audit_all_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_tables(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])
+
+
+@query("vectors_as_json", """
+SELECT vec_id, json_object('chunk_id', vec_id::VARCHAR, 'content', 'v' || label)::VARCHAR AS row_json FROM embeddings""")
+def vectors_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON text without the vector."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.struct(F.col("vec_id").cast("string").alias("chunk_id"), F.concat(F.lit("v"), "label").alias("content"), "embedding").alias("r"))
+    return rows.select("vec_id", shape.json_without("r", ["embedding"]).alias("row_json"))
+
+
 @query("layer_counts", f"""WITH {COMPLAINTS_SQL}
 SELECT 'silver' AS table_name, count(*) AS rows, 'OK' AS status FROM complaints
 UNION ALL SELECT 'gold', count(*), 'OK' FROM (SELECT DISTINCT pincode, contractor_name FROM complaints)""")

@@ -146,7 +146,7 @@ def action_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retrieval_questions", f"""{_GOLD}
 SELECT DISTINCT issue_type, threat_label AS threat_level,
-       issue_type || ' worker rights India ' || threat_label || ' threat' AS query_text
+       {LABEL_SQL} || ' worker rights India ' || threat_label || ' threat' AS query_text
 FROM complaints JOIN gold USING (pincode, contractor_name) WHERE escalate_immediately OR threat_label = 'HIGH'""")
 def retrieval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = complaints(spark, sf_dir)

@@ -58,9 +58,14 @@ def table_or_default(spark: SparkSession, name: str, rows: Iterable[tuple], sche
     return rows_table(spark, rows, schema)
 
 
-def read_schemes(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Give the schema once it is known: inference reads all files twice."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_schemes(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header. Give the schema once it is known: inference reads all files twice.
+
+    ``multi_line`` is for fields that hold line ends; a file is then one task, however large.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 

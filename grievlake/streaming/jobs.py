@@ -14,14 +14,15 @@ from ..sources.readers import stream_calls
 from ..sources.sinks import ingest_bronze
 
 DASHBOARD_INTERVAL = "60 seconds"
-GOLD_SLOTS = 10  # versions kept; a reader has this many intervals to finish
 
 
 def ingest_calls(
-    spark: SparkSession, folder: str, target: str, checkpoint: str, lines: bool = False, pattern: str = "*.json"
+    spark: SparkSession, folder: str, target: str, checkpoint: str, lines: bool = False, pattern: str = "*.json",
+    files_per_trigger: int | None = 10_000,
 ) -> StreamingQuery:
-    """Take up every call file not seen before, append its rows, and stop."""
-    return ingest_bronze(stream_calls(spark, folder, lines, pattern), target, checkpoint)
+    """Take up every call file not seen before, append its rows, and stop. A large folder is taken up in
+    batches of ``files_per_trigger`` files, each committed on its own."""
+    return ingest_bronze(stream_calls(spark, folder, lines, pattern, files_per_trigger), target, checkpoint)
 
 
 def stream_table(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -47,11 +48,11 @@ def refresh_gold(
 ) -> StreamingQuery:
     """Keep gold current: only new complaints are read, their aggregates are merged in the state store.
 
-    Every trigger writes a whole version into the next of ``GOLD_SLOTS`` folders, then notes it. A repeated
-    batch rewrites its own slot, and readers never see a half-written table.
+    Every trigger writes a whole version into a folder of its own, then notes it. A repeated batch rewrites
+    its own version, readers never see a half-written table, and no version goes before ``drop_versions``.
     """
     def write_version(gold: DataFrame, batch: int) -> None:
-        score_hotspots(gold).write.mode("overwrite").parquet(f"{folder}/slot-{batch % GOLD_SLOTS}")
+        score_hotspots(gold).write.mode("overwrite").parquet(f"{folder}/version-{batch}")
         note = gold.sparkSession.range(1).select(F.lit(batch).cast("long").alias("batch"))
         note.write.mode("append").parquet(f"{folder}/versions")
 
@@ -68,15 +69,30 @@ def read_current_gold(spark: SparkSession, folder: str) -> DataFrame:
         newest = spark.read.parquet(f"{folder}/versions").agg(F.max("batch").alias("batch")).first()["batch"]
     except AnalysisException:
         return spark.createDataFrame([], GOLD)
-    return spark.read.schema(GOLD).parquet(f"{folder}/slot-{newest % GOLD_SLOTS}")
+    return spark.read.schema(GOLD).parquet(f"{folder}/version-{newest}")
+
+
+def drop_versions(spark: SparkSession, folder: str, keep: int = 10) -> int:
+    """Delete all versions but the newest ``keep``; call it when no reader needs older ones. Returns how many went."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("version-")]
+    named.sort(key=lambda p: int(p.getName().removeprefix("version-")))
+    old = named[:-keep] if keep else named
+    for version in old:
+        files.delete(version, True)
+    return len(old)
 
 
 def counts_48h_stream(
     calls: DataFrame, key: str = "contractor_name", ts: str = "timestamp",
     window: str = "48 hours", slide: str = "24 hours", delay: str = "1 hour",
 ) -> DataFrame:
-    """Complaints per contractor and 48-hour window, sliding daily; late rows count up to ``delay``."""
-    timed = calls.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
+    """Complaints per contractor and 48-hour window, sliding daily; late rows count up to ``delay``.
+
+    A time that cannot be read belongs to no window.
+    """
+    timed = calls.withColumn("_at", F.col(ts).try_cast("timestamp")).withWatermark("_at", delay)
     return timed.groupBy(F.window("_at", window, slide).alias("w"), key).agg(
         F.count(F.lit(1)).alias("complaints")
     ).select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "complaints")

@@ -140,3 +140,47 @@ def test_only_closed_windows_are_written(spark, tmp_path, delay, closed):
     jobs.write_counts(jobs.counts_48h_stream(stream, delay=delay), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == closed and {r["complaints"] for r in got} == {2}
+
+
+def test_calls_without_a_readable_time_count_each_other(spark):
+    from grievlake.operators.recency import complaints_48h
+
+    df = spark.createDataFrame(
+        [(1, "a", "2024-01-01 10:00:00"), (2, "a", None), (3, "a", "no time"), (4, "b", None), (5, "a", "2024-01-02 10:00:00")],
+        "id int, contractor_name string, timestamp string")
+    assert {r.id: r.complaints_48h for r in complaints_48h(df).collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 5: 2}
+
+
+def test_second_replies_do_not_double_calls(spark):
+    from grievlake.operators.complaints import one_reply_per_call
+
+    df = spark.createDataFrame([("1", "b"), ("1", "a"), ("2", None)], "call_id string, raw string")
+    assert sorted(map(tuple, one_reply_per_call(df).collect())) == [("1", "a"), ("2", None)]
+
+
+def test_unreadable_tables_are_not_called_missing(spark, tmp_path):
+    from grievlake.operators.audit import audit_tables
+
+    (tmp_path / "empty").mkdir()
+    spark.range(3).write.parquet(f"{tmp_path}/full")
+    got = {r.table_name: (r.rows, r.status) for r in audit_tables(spark, [f"{tmp_path}/{n}" for n in ("full", "empty", "none")]).collect()}
+    assert got == {"full": (3, "OK"), "empty": (None, "UNREADABLE"), "none": (None, "MISSING")}
+
+
+def test_old_gold_versions_go_only_when_asked(spark, tmp_path):
+    from grievlake.streaming.jobs import drop_versions
+
+    for k in range(4):
+        (tmp_path / f"version-{k}").mkdir()
+    (tmp_path / "versions").mkdir()
+    assert drop_versions(spark, str(tmp_path), keep=3) == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["version-1", "version-2", "version-3", "versions"]
+
+
+def test_first_items_and_head(spark):
+    from pyspark.sql import functions as F
+
+    from grievlake.functions.text import first_items, head
+
+    row = spark.range(1).select(first_items(F.array(F.lit(1), F.lit(2), F.lit(3)), 2).alias("a"), head(F.lit("abc"), 2).alias("b")).first()
+    assert (row.a, row.b) == ([1, 2], "ab")

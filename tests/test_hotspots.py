@@ -91,12 +91,6 @@ def test_salting_changes_no_result(spark, rows, monkeypatch):
     assert {r["k"]: r["_salts"] for r in hot} == {"hot": 20, None: 8}
 
 
-def test_large_lookup_takes_the_salted_way(spark, rows):
-    left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, id int")
-    dim = spark.createDataFrame([("a", "x"), ("c", "y")], "k string, v string")
-    assert rows(skew.lookup_join(left, dim, ["k"], max_rows=1)) == rows(skew.lookup_join(left, dim, ["k"]))
-
-
 def demo(spark):
     return radar.with_urgency(spark.createDataFrame(DEMO_RADAR, RADAR.fieldNames()))
 

@@ -137,3 +137,15 @@ def test_conform_turns_unfit_values_into_nulls(spark):
 def test_mime(spark):
     df = spark.createDataFrame([("/a/b.MP3",), ("x.m4a",), ("noext",), ("y.mp4",)], "path string")
     assert [r["mime"] for r in with_mime(df).collect()] == ["audio/mpeg", "audio/mp4", "audio/wav", "audio/wav"]
+
+
+def test_literals_in_lists_and_inside_strings(spark):
+    raw = [
+        '{"contractor_name":"R","flags":[True, None, False]}', '{"contractor_name":"S", "work_site": "gate: True, west", "violence_threatened": True}',
+        '{"contractor_name":"A"}],"r":[{"contractor_name":"B"}', '{"contractor_name":"C", "x": {"y": [1, {"z": "}]{"}]}}', '{"contractor_name":"D"} {"contractor_name":"E"}',
+        '{"contractor_name":"F", "x": None, "y": 1"}',
+    ]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k int, raw string")
+    got = {r.k: (r.contractor_name, r.work_site, r.violence_threatened) for r in with_entities(df).collect()}
+    assert got[0][0] == "R" and got[1] == ("S", "gate: True, west", True)
+    assert got[2][0] == "UNKNOWN" and got[3][0] == "C" and got[4][0] == "UNKNOWN" and got[5][0] == "UNKNOWN"

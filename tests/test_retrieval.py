@@ -55,10 +55,24 @@ def test_shared_query_ids_are_refused(spark):
         knn.knn(q, c, 3, block_bytes=5 * 8)
 
 
-def test_many_hits_take_the_salted_join(spark, monkeypatch):
-    queries, corpus, q, c = frames(spark)
-    monkeypatch.setattr(knn, "BROADCAST_ROWS", 1)
-    assert hits_of(knn.knn(q, c, 3)) == by_hand(queries, corpus, 3)
+def test_bad_vectors_match_nothing_and_spoil_nothing(spark):
+    q = spark.createDataFrame([("a", [0.0, 0.0]), ("nan", [float("nan"), 1.0]), ("short", [1.0])], "query_id string, embedding array<float>")
+    c = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [float("nan"), 0.0]), (3, [2.0, 0.0]), (4, [None, 1.0]), (5, [1.0]), (6, [2.0, 2.0, 2.0]), (7, [float("inf"), 0.0]), (8, None), (9, [3.0, 0.0])],
+        "chunk_id long, embedding array<float>")
+    assert hits_of(knn.knn(q, c, 5)) == [("a", 1, 1.0, 1), ("a", 3, 4.0, 2), ("a", 9, 9.0, 3)]
+    good, rejects = knn.split_vectors(c, 2)
+    assert {r.chunk_id for r in good.collect()} == {1, 3, 9} and {r.chunk_id for r in rejects.collect()} == {2, 4, 5, 6, 7, 8}
+
+
+def test_issue_codes_find_what_their_words_find(spark, rows):
+    model, vectors = retrieval.embed_chunks(spark.createDataFrame(CHUNK_ROWS, CHUNKS))
+    best = {}
+    for issue in ("PHYSICAL_ASSAULT", "Physical Assault", "WAGE_THEFT"):
+        asked = spark.createDataFrame([(issue, "HIGH")], "issue_type string, threat_level string")
+        best[issue] = retrieval.retrieve(asked, model, vectors, 1).first()
+    assert best["PHYSICAL_ASSAULT"]["issue_type"] == "PHYSICAL_ASSAULT"
+    assert best["PHYSICAL_ASSAULT"]["chunk_id"] == best["Physical Assault"]["chunk_id"] == "BNS_115"
 
 
 def test_fewer_chunks_than_k_and_missing_vectors(spark):
