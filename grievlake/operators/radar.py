@@ -9,7 +9,7 @@ from .. import fixed_values as fixed
 from ..functions.scores import high_priority, marker_radius, marker_tooltip, score_to_urgency, style_columns
 from ..functions.shape import ensure_columns, rename_if_present
 from ..functions.text import fill_template, lookup
-from .hotspots import KEYS
+from .hotspots import KEYS, aggregate_with_primary_issue, score_hotspots
 
 
 def primary_issue(silver: DataFrame) -> DataFrame:
@@ -38,7 +38,15 @@ def with_coordinates(df: DataFrame, places: DataFrame | None = None) -> DataFram
 
 def build_radar(silver: DataFrame, gold: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Gold plus one primary issue, coordinates and urgency. Both join sides hold one row per hotspot."""
-    joined = gold.join(primary_issue(silver), KEYS, "left")
+    return _radar_of(gold.join(primary_issue(silver), KEYS, "left"), places)
+
+
+def radar_from_silver(silver: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """The same from complaints alone: gold and primary issue come from one aggregate, without a join."""
+    return _radar_of(score_hotspots(aggregate_with_primary_issue(silver)), places)
+
+
+def _radar_of(joined: DataFrame, places: DataFrame | None) -> DataFrame:
     return with_coordinates(with_urgency(joined.select(
         "contractor_name", "pincode", "total_complaints",
         F.col("severity_score").cast("double").alias("severity_score"), "primary_issue",

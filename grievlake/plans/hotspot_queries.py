@@ -51,8 +51,7 @@ def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def radar_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silver = complaints(spark, sf_dir)
-    return radar.build_radar(silver, hotspots.build_gold(silver))
+    return radar.radar_from_silver(complaints(spark, sf_dir))
 
 
 @query("gold_heatmap", f"""{_GOLD}

@@ -409,15 +409,20 @@ def dedup_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- pages and sections -------------------------------------------------------------------------
 
+def volume() -> Column:
+    """A document of at most 500 pages: a source's rows, in blocks of ids, so that no document grows with the table."""
+    return F.concat_ws("-", "source", F.floor(F.col("doc_id") / 500))
+
+
 def statute_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages per document source, in doc_id order. Every third page opens a section with a numbered header."""
+    """Pages per volume, in doc_id order. Every third page opens a section with a numbered header."""
     header = F.concat(
         F.when(F.col("doc_id") % 2 == 0, "Section ").otherwise(""), F.col("doc_id") % 900 + 1,
         F.lit(". Clause about record "), "doc_id", F.lit("\n"),
     )
     opens = F.when(F.col("doc_id") % 3 == 0, header).otherwise("")
     pages = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), F.concat(opens, "text").alias("raw_text")
+        volume().alias("doc_id"), F.col("doc_id").alias("page_number"), F.concat(opens, "text").alias("raw_text")
     )
     return clean_pages(pages)
 
@@ -428,10 +433,10 @@ _OPENING = """CASE WHEN doc_id % 3 = 0
 
 
 @query("section_split", f"""WITH numbered AS (
-  SELECT source, doc_id, {strip_sql(_OPENING + " || text")} AS page_text FROM documents
+  SELECT source || '-' || (doc_id // 500) AS volume, doc_id, {strip_sql(_OPENING + " || text")} AS page_text FROM documents
 ), whole AS (
-  SELECT source AS doc_id, string_agg(page_text, chr(10) ORDER BY doc_id) AS doc_text
-  FROM numbered WHERE page_text <> '' GROUP BY source
+  SELECT volume AS doc_id, string_agg(page_text, chr(10) ORDER BY doc_id) AS doc_text
+  FROM numbered WHERE page_text <> '' GROUP BY volume
 ), marked AS (
   SELECT doc_id, regexp_replace(doc_text, '(?:Section\\s+)?(\\d{{1,3}})\\.\\s+([A-Z][^\\n]{{5,80}})\\n',
                                 chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g') AS doc_text
@@ -452,11 +457,11 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("assemble_documents", f"""
-SELECT source AS doc_id, md5(string_agg({strip_sql('text')}, chr(10) ORDER BY doc_id)) AS text_digest
-FROM documents WHERE text <> '' GROUP BY source""")
+SELECT source || '-' || (doc_id // 500) AS doc_id, md5(string_agg({strip_sql('text')}, chr(10) ORDER BY documents.doc_id)) AS text_digest
+FROM documents WHERE text <> '' GROUP BY source || '-' || (doc_id // 500)""")
 def assemble_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = clean_pages(table(spark, sf_dir, "documents").select(
-        F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), F.col("text").alias("raw_text")
+        volume().alias("doc_id"), F.col("doc_id").alias("page_number"), F.col("text").alias("raw_text")
     ))
     return sections.assemble_documents(pages).select("doc_id", F.md5("text").alias("text_digest"))
 

@@ -144,3 +144,8 @@ def test_urgency_steps(spark):
     df = spark.createDataFrame([(9.5,), (8.0,), (7.9,), (5.0,), (3.0,), (2.9,), (None,)], "s double")
     got = [r[0] for r in df.select(score_to_urgency("s")).collect()]
     assert got == ["CRITICAL", "CRITICAL", "HIGH", "HIGH", "MEDIUM", "LOW", "LOW"]
+
+
+def test_radar_in_one_pass_equals_the_join(spark, rows):
+    silver = silver_of(spark, SIX_CALLS)
+    assert rows(radar.radar_from_silver(silver)) == rows(radar.build_radar(silver, hotspots.build_gold(silver)))
