@@ -112,6 +112,11 @@ def entity_requests(df: DataFrame) -> DataFrame:
     return df.select("call_id", fill_template(fixed.ENTITY_PROMPT).alias("prompt"))
 
 
+def failed_replies(replies: DataFrame) -> DataFrame:
+    """call_id and raw of the replies that ``build_silver`` can read nothing from."""
+    return one_reply_per_call(replies).filter(parse_entities("raw").isNull())
+
+
 def build_silver(
     bronze: DataFrame,
     memory: DataFrame | None = None,

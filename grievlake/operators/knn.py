@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..fixed_values import CONTEXT_CHARS
 from ..functions.text import head
+from ..sources.storage import stage
 
 BLOCK_BYTES = 64 << 20  # query vectors sent to each task at once
 TILE_CELLS = 4_000_000  # distances held at once inside a task
@@ -123,7 +124,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, block_bytes: int = BL
     or not finite, match nothing (``split_vectors`` hands them out).
     """
     spark = corpus.sparkSession
-    queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    # written once: counting, cutting into blocks and sending would each compute the vectors anew
+    queries = stage(queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()), "questions")
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),

@@ -143,6 +143,11 @@ def contexts_for(actions: DataFrame, model: PipelineModel, vectors: DataFrame, k
     return hits.groupBy(*ASKED_BY, "query_id").agg(context_of_hits().alias("c")).select(*ASKED_BY, "query_id", "c.*")
 
 
+def failed_replies(replies: DataFrame) -> DataFrame:
+    """call_id and raw of the replies that ``build_legal_actions`` replaces by advice."""
+    return one_reply_per_call(replies).filter(parse_fenced_json("raw").isNull())
+
+
 def build_legal_actions(
     silver: DataFrame,
     gold: DataFrame,

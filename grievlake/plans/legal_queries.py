@@ -103,8 +103,8 @@ def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    chunks = vector_chunks(spark, sf_dir).drop("label").join(texts, "chunk_id", "left")
-    return knn.knn(centroids(spark, sf_dir), chunks, 3)
+    hits = knn.knn(centroids(spark, sf_dir), vector_chunks(spark, sf_dir).drop("label"), 3)
+    return hits.join(texts, "chunk_id", "left")  # the search sees vectors only; texts are looked up for the few hits
 
 
 @query("retrieved_ids", f"""{_KNN_SQL}
@@ -161,6 +161,7 @@ def text_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), "source"
     )
     model, vectors = retrieval.embed_chunks(chunks)
+    vectors = stage(vectors, "vectors")  # every block of questions scans them
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     hits = retrieval.search(model, vectors, texts, 3)
     return hits.select(

@@ -184,3 +184,11 @@ def test_first_items_and_head(spark):
 
     row = spark.range(1).select(first_items(F.array(F.lit(1), F.lit(2), F.lit(3)), 2).alias("a"), head(F.lit("abc"), 2).alias("b")).first()
     assert (row.a, row.b) == ([1, 2], "ab")
+
+
+def test_failed_replies_can_be_seen(spark):
+    from grievlake.operators import complaints, legal
+
+    df = spark.createDataFrame([("1", '{"contractor_name":"A"}'), ("2", "sorry"), ("3", None), ("4", "```json\n{\"urgency\":\"HIGH\"}\n```")], "call_id string, raw string")
+    assert sorted(r.call_id for r in complaints.failed_replies(df).collect()) == ["2", "3"]
+    assert sorted(r.call_id for r in legal.failed_replies(df).collect()) == ["2", "3"]
