@@ -12,14 +12,21 @@ def _fingerprint(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
+def _with_lowest(edges: DataFrame, lowest: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with the lowest neighbour m of u. The centre of a large star is a hot key: the other side
+    is dealt by an expression of its own, so that both sides are plain shuffles and adaptive execution can split it."""
+    keyed = lowest.select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("_u"), "m")
+    return edges.join(keyed, F.col("u") == F.col("_u")).drop("_u")
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (u, v) with u > v."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = _with_lowest(both.filter("v > u"), lowest).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     lowest = large.groupBy("u").agg(F.min("v").alias("m"))
     return (
-        large.join(lowest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        _with_lowest(large, lowest).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .union(lowest.select("u", F.col("m").alias("v"))).distinct()
     )
 
