@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stage
+
 WINDOW = 13
 #: Largest set of windows to broadcast, in bytes of its words.
 BROADCAST_BYTES = 64 << 20
@@ -64,10 +66,13 @@ def find_hits(
         F.xxhash64("gram").alias("_hash"), F.col("len").alias("_gram_len"), F.col("gram").alias("_gram"),
         F.col("items").alias("_items"),
     )
+    fits_broadcast = facts["bytes"] <= broadcast_bytes
     words = docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("_row"), F.monotonically_increasing_id().alias("_doc"),
         words_of(F.col(text_col)).alias("_w"),
     )
+    if not fits_broadcast:
+        words = stage(words, "words")  # read twice below: the numbers of the documents must stay the same
     # position 0 stands for the document itself, so that documents without hits stay
     spots = words.select("_row", "_doc", "_w", F.explode(F.sequence(F.lit(0), F.size("_w"))).alias("_p"))
     if len(lengths) > 1:
@@ -79,7 +84,7 @@ def find_hits(
     gram = F.slice("_w", F.greatest("_p", F.lit(1)), F.col("_len"))
     marker = (F.col("_p") == 0)
     probes = spots.filter(fits | marker)
-    if facts["bytes"] <= broadcast_bytes:
+    if fits_broadcast:
         found = probes.withColumn("_probe", F.when(fits, F.xxhash64(gram))).join(
             F.broadcast(grams), (F.col("_probe") == F.col("_hash")) & (F.col("_len") == F.col("_gram_len"))
             & (gram == F.col("_gram")), "left",
