@@ -1,14 +1,16 @@
 """Main text of web pages by wrapper induction over the pages of each host.
 
-1. One page of each host, drawn by a hash, is its reference. Runs of like siblings (the paragraphs of an
-   article, the items of a list) are folded into one node, so that trees stay small.
-2. Every page is aligned with its host's reference by simple tree matching. For each reference node it is
-   counted, over all pages of the host and summed up before any shuffle, how many pages have a node there and
-   how many of these have the same text. Pages that copy the reference as a whole say nothing and are left out.
-3. Nodes that mostly keep their text are template, the others are slots. A page's text is what stands in its
-   slots: inside ``article`` or ``main`` if it has them, where a repeated passage is still content, else in
-   all of the page. Navigation, headers, footers, side bars, adverts, notices, forms and comments go by
-   their element names, classes, ids and roles.
+1. Runs of like siblings (the paragraphs of an article, the items of a list) are folded into one leaf, so that
+   trees stay small. The text that a node holds beside its blocks is a leaf, too.
+2. Each leaf of every page has two places: its path (the labels from the root; nodes that tree matching pairs
+   always share it) and its number within the page's layout (the whole folded label tree). For each host and place
+   Spark counts the pages that have it and those with the same text there, whatever layout the page has and
+   however rare. Pages whose two longest texts (of those not boilerplate by name) are equal
+   count once: copies say nothing about a template.
+3. Leaves that mostly keep their text at either place are template, the others are slots. A page's text is what
+   stands in its slots: inside ``article`` or ``main`` if it has them, else in all of the page. Navigation,
+   headers, footers, side bars, adverts, notices, forms and comments go by their element names, classes, ids
+   and roles.
 
 A null or empty html has an empty text. Pages without a host (also a null url) share one. Repeated rows are
 extracted each. Unclosed and stray tags are mended as browsers do for the common cases. Other columns go.
@@ -17,10 +19,10 @@ extracted each. Unclosed and stray tags are mended as browsers do for the common
 from __future__ import annotations
 
 import html as entities
-import json
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,9 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.storage import stage
-from .scan import worker_cache
 
-#: A node is template if at least so many pages have it and this share of them keeps its text.
+#: A place is template if at least so many pages have it and this share of them keeps its text.
 LEAST_PAGES, TEMPLATE_SHARE = 3, 0.6
 #: Wrappers up to so many bytes are broadcast; beyond, pages and wrappers meet in a shuffled join.
 BROADCAST_BYTES = 32 << 20
@@ -69,10 +70,11 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "kids", "dropped")
+    __slots__ = ("tag", "names", "role", "kids", "dropped", "silent")
 
     def __init__(self, tag: str, names: tuple[str, ...] = (), role: str = ""):
-        self.tag, self.names, self.role, self.kids, self.dropped = tag, names, role, [], False
+        self.tag, self.names, self.role, self.kids = tag, names, role, []
+        self.dropped = self.silent = False
 
 
 def parse(page: str) -> Node:
@@ -176,52 +178,58 @@ def whole_text(node: Node) -> str:
     return clean("".join(out))
 
 
-def folded(node: Node) -> tuple[str, list, list[Node]]:
-    """(label, folded children, the page's nodes behind it). Runs of like siblings are one leaf."""
-    kids, run = [], []
-    label = lambda x: x.tag + "".join("." + n for n in x.names)
-    blocks = [k for k in node.kids if not isinstance(k, str) and k.tag not in VOID]
-    for kid in blocks:
-        if run and label(run[-1]) == label(kid):
-            run.append(kid)
-            continue
-        if run:
-            kids.append(fold_run(run, label(run[0])))
-        run = [kid]
-    if run:
-        kids.append(fold_run(run, label(run[0])))
-    return label(node), kids, [node]
-
+def key64(*parts: object) -> int:
+    """A 64-bit hash that every worker computes alike; never 0."""
+    raw = "\0".join(map(str, parts)).encode("utf-8", "surrogatepass")
+    return int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True) or 1
 
-def fold_run(run: list[Node], label: str) -> tuple[str, list, list[Node]]:
-    if len(run) == 1 and any(not isinstance(k, str) and k.tag in BLOCK for k in run[0].kids):
-        return folded(run[0])
-    return label, [], run
 
+def label_of(node: Node) -> str:
+    return node.tag + "".join("." + n for n in node.names)
 
-def skeleton(tree: tuple) -> list:
-    """The folded tree as plain lists: label, hash of the text of a leaf, children, number of the node, text length."""
-    count = iter(range(1 << 30))
-
-    def walk(x):
-        label, kids, nodes = x
-        number = next(count)
-        text = " ".join(whole_text(n) for n in nodes) if not kids else ""
-        return [label, text_key(text), [walk(k) for k in kids], number, len(text)]
 
-    return walk(tree)
+@dataclass(slots=True)
+class Leaf:
+    """A leaf of the folded tree: a run of like siblings, or the text that a node holds beside its blocks."""
 
+    nodes: list[Node]
+    own: bool
+    text: str
+    path: int  # hash of the labels from the root
+    named: bool  # boilerplate by a name on the way to it
+    place: int = 0  # hash of the layout and the number of the leaf in it
 
-def longest(tree: list) -> tuple[int, int]:
-    """Length and hash of the longest text of a leaf."""
-    return max([(tree[4], tree[1]), *map(longest, tree[2])])
 
-
-def text_key(text: str) -> int:
-    from zlib import crc32
-
-    raw = text.encode("utf-8", "surrogatepass")
-    return 0 if not text else (crc32(raw) << 32 | crc32(raw[::-1])) + 1
+def folded_leaves(root: Node) -> list[Leaf]:
+    """Leaves of the folded tree in order of the page."""
+    leaves, shape = [], []
+    paths: dict[tuple[int, str], int] = {}
+    waiting: list[tuple[list[Node], str, int, int, bool]] = [([root], label_of(root), 0, 0, False)]
+    while waiting:
+        run, label, above, depth, named = waiting.pop()
+        named = named or not is_content(run[0], True)
+        path = paths.get((above, label)) or paths.setdefault((above, label), key64(above, label))
+        shape.append(f"{depth}{label}")
+        if depth and not (len(run) == 1 and any(not isinstance(k, str) and k.tag in BLOCK for k in run[0].kids)):
+            leaves.append(Leaf(run, False, " ".join(whole_text(n) for n in run), path, named))
+            continue
+        node, runs = run[0], []
+        own = clean(" ".join(k for k in node.kids if isinstance(k, str)))
+        if own:
+            leaves.append(Leaf([node], True, own, key64(path, "#text"), named))
+            shape.append("#")
+        for kid in node.kids:
+            if not isinstance(kid, str) and kid.tag not in VOID:
+                name = label_of(kid)
+                if runs and runs[-1][1] == name:
+                    runs[-1][0].append(kid)
+                else:
+                    runs.append(([kid], name, path, depth + 1, named))
+        waiting += reversed(runs)
+    layout = key64(*shape)
+    for k, leaf in enumerate(leaves):
+        leaf.place = key64(layout, k)
+    return leaves
 
 
 def match_trees(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
@@ -250,20 +258,12 @@ def match_trees(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     return best[-1][-1] + 1, pairs
 
 
-def reference(wrapper: str) -> list:
-    cache = worker_cache().setdefault("skeletons", {})
-    if wrapper not in cache:
-        if len(cache) > 2000:
-            cache.clear()
-        cache[wrapper] = json.loads(wrapper)
-    return cache[wrapper]
-
-
 def blocks(node: Node, inside_article: bool, out: list[list[str]]) -> None:
     """Texts of the blocks of a subtree, without what is dropped."""
     for kid in node.kids:
         if isinstance(kid, str):
-            out[-1].append(kid)
+            if not node.silent:
+                out[-1].append(kid)
         elif kid.tag == "br":
             out[-1].append(" ")
         elif not kid.dropped and is_content(kid, inside_article):
@@ -285,24 +285,16 @@ def articles(node: Node) -> Iterator[Node]:
                 yield from articles(kid)
 
 
-def extract(page: str, wrapper: str | None, template: frozenset[int]) -> str:
+def extract(page: str, wrapper: frozenset[int] | None, template: frozenset[int]) -> str:
     root = parse(page)
     if wrapper and template:
-        tree = folded(root)
-        plain = skeleton(tree)
-        behind: dict[int, list[Node]] = {}
-        count = iter(range(1 << 30))
-
-        def number(x):
-            behind[next(count)] = x[2]
-            for k in x[1]:
-                number(k)
-
-        number(tree)
-        for mine, other in match_trees(plain, reference(wrapper))[1]:
-            if not mine[2] and other[3] in template and mine[1] == other[1]:
-                for node in behind[mine[3]]:
-                    node.dropped = True
+        for leaf in folded_leaves(root):
+            if leaf.text and any(key64(p, leaf.text) in template for p in (leaf.path, leaf.place)):
+                for node in leaf.nodes:
+                    if leaf.own:
+                        node.silent = True
+                    else:
+                        node.dropped = True
     found = list(articles(root))
     out: list[list[str]] = [[]]
     for part in found or [root]:
@@ -312,23 +304,28 @@ def extract(page: str, wrapper: str | None, template: frozenset[int]) -> str:
     return "\n\n".join(texts)
 
 
-def count_alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and reference node, summed over a batch: pages that have it, pages with the same text."""
+def count_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every page and place with text: the place, the place with its text, and the page by its longest texts.
+
+    ``general`` is 0 for paths and, for a place in a layout, its text at the path.
+    """
     for batch in batches:
-        pages, same = Counter(), Counter()
-        for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            mine, other = skeleton(folded(parse(page or ""))), reference(wrapper)
-            if longest(mine) == longest(other):
+        rows = set()
+        for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            leaves = [leaf for leaf in folded_leaves(parse(page)) if leaf.text]
+            if not leaves:
                 continue
-            for x, y in match_trees(mine, other)[1]:
-                if y[1] and not y[2]:
-                    pages[host, y[3]] += 1
-                    same[host, y[3]] += x[1] == y[1]
-        keys = list(pages)
+            told = {leaf.text for leaf in leaves if not leaf.named} or {leaf.text for leaf in leaves}
+            whole = key64(*sorted(told, key=lambda t: (-len(t), t))[:2])
+            for leaf in leaves:
+                text = key64(leaf.path, leaf.text)
+                rows |= {
+                    (host, leaf.path, 0, 0, whole), (host, leaf.path, text, 0, whole),
+                    (host, leaf.place, 0, 1, whole), (host, leaf.place, key64(leaf.place, leaf.text), text, whole),
+                }
+        hosts, *numbers = zip(*rows, strict=True) if rows else ((), (), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in keys], pa.string()), pa.array([n for _, n in keys], pa.int32()),
-             pa.array([pages[k] for k in keys], pa.int64()), pa.array([same[k] for k in keys], pa.int64())],
-            names=["host", "node", "pages", "same"],
+            [pa.array(hosts, pa.string()), *(pa.array(n, pa.int64()) for n in numbers)], names=["host", "place", "text", "general", "page"]
         )
 
 
@@ -337,37 +334,51 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
-def _meet(pages: DataFrame, wrappers: DataFrame, size: str) -> DataFrame:
-    total = wrappers.agg(F.coalesce(F.sum(F.octet_length(size)), F.lit(0))).first()[0]
+def _meet(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    total = wrappers.agg(F.coalesce(F.sum(8 * (F.size("wrapper") + F.size("template"))), F.lit(0))).first()[0]
     return pages.join(F.broadcast(wrappers) if total <= BROADCAST_BYTES else wrappers, "host", "left")
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """A row per host: ``host``, ``wrapper`` (the folded reference tree) and ``template`` (its constant nodes)."""
+    """A row per host with paths on enough pages: ``host``, ``wrapper`` (these paths) and ``template`` (the
+    constant texts, as hashes of path or place and text)."""
     plain = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    drawn = plain.filter(F.length("html") > 0).groupBy("host").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
-    to_wrapper = F.arrow_udf(
-        lambda some: pa.array([json.dumps(skeleton(folded(parse(p or "")))) for p in some.to_pylist()]), T.StringType()
-    )
-    wrappers = stage(drawn.select("host", to_wrapper("html").alias("wrapper")), "references")
     counted = (
-        _meet(plain, wrappers, "wrapper").filter("wrapper is not null").select("host", "html", "wrapper")
-        .mapInArrow(count_alignments, "host string, node int, pages bigint, same bigint")
-        .groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-        .filter((F.col("pages") >= LEAST_PAGES) & (F.col("same") >= F.col("pages") * TEMPLATE_SHARE))
-        .groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
+        plain.filter(F.length("html") > 0)
+        .mapInArrow(count_places, "host string, place bigint, text bigint, general bigint, page bigint").distinct()
+        .groupBy("host", "place", "text", "general").agg(F.count(F.lit(1)).alias("same"))
+        .filter(F.col("same") >= F.when(F.col("text") == 0, LEAST_PAGES).otherwise(LEAST_PAGES * TEMPLATE_SHARE))
+    )
+    counted = stage(counted, "places")
+    totals = counted.filter("text = 0").select("host", "place", F.col("same").alias("pages"))
+    constant = stage(
+        counted.filter("text <> 0").join(totals, ["host", "place"])
+        .filter(F.col("same") >= F.col("pages") * TEMPLATE_SHARE).select("host", "text", "general"), "constant"
+    )
+    by_path = constant.filter("general = 0").select("host", F.col("text").alias("general"))
+    # what is constant at its path, too, is not listed for every layout
+    further = constant.filter("general <> 0").join(by_path, ["host", "general"], "left_anti").select("host", "text")
+    paths = counted.filter("text = 0 and general = 0").select("host", F.col("place").alias("path"))
+    found = (
+        paths.withColumn("text", F.lit(None).cast("bigint"))
+        .unionByName(by_path.select("host", F.col("general").alias("text")).unionByName(further), allowMissingColumns=True)
+        .groupBy("host").agg(F.collect_set("path").alias("wrapper"), F.collect_set("text").alias("template"))
     )
-    return stage(wrappers.join(counted, "host", "left"), "wrappers")
+    return stage(found, "wrappers")
 
 
 def main_text(
     pages: DataFrame, wrappers: DataFrame, keep: list[str], url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
     """The ``keep`` columns of every page and its ``text``."""
-    def run(some: pa.Array, wrapper: pa.Array, template: pa.Array) -> pa.Array:
-        rows = zip(some.to_pylist(), wrapper.to_pylist(), template.to_pylist(), strict=True)
-        return pa.array([extract(p, w, frozenset(t or ())) if p else "" for p, w, t in rows], pa.string())
+    def run(some: pa.Array, host: pa.Array, wrapper: pa.Array, template: pa.Array) -> pa.Array:
+        sets, out = {}, []
+        for k, (page, name) in enumerate(zip(some.to_pylist(), host.to_pylist(), strict=True)):
+            if name not in sets:
+                sets[name] = [frozenset(x[k].as_py() or ()) for x in (wrapper, template)]
+            out.append(extract(page, *sets[name]) if page else "")
+        return pa.array(out, pa.string())
 
     plain = pages.select(F.struct(*keep).alias("_row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("_html"))
-    text = F.arrow_udf(run, T.StringType())(F.col("_html"), F.col("wrapper"), F.col("template"))
-    return _meet(plain, wrappers, "wrapper").select("_row", text.alias("text")).select("_row.*", "text")
+    text = F.arrow_udf(run, T.StringType())(*map(F.col, ("_html", "host", "wrapper", "template")))
+    return _meet(plain, wrappers).select("_row", text.alias("text")).select("_row.*", "text")

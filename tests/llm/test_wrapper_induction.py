@@ -76,6 +76,21 @@ def test_constant_nodes_go_and_slots_stay(spark):
     assert len(w.main_text(pages, wrappers, ["page_id"]).collect()) == len(rows)
 
 
+def test_every_layout_of_a_host_has_its_template(spark):
+    first = lambda k: f"<div>Menu A</div><h1>Story {k}</h1><p>body {k}</p><div>Rights A</div>"
+    second = lambda k: f"<section><b>Menu B</b><h2>Talk {k}</h2><p>said {k}</p><p>more</p></section><span>Rights B</span>"
+    odd = lambda k: f"<div>Menu A</div><h{k % 6 + 1}>Odd {k}</h{k % 6 + 1}><pre>{k}</pre><div>Rights A</div>"
+    rows = [(k, None, first(k)) for k in range(5)] + [(10 + k, None, second(k)) for k in range(5)]
+    rows += [(20 + k, None, odd(k)) for k in range(2)] + [(30, None, "<p>Not found"), (31, None, "<p>Not found")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in w.main_text(pages, w.induce(pages), ["page_id"]).collect()}
+    for k in range(5):
+        assert got[k] == f"Story {k}\n\nbody {k}"
+        assert got[10 + k] == f"Talk {k}\n\nsaid {k}\n\nmore"
+    assert all(got[20 + k] == f"Odd {k}\n\n{k}" for k in range(2)), "layouts of one page, too"
+    assert got[30] == got[31] == "Not found"
+
+
 def test_empty_table_and_long_page(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert w.main_text(none, w.induce(none), ["page_id"]).count() == 0
