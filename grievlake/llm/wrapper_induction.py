@@ -7,10 +7,12 @@
    Spark counts the pages that have it and those with the same text there, whatever layout the page has and
    however rare. Pages whose two longest texts (of those not boilerplate by name) are equal
    count once: copies say nothing about a template.
-3. Leaves that mostly keep their text at either place are template, the others are slots. A page's text is what
-   stands in its slots: inside ``article`` or ``main`` if it has them, else in all of the page. Navigation,
-   headers, footers, side bars, adverts, notices, forms and comments go by their element names, classes, ids
-   and roles.
+3. Leaves that mostly keep their text at either place are template and go, inside articles, too; those on enough
+   pages that vary are slots and stay wherever they are. Leaves on too few pages stay inside ``article`` or
+   ``main``, and anywhere if the page has neither or nothing else is found.
+4. Navigation, footers, side bars, adverts, notices, forms and comments go by their element names, classes, ids
+   and roles even where they vary, as links and adverts do. An article with such classes stays if it has slots,
+   unless the page has another article and its classes say nothing else.
 
 A null or empty html has an empty text. Pages without a host (also a null url) share one. Repeated rows are
 extracted each. Unclosed and stray tags are mended as browsers do for the common cases. Other columns go.
@@ -33,6 +35,8 @@ from ..sources.storage import stage
 
 #: A place is template if at least so many pages have it and this share of them keeps its text.
 LEAST_PAGES, TEMPLATE_SHARE = 3, 0.6
+#: Mark of articles, among those of slots.
+ARTICLE = 2
 #: Wrappers up to so many bytes are broadcast; beyond, pages and wrappers meet in a shuffled join.
 BROADCAST_BYTES = 32 << 20
 
@@ -70,11 +74,11 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "kids", "dropped", "silent")
+    __slots__ = ("tag", "names", "role", "kids", "dropped", "silent", "slot", "own_slot")
 
     def __init__(self, tag: str, names: tuple[str, ...] = (), role: str = ""):
         self.tag, self.names, self.role, self.kids = tag, names, role, []
-        self.dropped = self.silent = False
+        self.dropped = self.silent = self.slot = self.own_slot = False
 
 
 def parse(page: str) -> Node:
@@ -207,7 +211,7 @@ def folded_leaves(root: Node) -> list[Leaf]:
     waiting: list[tuple[list[Node], str, int, int, bool]] = [([root], label_of(root), 0, 0, False)]
     while waiting:
         run, label, above, depth, named = waiting.pop()
-        named = named or not is_content(run[0], True)
+        named = named or not (is_article(run[0]) or is_content(run[0], True))
         path = paths.get((above, label)) or paths.setdefault((above, label), key64(above, label))
         shape.append(f"{depth}{label}")
         if depth and not (len(run) == 1 and any(not isinstance(k, str) and k.tag in BLOCK for k in run[0].kids)):
@@ -258,50 +262,77 @@ def match_trees(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     return best[-1][-1] + 1, pairs
 
 
-def blocks(node: Node, inside_article: bool, out: list[list[str]]) -> None:
-    """Texts of the blocks of a subtree, without what is dropped."""
+def blocks(node: Node, inside_article: bool, out: list[list[str]], slots_only: bool = False) -> None:
+    """Texts of the blocks of a subtree, without what is dropped; with ``slots_only``, of articles and slots alone."""
     for kid in node.kids:
         if isinstance(kid, str):
-            if not node.silent:
+            if not node.silent and (not slots_only or node.own_slot):
                 out[-1].append(kid)
         elif kid.tag == "br":
             out[-1].append(" ")
-        elif not kid.dropped and is_content(kid, inside_article):
+        elif not kid.dropped and (kid.slot == ARTICLE or is_content(kid, inside_article)):
             edge = kid.tag in BLOCK
             if edge:
                 out.append([])
-            blocks(kid, inside_article or is_article(kid), out)
+            blocks(kid, inside_article or is_article(kid), out, slots_only and not kid.slot)
             if edge:
                 out.append([])
 
 
-def articles(node: Node) -> Iterator[Node]:
-    """Outermost articles that are not boilerplate themselves."""
+def articles(node: Node, vetoed: list[Node]) -> Iterator[Node]:
+    """Outermost articles that are not boilerplate themselves; those that are so by class or id alone go to ``vetoed``."""
     for kid in node.kids:
-        if not isinstance(kid, str) and is_content(kid, False):
-            if is_article(kid):
-                yield kid
+        if not isinstance(kid, str):
+            if is_content(kid, False):
+                if is_article(kid):
+                    yield kid
+                else:
+                    yield from articles(kid, vetoed)
+            elif is_article(kid) and kid.role not in NOT_CONTENT_ROLES:
+                vetoed.append(kid)
+
+
+def align(root: Node, wrapper: frozenset[int], template: frozenset[int]) -> None:
+    """Mark the nodes of template and slots."""
+    for leaf in folded_leaves(root):
+        if not leaf.text:
+            continue
+        constant = any(key64(p, leaf.text) in template for p in (leaf.path, leaf.place))
+        for node in leaf.nodes:
+            if leaf.own:
+                node.silent, node.own_slot = constant, not constant and leaf.path in wrapper
             else:
-                yield from articles(kid)
+                node.dropped, node.slot = constant, not constant and leaf.path in wrapper
+
+
+def has_slot(node: Node) -> bool:
+    waiting = [node]
+    while waiting:
+        x = waiting.pop()
+        if x.slot or x.own_slot:
+            return True
+        waiting += [k for k in x.kids if not isinstance(k, str)]
+    return False
 
 
 def extract(page: str, wrapper: frozenset[int] | None, template: frozenset[int]) -> str:
     root = parse(page)
-    if wrapper and template:
-        for leaf in folded_leaves(root):
-            if leaf.text and any(key64(p, leaf.text) in template for p in (leaf.path, leaf.place)):
-                for node in leaf.nodes:
-                    if leaf.own:
-                        node.silent = True
-                    else:
-                        node.dropped = True
-    found = list(articles(root))
+    if wrapper:
+        align(root, wrapper, template)
+    vetoed: list[Node] = []
+    found = list(articles(root, vetoed))
+    # names of an article are a prior: slots overrule them, unless they say nothing else and there is another article
+    found += [x for x in vetoed if has_slot(x) and (not found or not all(n in NOT_CONTENT_WORDS for n in x.names))]
+    for part in found:
+        part.slot = ARTICLE
+    texts = texts_of(root, bool(found))
+    return "\n\n".join(texts or (texts_of(root, False) if found else ()))
+
+
+def texts_of(root: Node, slots_only: bool) -> list[str]:
     out: list[list[str]] = [[]]
-    for part in found or [root]:
-        out.append([])
-        blocks(part, bool(found), out)
-    texts = [t for t in (clean("".join(b)) for b in out) if t]
-    return "\n\n".join(texts)
+    blocks(root, False, out, slots_only)
+    return [t for t in (clean("".join(b)) for b in out) if t]
 
 
 def count_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,6 +91,25 @@ def test_every_layout_of_a_host_has_its_template(spark):
     assert got[30] == got[31] == "Not found"
 
 
+def test_alignment_decides_outside_and_inside_articles(spark):
+    make = {
+        "body.org": lambda k: f"<nav>go {k}</nav><div class=top>Site</div><article><p>teaser {k}</p></article><div id=story>The body of {k}</div>",
+        "empty.org": lambda k: f"<div class=top>Site</div><article></article><div id=story>The body of {k}</div><aside>see {k}</aside>",
+        "class.org": lambda k: f"<article class='post has-comments share'><h1>Title {k}</h1><p>text {k}</p><div>Thanks</div></article>",
+        "two.org": lambda k: f"<article><p>text {k}</p></article><article class=comment>reply {k}</article>",
+        "only.org": lambda k: f"<div>Site</div><article class=promotion><p>text {k}</p></article>",
+    }
+    rows = [(100 * n + k, f"http://{host}/", page(k)) for n, (host, page) in enumerate(make.items()) for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in w.main_text(pages, w.induce(pages), ["page_id"]).collect()}
+    for k in range(5):
+        assert got[k] == f"teaser {k}\n\nThe body of {k}"
+        assert got[100 + k] == f"The body of {k}"
+        assert got[200 + k] == f"Title {k}\n\ntext {k}"
+        assert got[300 + k] == got[400 + k] == f"text {k}"
+    assert text_of("<article></article><div>body</div>") == "body"
+
+
 def test_empty_table_and_long_page(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert w.main_text(none, w.induce(none), ["page_id"]).count() == 0
