@@ -168,17 +168,15 @@ def is_article(node: Node) -> bool:
 
 def whole_text(node: Node) -> str:
     out: list[str] = []
-
-    def walk(x):
-        for kid in x.kids:
-            if isinstance(kid, str):
-                out.append(kid)
-            else:
-                if kid.tag in BLOCK or kid.tag == "br":
-                    out.append(" ")
-                walk(kid)
-
-    walk(node)
+    waiting = list(reversed(node.kids))
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            if x.tag in BLOCK or x.tag == "br":
+                out.append(" ")
+            waiting += reversed(x.kids)
     return clean("".join(out))
 
 
@@ -263,33 +261,40 @@ def match_trees(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
 
 
 def blocks(node: Node, inside_article: bool, out: list[list[str]], slots_only: bool = False) -> None:
-    """Texts of the blocks of a subtree, without what is dropped; with ``slots_only``, of articles and slots alone."""
-    for kid in node.kids:
-        if isinstance(kid, str):
-            if not node.silent and (not slots_only or node.own_slot):
+    """Texts of the blocks of a subtree, without what is dropped; with ``slots_only``, of articles and slots alone.
+
+    Trees are walked with stacks of their own, as pages nest thousands of elements.
+    """
+    kids_of = lambda x, inside, only: [(k, x, inside, only) for k in reversed(x.kids)]
+    waiting = kids_of(node, inside_article, slots_only)
+    while waiting:
+        kid, parent, inside, only = waiting.pop()
+        if kid is None:
+            out.append([])
+        elif isinstance(kid, str):
+            if not parent.silent and (not only or parent.own_slot):
                 out[-1].append(kid)
         elif kid.tag == "br":
             out[-1].append(" ")
-        elif not kid.dropped and (kid.slot == ARTICLE or is_content(kid, inside_article)):
-            edge = kid.tag in BLOCK
-            if edge:
-                out.append([])
-            blocks(kid, inside_article or is_article(kid), out, slots_only and not kid.slot)
-            if edge:
+        elif not kid.dropped and (kid.slot == ARTICLE or is_content(kid, inside)):
+            if kid.tag in BLOCK:
                 out.append([])
+                waiting.append((None, kid, inside, only))
+            waiting += kids_of(kid, inside or is_article(kid), only and not kid.slot)
 
 
-def articles(node: Node, vetoed: list[Node]) -> Iterator[Node]:
+def articles(root: Node, vetoed: list[Node]) -> Iterator[Node]:
     """Outermost articles that are not boilerplate themselves; those that are so by class or id alone go to ``vetoed``."""
-    for kid in node.kids:
-        if not isinstance(kid, str):
-            if is_content(kid, False):
-                if is_article(kid):
-                    yield kid
-                else:
-                    yield from articles(kid, vetoed)
-            elif is_article(kid) and kid.role not in NOT_CONTENT_ROLES:
-                vetoed.append(kid)
+    waiting = [k for k in reversed(root.kids) if not isinstance(k, str)]
+    while waiting:
+        node = waiting.pop()
+        if is_content(node, False):
+            if is_article(node):
+                yield node
+            else:
+                waiting += [k for k in reversed(node.kids) if not isinstance(k, str)]
+        elif is_article(node) and node.role not in NOT_CONTENT_ROLES:
+            vetoed.append(node)
 
 
 def align(root: Node, wrapper: frozenset[int], template: frozenset[int]) -> None:

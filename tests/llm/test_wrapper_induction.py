@@ -116,6 +116,14 @@ def test_empty_table_and_long_page(spark):
     assert len(text_of("<div>" * 300 + "x" * 2_000_000)) == 2_000_000
 
 
+@pytest.mark.parametrize("tag", ["div", "b", "article"])
+def test_deeply_nested_pages_go_through_the_query(spark, tag):
+    deep = lambda k: "<h1>Site</h1>" + f"<{tag}>" * 5000 + f"story {k} <p>more {k}"
+    pages = spark.createDataFrame([(k, "http://a.org", deep(k)) for k in range(4)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in w.main_text(pages, w.induce(pages), ["page_id"]).collect()}
+    assert got == {k: f"story {k}\n\nmore {k}" for k in range(4)}
+
+
 def test_query_on_given_pages(spark):
     from grievlake.llm.queries import QUERIES
 
