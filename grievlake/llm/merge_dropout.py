@@ -2,12 +2,14 @@
 
 Encoding follows the model's own rule: the adjacent pair whose joined piece has the best score is merged
 first, the leftmost of equals. Each candidate (a pair of neighbours with its place in the word) is met once
-on that agenda; a hash keyed by seed, variant, word and place skips it with probability ``dropout``. Which
-of the ``variants`` applies to a word is drawn by a hash of seed, text and the word's number in the text. At
-``dropout=0`` the pieces are those of the library.
+on that agenda; a hash keyed by seed, text, the word's number in the text, word and place skips it with
+probability ``dropout``, so that every occurrence of a word has a draw of its own. At ``dropout=0`` the pieces are
+those of the library.
 
 No piece holds a space after another character, nor a line feed, so merges never leave a word with the
-spaces before it; words are therefore encoded apart and remembered by each worker. Characters that the
+spaces before it; words are therefore encoded apart. Each worker remembers a word's pieces without dropout and
+the candidates met on the way to them: an occurrence that skips none of these has these pieces, any other one goes
+through the agenda by itself. Characters that the
 model does not know become byte pieces. A literal U+2581 does too, as the model could not tell it from a space.
 
 ``decode`` is exact for every text. A null text counts as empty and has no pieces. Repeated rows with equal
@@ -30,10 +32,12 @@ from pyspark.sql import types as T
 
 from .scan import letter_values, mix, run_hashes, text_bytes, worker_cache
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 #: Longer words take the heap, shorter ones are merged side by side.
 SHORT_WORD = 48
 REMEMBERED = 600_000
+#: Symbols of words merged side by side at a time.
+SIDE_SYMBOLS = 1 << 15
 #: Characters of text worked on at a time.
 SLICE_CHARS = 1 << 19
 
@@ -87,6 +91,11 @@ def load_model(path: str) -> Model:
     return Model(chars, tuple(byte_ids), keys, np.array([pairs[k] for k in keys], np.int64), order, tuple(out), prefix)
 
 
+def candidate(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The place of a candidate in its word as one number."""
+    return (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+
+
 class Agenda:
     """Merges of many words at once, for one model, seed and dropout."""
 
@@ -106,7 +115,9 @@ class Agenda:
         return np.where(self.model.pair_keys[at] == keys, self.model.pair_ids[at], -1)
 
     def skipped(self, word: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
-        place = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+        return self.skips(word, candidate(start, middle, end))
+
+    def skips(self, word: np.ndarray, place: np.ndarray) -> np.ndarray:
         return mix(mix(word + place) ^ self.seed) < self.limit
 
     def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,29 +138,40 @@ class Agenda:
             ids = spread
         return ids, sizes
 
-    def encode(self, words: list[str], variants: list[int]) -> list[bytes]:
+    def encode(self, words: list[str], draws: list[int]) -> list[bytes]:
         """Piece ids of every word as little-endian 32-bit numbers."""
-        data = "".join(words).encode("utf-8", "surrogatepass")
-        ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in words])
-        names = run_hashes(np.frombuffer(data, np.uint8), np.concatenate([[0], ends[:-1]]), ends, letter_values(False))
-        names = mix(names + np.array(variants, np.uint64) * np.uint64(0xA0761D6478BD642F))
         ids, sizes = self.symbols(words)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        out: list[bytes] = [b""] * len(words)
-        short = sizes <= SHORT_WORD
-        for k in np.flatnonzero(~short):
-            out[k] = self.by_heap(ids[at[k]: at[k + 1]].tolist(), names[k])
-        chosen = np.flatnonzero(short & (sizes > 0))
-        if len(chosen):
-            inside = np.repeat(short, sizes)
-            flat, counts = self.side_by_side(ids[inside], sizes[chosen], names[chosen])
-            raw, stops = flat.astype("<i4").tobytes(), np.cumsum(counts) * 4
-            for k, a, b in zip(chosen.tolist(), (stops - counts * 4).tolist(), stops.tolist(), strict=True):
-                out[k] = raw[a:b]
-        return out
-
-    def side_by_side(self, ids: np.ndarray, sizes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One merge per word and turn, for all words that still have one."""
+        flat, counts = self.merge(ids, sizes, drawn(word_hashes(words), np.array(draws, np.uint64)))
+        raw, stops = flat.astype("<i4").tobytes(), np.cumsum(counts) * 4
+        return [raw[a:b] for a, b in zip((stops - counts * 4).tolist(), stops.tolist(), strict=True)]
+
+    def merge(self, ids: np.ndarray, sizes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all words one after the other, and how many each has, from their symbols."""
+        short, at = sizes <= SHORT_WORD, np.concatenate([[0], np.cumsum(sizes)])
+        parts, counts = [np.zeros(0, np.int64)], np.zeros(len(sizes), np.int64)
+        inside, chosen = ids[np.repeat(short, sizes)], np.flatnonzero(short & (sizes > 0))
+        ends = np.cumsum(sizes[chosen])
+        first = begin = 0
+        while first < len(chosen):
+            last = max(first + 1, int(np.searchsorted(ends, begin + SIDE_SYMBOLS, "right")))
+            some = chosen[first:last]
+            flat, counts[some] = self.side_by_side(inside[begin: ends[last - 1]], sizes[some], names[some])[:2]
+            parts.append(flat)
+            first, begin = last, int(ends[last - 1])
+        flat, long = np.concatenate(parts), np.flatnonzero(~short)
+        if not len(long):
+            return flat, counts
+        coded = [np.frombuffer(self.by_heap(ids[at[k]: at[k + 1]].tolist(), names[k]), "<i4") for k in long]
+        counts[long] = [len(c) for c in coded]
+        out, mine = np.empty(int(counts.sum()), np.int64), np.repeat(short, counts)
+        out[mine], out[~mine] = flat, np.concatenate(coded)
+        return out, counts
+
+    def side_by_side(
+        self, ids: np.ndarray, sizes: np.ndarray, names: np.ndarray | None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One merge per word and turn, for all words that still have one. Without ``names`` none is skipped, and the
+        candidates met come third, with the numbers of their words."""
         n, total = len(ids), len(sizes)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         owner = np.repeat(np.arange(total), sizes)
@@ -161,6 +183,7 @@ class Agenda:
         before = np.arange(-1, n)
         stop = np.append(place + 1, 0)  # where the symbol ends in its word
         best = np.full(n, _NONE)
+        met, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
         def propose(left: np.ndarray):
             right = after[left]
@@ -169,7 +192,10 @@ class Agenda:
             left, right = left[ok], right[ok]
             piece = self.merged(ids[left], ids[right])
             found = piece >= 0
-            if self.drops:
+            if names is None:
+                met.append(candidate(place[left], place[right], stop[right])[found])
+                whose.append(owner[left][found])
+            elif self.drops:
                 found &= ~self.skipped(names[owner[left]], place[left], place[right], stop[right])
             best[left] = np.where(found, (self.model.order[piece] << 6) | place[left], _NONE)
 
@@ -199,7 +225,7 @@ class Agenda:
             mine = (previous >= 0) & (owner[np.maximum(previous, 0)] == live)
             propose(np.concatenate([left, previous[mine]]))
         alive = alive[:n]
-        return ids[:n][alive], np.bincount(owner[alive], minlength=total)
+        return ids[:n][alive], np.bincount(owner[alive], minlength=total), np.concatenate(met), np.concatenate(whose)
 
     def by_heap(self, ids: list[int], name: np.uint64) -> bytes:
         """The agenda as a heap, for one long word."""
@@ -232,39 +258,89 @@ class Agenda:
         return np.array([i for i, a in zip(ids, alive, strict=True) if a], "<i4").tobytes()
 
 
-class Known(dict):
-    """Numbers of the words met so far, and the pieces of each word and variant in one growing array."""
+def word_hashes(words: list[str]) -> np.ndarray:
+    data = "".join(words).encode("utf-8", "surrogatepass")
+    ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in words])
+    return run_hashes(np.frombuffer(data, np.uint8), np.concatenate([[0], ends[:-1]]), ends, letter_values(False))
+
+
+def drawn(names: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """What the skips of one occurrence of a word are keyed by."""
+    return mix(names + draws * np.uint64(0xA0761D6478BD642F))
+
 
-    def __init__(self, variants: int):
-        self.variants, self.words = variants, []
+class Pool:
+    """Stretches of one growing array."""
+
+    def __init__(self, kind: type):
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.start = np.append(self.start, self.used + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        if self.used + len(flat) > len(self.data):
+            grown = np.zeros(max(2 * len(self.data), self.used + len(flat)), self.data.dtype)
+            grown[: self.used] = self.data[: self.used]
+            self.data = grown
+        self.data[self.used: self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        return gather(self.data, self.start[numbers], self.size[numbers])
+
+
+class Known(dict):
+    """Numbers of the words met so far, up to ``most`` after a slice; of each word its hash, symbols, pieces without
+    dropout and candidates on the way to these. Words that take the heap have no pieces here if candidates can be skipped."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.words = most, []
+        self.names = np.zeros(0, np.uint64)
+        self.symbols, self.pieces, self.candidates = Pool(np.int32), Pool(np.int32), Pool(np.uint64)
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self.words)
         self.words.append(word)
         return number
 
-    def fill(self, keys: np.ndarray, agenda: Agenda) -> None:
-        """Encode the keys (word number x variants + variant) that have no pieces yet."""
-        room = len(self.words) * self.variants
-        if room > len(self.size):
-            more = max(room, 2 * len(self.size)) - len(self.size)
-            self.start = np.append(self.start, np.zeros(more, np.int64))
-            self.size = np.append(self.size, np.full(more, -1))
-        new = np.unique(keys[self.size[keys] < 0])
-        if not len(new):
-            return
-        coded = agenda.encode([self.words[k] for k in (new // self.variants).tolist()], (new % self.variants).tolist())
-        flat = np.frombuffer(b"".join(coded), "<i4")
-        self.size[new] = [len(c) // 4 for c in coded]
-        self.start[new] = self.used + np.cumsum(self.size[new]) - self.size[new]
-        if self.used + len(flat) > len(self.pool):
-            grown = np.zeros(max(2 * len(self.pool), self.used + len(flat)), np.int32)
-            grown[: self.used] = self.pool[: self.used]
-            self.pool = grown
-        self.pool[self.used: self.used + len(flat)] = flat
-        self.used += len(flat)
+    def fill(self, agenda: Agenda) -> None:
+        """Take up the words that have no pieces yet."""
+        while len(self.names) < len(self.words):
+            words = self.words[len(self.names): len(self.names) + SIDE_SYMBOLS // 8]
+            ids, sizes = agenda.symbols(words)
+            self.names = np.append(self.names, word_hashes(words))
+            self.symbols.add(ids, sizes)
+            if not agenda.drops:
+                self.pieces.add(*agenda.merge(ids, sizes, self.names[-len(words):]))
+                continue
+            short = sizes <= SHORT_WORD
+            pieces, counts = np.zeros(0, np.int64), np.zeros((2, len(words)), np.int64)
+            met = np.zeros(0, np.uint64)
+            if short.any():
+                pieces, counts[0, short], met, whose = agenda.side_by_side(ids[np.repeat(short, sizes)], sizes[short], None)
+                met = met[np.argsort(whose, kind="stable")]
+                counts[1, short] = np.bincount(whose, minlength=int(short.sum()))
+            self.pieces.add(pieces, counts[0])
+            self.candidates.add(met, counts[1])
+
+    def encode(self, numbers: np.ndarray, draws: np.ndarray, agenda: Agenda) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the words with these numbers and draws, and how many each has."""
+        self.fill(agenda)
+        sizes = self.pieces.size[numbers]
+        if not agenda.drops or not len(numbers):
+            return self.pieces.take(numbers), sizes
+        names, met = drawn(self.names[numbers], draws), self.candidates.size[numbers]
+        skipped = agenda.skips(np.repeat(names, met), self.candidates.take(numbers))
+        sums = np.concatenate([[0], np.cumsum(skipped)])
+        ends = np.cumsum(met)
+        own = (sums[ends] > sums[ends - met]) | (self.symbols.size[numbers] > SHORT_WORD)
+        other = numbers[own]
+        flat, counts = agenda.merge(self.symbols.take(other).astype(np.int64), self.symbols.size[other], names[own])
+        sizes[own] = counts
+        out, mine = np.empty(int(sizes.sum()), np.int32), np.repeat(own, sizes)
+        out[mine], out[~mine] = flat, self.pieces.take(numbers[~own])
+        return out, sizes
 
 
 def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -276,7 +352,7 @@ def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def encode_texts(texts: list[str], agenda: Agenda, known: Known) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For slices of the texts: all piece ids in order, and how many each text has."""
-    first, variants = 0, known.variants
+    first = 0
     while first < len(texts):
         last, size = first, 0
         while last < len(texts) and (size == 0 or size + len(texts[last]) <= SLICE_CHARS):
@@ -284,21 +360,19 @@ def encode_texts(texts: list[str], agenda: Agenda, known: Known) -> Iterator[tup
             last += 1
         words = [WORDS.findall(" " + t if agenda.model.dummy_prefix and t else t) for t in texts[first:last]]
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        keys = np.array(list(map(known.__getitem__, chain.from_iterable(words))), np.int64) * variants
-        if agenda.drops and variants > 1:
+        numbers = np.array(list(map(known.__getitem__, chain.from_iterable(words))), np.int64)
+        draws = np.zeros(len(numbers), np.uint64)
+        if agenda.drops:
             data, at = text_bytes(pa.array(texts[first:last], pa.large_string()))
             own = run_hashes(data, at[:-1], at[1:], letter_values(False))
-            number = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
-            draw = mix(np.repeat(mix(own + agenda.seed), counts) + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            keys += (draw % np.uint64(variants)).astype(np.int64)
-        known.fill(keys, agenda)
-        sizes = known.size[keys]
-        so_far = np.concatenate([[0], np.cumsum(sizes)])
-        ends = so_far[np.cumsum(counts)]
-        yield gather(known.pool, known.start[keys], sizes), np.diff(ends, prepend=0)
-        if len(known.words) > REMEMBERED:
+            place = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
+            draws = mix(np.repeat(mix(own + agenda.seed), counts) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        ids, sizes = known.encode(numbers, draws, agenda)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        yield ids, np.diff(ends, prepend=0)
+        if len(known.words) > known.most:
             known.clear()
-            known.__init__(variants)
+            known.__init__(known.most)
         first = last
 
 
@@ -335,16 +409,15 @@ ENCODED = T.StructType([
 
 def encode(
     docs: DataFrame, model_path: str, text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED,
-    variants: int = VARIANTS,
 ) -> DataFrame:
     """``docs`` with ``pieces`` (ids), ``n_pieces`` and ``lossless``: whether the pieces decode to the text."""
     model = load_model(model_path)
-    key = ("pieces", model_path, dropout, seed, variants)
+    key = ("pieces", model_path, dropout, seed)
 
     def run(texts: pa.Array) -> pa.Array:
         cache = worker_cache()
         if key not in cache:
-            cache[key] = (Agenda(model, dropout, seed), Known(variants), Speller(model))
+            cache[key] = (Agenda(model, dropout, seed), Known(), Speller(model))
         agenda, known, speller = cache[key]
         given = [t or "" for t in texts.to_pylist()]
         parts, sizes, exact = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []

@@ -113,6 +113,31 @@ def test_both_ways_of_merging_follow_the_agenda(monkeypatch):
         assert [np.frombuffer(x, "<i4").tolist() for x in agenda.encode(words, [3] * len(words))] == want
 
 
+def test_every_occurrence_has_its_own_draw(monkeypatch):
+    word = " international"
+    model, (ids,) = encoded([word[1:] + word * 3000], 0.1)
+    cuts, one, at = {}, [], 0
+    for i in ids:
+        one.append(i)
+        at += len(model.pieces[i])
+        if at == len(word):
+            cuts[tuple(one)] = cuts.get(tuple(one), 0) + 1
+            one, at = [], 0
+    assert sum(cuts.values()) == 3001 and len(cuts) > 20, "four segmentations at most when occurrences share draws"
+    # the remembered way and the agenda of every occurrence agree
+    texts = ["".join(prose(120, k)) for k in range(3)] + ODD
+    model, want = encoded(texts, 0.2)
+
+    def plain(self, numbers, draws, agenda):
+        self.fill(agenda)
+        coded = agenda.encode([self.words[k] for k in numbers], draws) if len(numbers) else []
+        flat = np.frombuffer(b"".join(coded), "<i4")
+        return flat, np.array([len(c) // 4 for c in coded], np.int64)
+
+    monkeypatch.setattr(merge_dropout.Known, "encode", plain)
+    assert encoded(texts, 0.2)[1] == want
+
+
 def spans(words):
     at = 0
     for w in words:
