@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources import storage
 from . import (
-    decision_list, decontaminate, jaccard_join, merge_dropout, preference_format, secret_crf, subword_classifier,
-    token_splice, warc, wrapper_induction,
+    block_naming, decision_list, decontaminate, jaccard_join, merge_dropout, preference_format, secret_crf,
+    subword_classifier, token_splice, warc, wrapper_induction,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,22 @@ def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(
         "conv_id", "n_common", "prompt", "chosen", "rejected", flat("chosen_mask"), flat("rejected_mask"), "status"
     )
+
+
+COPIES_SQL = r"""
+WITH plain AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+  FROM documents
+), ranked AS (
+  SELECT doc_id, body, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place,
+         count(*) OVER (PARTITION BY body) AS group_size
+  FROM plain WINDOW w AS (PARTITION BY body ORDER BY chars DESC, doc_id NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM ranked
+"""
+
+
+@query("op12_block_naming", COPIES_SQL)
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_row")
