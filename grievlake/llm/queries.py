@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources import storage
 from . import (
-    block_naming, decision_list, decontaminate, jaccard_join, merge_dropout, preference_format, secret_crf,
-    subword_classifier, token_splice, warc, wrapper_induction,
+    block_naming, conversation_repair, decision_list, decontaminate, jaccard_join, merge_dropout, preference_format,
+    secret_crf, subword_classifier, token_splice, vector_codes, warc, wrapper_induction,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,138 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha2
 @query("op12_block_naming", COPIES_SQL)
 def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_row")
+
+
+def _codebooks_sql(rounds: int) -> str:
+    """Codebooks b0 ... b<rounds> and the assignments a0 ... a<rounds> to them, one pair of tables per round.
+
+    Inner products of integers below 2**53 are exact, so the order of distances is that of the integers.
+    """
+    tables = ["""kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS (
+  SELECT vec_id, label, part, v[part * 16 + 1 : part * 16 + 16] AS x FROM kept, range(4) AS p(part)
+), b0 AS (
+  SELECT part, entry, x AS c FROM pieces
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 256) USING (vec_id)
+)"""]
+    for r in range(rounds + 1):
+        tables.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, entry, d FROM (
+    SELECT vec_id, label, part, x, entry,
+           list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c) AS d
+    FROM pieces JOIN b{r} USING (part))
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1
+)""")
+        if r < rounds:
+            tables.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n.c, b{r}.c) AS c FROM b{r} LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY i) AS c FROM (
+      SELECT part, entry, i, floor(sum(x[i]::BIGINT) / count(*)) AS m FROM a{r}, range(1, 17) AS t(i) GROUP BY part, entry, i)
+    GROUP BY part, entry) n USING (part, entry)
+)""")
+    return ",\n".join(tables)
+
+
+CODES_SQL = f"""
+WITH {_codebooks_sql(vector_codes.ROUNDS)}, coded AS (
+  SELECT vec_id, label, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM a{vector_codes.ROUNDS} GROUP BY vec_id, label
+)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, i))
+        FROM (SELECT part, entry, i, c[i] AS x FROM b{vector_codes.ROUNDS}, range(1, 17) AS t(i))) AS codebooks_sha256
+FROM coded
+"""
+
+
+@query("op13_vector_codes", CODES_SQL)
+def vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, codebooks = vector_codes.compress(vectors, keep=("label",))
+    errors = coded.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    return coded.join(errors, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256")
+    )
+
+
+#: Every place of a conversation carries, per state, the cheapest edits so far; equal costs take the lesser letters.
+REPAIR_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT *, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[],
+      lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))) AS crc
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations)
+), drawn AS (
+  SELECT conv_id, turn, role, text, xor(crc, 4294967295::UBIGINT) % 20 AS draw FROM given
+), turns AS (
+  SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM drawn, range(2) AS c(copy) WHERE draw <> 0 AND (copy = 0 OR draw = 3)
+), placed AS (
+  SELECT conv_id, turn, role, text, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p
+  FROM turns
+), faults AS (
+  SELECT conv_id, turn, role, text, initial, p,
+         CASE WHEN bare = '' THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate'
+              WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY p) || initial AS pair
+  FROM placed
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+), inserts(st, nxt, edits, price, made) AS (
+  VALUES (0, 0, '', 0, []::VARCHAR[]), (0, 2, 'I', 5, ['user:']), (0, 3, 'II', 10, ['user:', 'assistant:']),
+         (1, 1, '', 0, []::VARCHAR[]), (1, 2, 'I', 5, ['user:']), (1, 3, 'II', 10, ['user:', 'assistant:']),
+         (2, 2, '', 0, []::VARCHAR[]), (2, 3, 'I', 5, ['assistant:']), (3, 3, '', 0, []::VARCHAR[]), (3, 2, 'I', 5, ['user:'])
+), edits(st, initial, nxt, edit, price) AS (
+  VALUES (0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0), (2, 'a', 3, 'K', 0), (3, 'u', 2, 'K', 0),
+         (0, NULL, 2, 'R', 1), (1, NULL, 2, 'R', 1), (2, NULL, 3, 'R', 1), (3, NULL, 2, 'R', 1),
+         (0, NULL, 0, 'D', 2), (1, NULL, 1, 'D', 2), (2, NULL, 2, 'D', 2), (3, NULL, 3, 'D', 2)
+), paths AS (
+  SELECT conv_id, 0::BIGINT AS p, 0 AS st, {'cost': 0::BIGINT, 'audit': '', 'body': []::VARCHAR[]} AS best FROM counts
+  UNION ALL
+  SELECT conv_id, p, st, min(best) FROM (
+    SELECT t.conv_id, t.p + 1 AS p, e.nxt AS st, {
+      'cost': t.best.cost + i.price + e.price + CASE WHEN f.fault = 'truncated' AND e.edit <> 'D' THEN 5 ELSE 0 END,
+      'audit': t.best.audit || i.edits || e.edit,
+      'body': t.best.body || i.made || CASE e.edit WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text]
+                                        ELSE [CASE e.nxt WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] END} AS best
+    FROM paths t JOIN inserts i ON i.st = t.st
+    JOIN faults f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.p = t.p + 1
+    JOIN edits e ON e.st = i.nxt AND (e.initial IS NULL OR e.initial = f.initial)
+                AND (e.edit = 'D' OR f.fault NOT IN ('blank', 'duplicate')))
+  GROUP BY conv_id, p, st
+), ends AS (
+  SELECT t.conv_id, min({'cost': t.best.cost + i.price, 'audit': t.best.audit || i.edits, 'body': t.best.body || i.made}) AS best
+  FROM paths t JOIN inserts i ON i.st = t.st AND i.nxt IN (0, 3)
+  JOIN counts c ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND c.n = t.p GROUP BY t.conv_id
+)
+SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.body, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+     LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    summary, repaired = conversation_repair.repair(conversation_repair.damage(turns))
+    same = lambda left, right: F.col(left).eqNullSafe(F.col(right))
+    digests = conversation_repair.digests(repaired).withColumnRenamed("conv_id", "_hashed")
+    every = turns.select(F.col("conv_id").alias("_given")).distinct()
+    joined = every.join(summary, same("_given", "conv_id"), "left").join(digests, same("_given", "_hashed"), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(
+        F.col("_given").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
