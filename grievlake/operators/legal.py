@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,7 @@ from .hotspots import KEYS
 from .knn import context_of_hits
 from .retrieval import ASKED_BY, retrieve
 from .skew import HOT_FLOOR, salted_join
+from .vectors import TextModel
 
 _PRIORITY = ["call_id", "pincode", "issue_type", "threat_label", "contractor_name", "work_site", "violence_threatened"]
 
@@ -137,7 +137,7 @@ def action_requests(asked: DataFrame, contexts: DataFrame) -> DataFrame:
     return joined.select(*ASKED_BY, "query_id", fill_template(fixed.ACTION_PROMPT).alias("prompt"), "retrieved_chunks")
 
 
-def contexts_for(actions: DataFrame, model: PipelineModel, vectors: DataFrame, k: int = 3) -> DataFrame:
+def contexts_for(actions: DataFrame, model: TextModel, vectors: DataFrame, k: int = 3) -> DataFrame:
     """issue_type, threat_level, query_id, context, retrieved_chunks for every distinct question."""
     hits = retrieve(actions, model, vectors, k)
     return hits.groupBy(*ASKED_BY, "query_id").agg(context_of_hits().alias("c")).select(*ASKED_BY, "query_id", "c.*")

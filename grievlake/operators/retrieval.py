@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.text import fill_template, issue_label
-from ..schemas import VECTORS
-from .knn import knn
-from .vectors import fit_vectors, vectorise
+from ..schemas import TEXT_VECTORS
+from .knn import sparse_knn
+from .vectors import BUCKETS, TextModel, fit_vectors, vectorise
 
 ASKED_BY = ["issue_type", "threat_level"]
 
@@ -29,19 +28,21 @@ def questions(actions: DataFrame, as_words: bool = True) -> DataFrame:
     return asked.withColumn("query_id", F.md5("query_text"))
 
 
-def embed_chunks(chunks: DataFrame) -> tuple[PipelineModel, DataFrame]:
+def embed_chunks(chunks: DataFrame, buckets: int = BUCKETS, min_letters: int = 1) -> tuple[TextModel, DataFrame]:
     """The fitted model and the vector table (chunk_id, content, source, embedding)."""
-    model = fit_vectors(chunks)
-    return model, vectorise(model, chunks).select(*VECTORS.fieldNames())
+    model = fit_vectors(chunks, buckets=buckets, min_letters=min_letters)
+    return model, vectorise(model, chunks).select(*TEXT_VECTORS.fieldNames())
 
 
-def search(model: PipelineModel, vectors: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
-    """Nearest chunks for a table of questions: query_id (short and unique) and query_text."""
+def search(model: TextModel, vectors: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
+    """Nearest chunks for a table of questions: query_id (short and unique) and query_text.
+
+    ``vectors`` is a stored table: the search reads it once to size its tiles and once to scan it."""
     asked = texts.select("query_id", "query_text").dropDuplicates(["query_id"])
-    return knn(vectorise(model, asked, "query_text"), vectors, k)
+    return sparse_knn(vectorise(model, asked, "query_text"), vectors, k)
 
 
-def retrieve(actions: DataFrame, model: PipelineModel, vectors: DataFrame, k: int = 3) -> DataFrame:
+def retrieve(actions: DataFrame, model: TextModel, vectors: DataFrame, k: int = 3) -> DataFrame:
     """Hits for every distinct (issue_type, threat_level): the question, then chunk, score and rank."""
     asked = questions(actions)
     hits = search(model, vectors, asked, k)

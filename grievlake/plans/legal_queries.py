@@ -154,21 +154,6 @@ def retrieval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.questions(urgent.withColumnRenamed("threat_label", "threat_level")).drop("query_id")
 
 
-@query("text_retrieval")
-def text_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark passage asks for its nearest documents in the fitted vector space."""
-    chunks = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), "source"
-    )
-    model, vectors = retrieval.embed_chunks(chunks)
-    vectors = stage(vectors, "vectors")  # every block of questions scans them
-    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    hits = retrieval.search(model, vectors, texts, 3)
-    return hits.select(
-        "query_id", "chunk_id", "source", F.round("score", 6).alias("score"), "rank"
-    )
-
-
 # --- actions --------------------------------------------------------------------------------------
 
 @query("fallback_action", f"""WITH {COMPLAINTS_SQL}, labelled AS (SELECT *, {LABEL_SQL} AS label FROM complaints)

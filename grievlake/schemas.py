@@ -32,6 +32,9 @@ SECTIONS = _schema(section_id=STR, section_num=STR, title=STR, content=STR, sour
 SCHEMES = _schema(scheme_name=STR, eligibility=STR, benefits=STR, application=STR)
 CHUNKS = _schema(chunk_id=STR, content=STR, source=STR)
 VECTORS = _schema(chunk_id=STR, content=STR, source=STR, embedding=FLOATS)
+#: A sparse vector: its buckets in ascending order, and their weights
+SPARSE = _schema(buckets=T.ArrayType(INT), weights=T.ArrayType(INT))
+TEXT_VECTORS = _schema(chunk_id=STR, content=STR, source=STR, embedding=SPARSE)
 ENTITIES = _schema(
     contractor_name=STR, work_site=STR, issue_type=STR, violence_threatened=BOOL, worker_count_mentioned=INT
 )
