@@ -1,7 +1,7 @@
 """Text to sparse vectors: TF-IDF over hashed words, fitted on Spark, in place of a neural encoder.
 
-Words are runs of letters, marks, digits and underscores in lower case; a word's bucket is its CRC-32 modulo the
-number of buckets, which any other system computes alike. A vector has unit length and lists its buckets in ascending
+Words are runs of letters, marks, digits and underscores in lower case. A word's bucket comes from its CRC-32, which any
+other system computes alike, times a constant, since checksums of like words differ alike. A vector has unit length and lists its buckets in ascending
 order with weights in parts of 1 / ``UNIT``, so products of vectors are exact integers and ties are real ties.
 """
 
@@ -19,6 +19,7 @@ from ..schemas import SPARSE
 
 BUCKETS = 1 << 18
 UNIT = 1 << 20
+MIX = 1640531527  # odd, and small enough for products with 32 bits
 _WORD = r"[\p{L}\p{M}\p{N}_]+"
 
 
@@ -35,7 +36,12 @@ def word_buckets(text: Column, buckets: int, min_letters: int = 1) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
     if min_letters > 1:
         words = F.filter(words, lambda w: F.length(w) >= min_letters)
-    return F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(buckets)).cast("int"))
+
+    def bucket(word: Column) -> Column:
+        mixed = (F.crc32(word.cast("binary")) * MIX).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftright(mixed * buckets, 32).cast("int")
+
+    return F.transform(words, bucket)
 
 
 def fit_vectors(chunks: DataFrame, text: str = "content", buckets: int = BUCKETS, min_letters: int = 1) -> TextModel:

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..operators import corpus, legal, retrieval
-from ..operators.vectors import BUCKETS, UNIT
+from ..operators.vectors import BUCKETS, MIX, UNIT
 from ..sources.storage import stage
 from .hotspot_queries import _GOLD
 from .legal_queries import LABEL_SQL, stored_gold
 from .registry import query
 from .tables import ISSUE_OF_FLAGS, complaints, table
 
-#: Standard CRC-32 of a word's bytes, modulo the number of buckets.
-_BUCKET = f"""xor(list_reduce(list_prepend(4294967295::UBIGINT,
+#: Standard CRC-32 of a word's bytes, multiplied, and the upper part of 32 bits taken.
+_BUCKET = f"""(xor(list_reduce(list_prepend(4294967295::UBIGINT,
     list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(word), (2 * i + 1)::INTEGER, 2))::UBIGINT)),
   lambda crc, b: list_reduce([xor(crc, b), 0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[],
-    lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % {BUCKETS}"""
+    lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) * {MIX}::UBIGINT
+  % 4294967296 * {BUCKETS}) >> 32"""
 
 #: From ``chunks`` (chunk_id, content) and ``asked`` (query_id, query_text) to ``hits``.
 HITS_SQL = rf"""words AS (

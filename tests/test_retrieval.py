@@ -105,7 +105,7 @@ def test_context_lists_hits_in_rank_order(spark):
 
 
 CHUNK_ROWS = [
-    ("BNS_316", "BNS Section 316 - Criminal breach of trust: wages and property entrusted by workers", "BNS_2023"),
+    ("BNS_316", "BNS Section 316 - Criminal breach of trust: the wage of a worker and property entrusted", "BNS_2023"),
     ("BNS_115", "BNS Section 115 - Voluntarily causing hurt: physical assault and injury to a person", "BNS_2023"),
     ("Pension", "Scheme: Pension. Eligibility: old age. Benefits: monthly pension. Apply at: office", "GOV_SCHEMES"),
     ("Empty", "!!! ... ---", "GOV_SCHEMES"),
@@ -116,12 +116,16 @@ def words_of(text):
     return re.findall(r"\w+", text.lower())
 
 
+def bucket_of(word, buckets):
+    return (zlib.crc32(word.encode()) * 1640531527 % 2**32) * buckets // 2**32
+
+
 def vectors_by_hand(texts, corpus, buckets):
     """Unit vectors of texts as dictionaries of whole weights, with the frequencies of ``corpus``."""
-    held = Counter(b for t in corpus for b in {zlib.crc32(w.encode()) % buckets for w in words_of(t)})
+    held = Counter(b for t in corpus for b in {bucket_of(w, buckets) for w in words_of(t)})
     out = []
     for text in texts:
-        times = Counter(zlib.crc32(w.encode()) % buckets for w in words_of(text))
+        times = Counter(bucket_of(w, buckets) for w in words_of(text))
         weights = {b: n * math.log((len(corpus) + 1) / (held[b] + 1)) for b, n in times.items()}
         length = math.sqrt(sum(w * w for w in weights.values()))
         whole = {b: math.floor(w / length * vectors.UNIT + 0.5) for b, w in weights.items()} if length else {}
