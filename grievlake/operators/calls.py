@@ -3,36 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.text import base_name, iso_timestamp
 from ..schemas import CALLS
-from ..sources.storage import stage
-
-_ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
+from .ordering import place_sorted, with_start
 
 
 def dense_ids(df: DataFrame, order: list[str], out: str, offset: int = 0) -> DataFrame:
-    """Consecutive numbers from ``offset + 1`` in the given order, computed without one global task.
-
-    The sorted partitions are written once so that both passes see the same rows: one counts rows per
-    partition, the other adds the counts of earlier partitions to the position inside its own. Rows that
-    are equal in ``order`` are told apart by a hash of the whole row, so that they too can be spread.
-    """
-    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
-    spot = F.monotonically_increasing_id().alias("_spot")
-    ordered = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
-    placed = stage(ordered.select(*df.columns, spot), "ordered").withColumns({
-        "_part": F.shiftright("_spot", _ROW_BITS),
-        "_at": F.col("_spot").bitwiseAND((1 << _ROW_BITS) - 1),
-    })
-    # one row per partition: small enough for a single window task and for a broadcast
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    numbered = placed.join(F.broadcast(starts), "_part")
+    """Consecutive numbers from ``offset + 1`` in the given order, computed without one global task: the count of
+    earlier partitions is added to the position inside a sorted one."""
+    numbered = with_start(place_sorted(df, order), F.lit(1))
     return numbered.select((F.col("_start") + F.col("_at") + 1 + offset).alias(out), *df.columns)
 
 

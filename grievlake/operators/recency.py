@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import stage
+from .ordering import running_sum
+
 HOUR = 3_600_000_000  # microseconds
+_NO_TIME = -(1 << 63)
 
 
 def complaints_48h(
@@ -14,36 +17,26 @@ def complaints_48h(
 ) -> DataFrame:
     """Adds, per row, the number of rows of the same key in the ``hours`` up to and including its time.
 
-    One window per key would put a busy contractor into one task. Here every (key, hour) is its own
-    group: the count is the running count within the hour plus the totals of the ``hours`` hours before,
-    less the rows of the earliest of these hours that lie before the same offset. For that last part each
-    row is seen a second time, narrow, ``hours`` later.
+    One window per key would put a busy contractor into one task, and one per hour a busy hour. Here rows are first
+    counted per key and time. Every time enters its key's count and, just after the ``hours``, leaves it again; the
+    count is the running sum over these steps in the order of (key, time), kept in range partitions that may split a
+    key and an hour anywhere. Since a key's steps add up to nothing, keys need no sums of their own.
 
     A time that is null or cannot be read has no place among the others: such a row counts the rows of its
     key that have no time either, itself included, as a window over null times does.
     """
-    micros = F.unix_micros(F.col(ts).try_cast("timestamp"))
-    hour = F.floor(micros / F.lit(HOUR)).cast("long")
     own = df.withColumns({
-        # rows without a key are one group of their own, in windows and in the join
+        # rows without a key are one group of their own
         "_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "_keyless": F.col(key).isNull(),
-        "_hour": hour, "_offset": micros - hour * HOUR, "_own": F.lit(1),
+        "_time": F.coalesce(F.unix_micros(F.col(ts).try_cast("timestamp")), F.lit(_NO_TIME)),
     })
     keys = ["_key", "_keyless"]
-    echo = own.select(*keys, (F.col("_hour") + hours).alias("_hour"), "_offset", F.lit(0).alias("_own"))
-
-    group = W.partitionBy(*keys, "_hour").orderBy("_offset")
-    counted = (
-        own.unionByName(echo, allowMissingColumns=True)
-        .withColumns({
-            "_in_hour": F.sum("_own").over(group.rangeBetween(W.unboundedPreceding, 0)),
-            "_too_early": F.sum(1 - F.col("_own")).over(group.rangeBetween(W.unboundedPreceding, -1)),
-        })
-        .filter("_own = 1")
-    )
-    totals = own.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_hour").rangeBetween(-hours, -1)
-    full_hours = totals.select(*keys, "_hour", F.sum("_n").over(earlier).alias("_earlier"))
-    timed = F.col("_in_hour") + F.coalesce("_earlier", F.lit(0)) - F.coalesce("_too_early", F.lit(0))
-    count = F.when(F.col("_hour").isNull(), F.col("_in_hour")).otherwise(timed)
-    return counted.join(full_hours, [*keys, "_hour"], "left").select(*df.columns, count.alias(out))
+    counts = stage(own.groupBy(*keys, "_time").agg(F.count(F.lit(1)).alias("_rows")), "counts")
+    timed = counts.filter(F.col("_time") != _NO_TIME)
+    enters = timed.select(*keys, "_time", F.lit(0).alias("_leaves"), F.col("_rows").alias("_change"))
+    # a step out at the same time as a step in comes after it: the border still counts
+    leaves = timed.select(*keys, F.col("_time") + hours * HOUR, F.lit(1), -F.col("_rows"))
+    running = running_sum(enters.union(leaves), [*keys, "_time", "_leaves"], "_change", "_count").filter("_leaves = 0")
+    timeless = counts.filter(F.col("_time") == _NO_TIME).select(*keys, "_time", F.col("_rows").alias("_count"))
+    found = running.select(*keys, "_time", "_count").union(timeless)
+    return own.join(found, [*keys, "_time"]).select(*df.columns, F.col("_count").alias(out))

@@ -8,6 +8,11 @@ bucket, never with page text:
   front of the next bucket before headers are searched;
 * the text before a bucket's first header belongs to the section left open earlier;
 * a section that stays open over several buckets gets its parts joined by its key at the end.
+
+What tail a bucket leaves can depend on what comes in: a bucket of one line may be the title of a number that stands
+before it. Each bucket therefore states both cases, with a number before it and without. Every statement is constant,
+or turns one case into the other, or passes it on; along a document such statements compose to "the last constant, and
+how often it was turned since", which two running numbers per bucket tell.
 """
 
 from __future__ import annotations
@@ -28,7 +33,9 @@ _HEADER = "(?U)" + fixed.SECTION_HEADER
 _MARKED = f"{_START}$1{_NUMBER}$2{_TITLE}$3{_BODY}"
 _STOP = "(?U)" + fixed.SECTION_STOP
 # text at the end of a bucket that may open a header continued on the next page
-_TAIL = r"(?U)(?:(?:Section\s+)?\d{1,3}\.\s+)*(?:Section|(?:Section\s+)?\d{1,3}\.)\z"
+_TAIL = r"(?U)(?:Section|(?:Section\s+)?\d{1,3}\.)\z"
+_NUMBER_END = r"\.\z"
+_ONLY_NUMBER = r"(?U)\A\d{1,3}\.\z"
 
 # a line break that no header can span: the line before it does not end in "Section" or a number
 _SAFE_BREAK = r"(?U)(?<=\S)(?<!\d\.)(?<!Section)\s*\n\s*\S"
@@ -54,48 +61,76 @@ def _mark(text: Column) -> Column:
     return F.regexp_replace(text, _HEADER, _MARKED)
 
 
-def _with_borders(buckets: DataFrame) -> DataFrame:
-    """Buckets whose texts concatenate to the document, each starting where no header is open.
+def _tail_of(text: Column) -> Column:
+    """What may open a header at the end of a text. Looked for behind the last header only: a title keeps all it holds."""
+    free = F.substring_index(_mark(F.concat(text, F.lit("\n"))), _BODY, -1)
+    return F.when(text.rlike(_TAIL), F.regexp_extract(F.regexp_replace(free, r"\n\z", ""), _TAIL, 0)).otherwise("")
 
-    The joined page texts are written once: the border tables then read a few short columns only, and the
-    texts are neither shuffled nor searched again.
 
-    A bucket without any line break that surely lies outside a header cannot tell where its own headers
-    start. Such loose buckets (a single line, as a rule) move whole to the next bucket that can.
-    """
-    # a tail is looked for behind the last header only: a header's title keeps all it holds
-    free = F.substring_index(_mark(F.concat("text", F.lit("\n"))), _BODY, -1)
-    tail = F.regexp_extract(F.regexp_replace(free, r"\n\z", ""), _TAIL, 0)
-    tailed = stage(buckets.withColumns({
-        "tail": F.when(F.col("text").rlike(_TAIL), tail).otherwise(""),
-        "line": F.when(~F.col("text").rlike(_SAFE_BREAK), F.col("text")),
-    }), "pages")
+def _border_summary(buckets: DataFrame) -> DataFrame:
+    """Per bucket its tail, and the tail it leaves if a number stands before it. The two can differ only where no line
+    break surely lies outside a header: then the first line may be a title."""
+    text = F.col("text")
+    after_number = _tail_of(F.concat(F.lit("1.\n"), text))
+    return buckets.withColumns({
+        "tail": _tail_of(text),
+        "tail_after": F.when(~text.rlike(_SAFE_BREAK), after_number),
+        "only_number": text.rlike(_ONLY_NUMBER),
+    }).withColumn("tail_after", F.coalesce("tail_after", "tail"))
 
+
+def _settled_tails(summary: DataFrame) -> DataFrame:
+    """doc_id, bucket, takes (the length of the tail that leaves the bucket), goes_to (the bucket that gets it).
+
+    Only numbers and flags pass through the windows. A tail goes to the next bucket; a "Section" before a bucket that
+    is nothing but a number goes on with it.
+    """
     order = W.partitionBy("doc_id").orderBy("bucket")
-    earlier = order.rowsBetween(W.unboundedPreceding, -1)
-    loose = F.col("line").isNotNull() & ~F.col("is_last")
-    moved_lines = F.collect_list(F.when(loose, F.struct(F.col("bucket").alias("at"), F.col("line").alias("text"))))
-    runs = (
-        tailed.select("doc_id", "bucket", "tail", "line")
-        .withColumn("is_last", F.lead("bucket").over(order).isNull())
-        .withColumn("run", F.coalesce(F.sum(F.when(loose, 0).otherwise(1)).over(earlier), F.lit(0)))
-        .groupBy("doc_id", "run")
-        .agg(
-            F.max("bucket").alias("bucket"), F.max("is_last").alias("is_last"),
-            F.max_by("tail", "bucket").alias("tail"), _joined(moved_lines, "\n").alias("lines"),
-        )
+    number = lambda tail: F.col(tail).rlike(_NUMBER_END)
+    stated = summary.select(
+        "doc_id", "bucket", "only_number", number("tail").alias("leaves"), number("tail_after").alias("leaves_after"),
+        F.length("tail").alias("size"), F.length("tail_after").alias("size_after"),
+    )
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    constant = F.col("leaves") == F.col("leaves_after")
+    turns = F.sum(F.when(F.col("leaves") & ~F.col("leaves_after"), 1).otherwise(0)).over(so_far)
+    counted = stated.withColumn("turns", turns).withColumn("base", F.when(constant, F.struct("leaves", "turns")))
+    last = F.last("base", ignorenulls=True).over(so_far)
+    turned = (F.col("turns") - F.coalesce("last.turns", F.lit(0))) % 2 == 1
+    known = counted.withColumn("last", last).withColumn("after", F.coalesce("last.leaves", F.lit(False)) != turned)
+    entered = known.withColumn("entered", F.coalesce(F.lag("after").over(order), F.lit(False)))
+    settled = entered.select(
+        "doc_id", "bucket", "only_number",
+        F.when(F.col("entered"), F.col("size_after")).otherwise(F.col("size")).alias("takes"),
+        F.when(F.col("entered"), F.col("leaves_after")).otherwise(F.col("leaves")).alias("number"),
     )
-    borders = runs.select(
-        "doc_id", "bucket", "is_last",
-        F.concat_ws("\n", F.nullif(F.lag("tail").over(order), F.lit("")), F.nullif("lines", F.lit(""))).alias("lead_in"),
+    next_bucket, next_only = F.lead("bucket").over(order), F.lead("only_number").over(order)
+    passed_on = (F.col("takes") > 0) & ~F.col("number") & F.coalesce(next_only, F.lit(False))
+    second = F.lead("bucket", 2).over(order)
+    return settled.select(
+        "doc_id", "bucket", next_bucket.isNull().alias("is_last"),
+        F.when(next_bucket.isNull(), 0).otherwise(F.col("takes")).alias("takes"),
+        F.when(passed_on, F.coalesce(second, next_bucket)).otherwise(next_bucket).alias("goes_to"),
     )
-    without_tail = F.expr("substring(text, 1, length(text) - length(tail))")
-    body = (
-        F.when(F.col("is_last"), F.col("text")).when(F.col("tail") != "", without_tail)
-        .otherwise(F.concat("text", F.lit("\n")))
+
+
+def _with_borders(buckets: DataFrame) -> DataFrame:
+    """Buckets whose texts concatenate to the document, each starting where no header is open.
+
+    The joined page texts are written once, with what they say of their borders.
+    """
+    tailed = stage(_border_summary(buckets), "pages")
+    settled = _settled_tails(tailed.drop("text"))
+    cut = tailed.join(settled, ["doc_id", "bucket"])
+    moved = cut.filter("takes > 0").select(
+        "doc_id", F.col("goes_to").alias("bucket"),
+        F.struct(F.col("bucket").alias("at"), F.expr("right(text, takes)").alias("text")).alias("part"),
     )
-    front = F.when(F.col("lead_in") != "", F.concat("lead_in", F.lit("\n"))).otherwise("")
-    return tailed.join(borders, ["doc_id", "bucket"]).select("doc_id", "bucket", F.concat(front, body).alias("text"))
+    lead_ins = moved.groupBy("doc_id", "bucket").agg(_joined(F.collect_list("part"), "\n").alias("lead_in"))
+    own = F.expr("substring(text, 1, length(text) - takes)")
+    body = F.when(F.col("is_last") | (F.col("takes") > 0), own).otherwise(F.concat("text", F.lit("\n")))
+    front = F.when(F.col("lead_in").isNotNull(), F.concat("lead_in", F.lit("\n"))).otherwise("")
+    return cut.join(lead_ins, ["doc_id", "bucket"], "left").select("doc_id", "bucket", F.concat(front, body).alias("text"))
 
 
 def _segments(pieces: str) -> Column:

@@ -231,11 +231,12 @@ def complaints_48h_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gold_refresh", ORACLES["gold_heatmap"])
 def gold_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complaints arrive as a stream; the refreshed table equals the batch result."""
+    """Complaints arrive as a stream, in three batches; the refreshed table equals the batch result."""
     base = new_folder(spark, "gold")
     silver = conform(ensure_columns(complaints(spark, sf_dir), {"raw_text": "", "english_text": ""}), SILVER)
-    sinks.overwrite(silver, f"{base}/silver")
-    stream = jobs.stream_table(spark, f"{base}/silver", SILVER)
+    parts = max(3, spark.sparkContext.defaultParallelism)
+    silver.repartition(parts).write.parquet(f"{base}/silver")
+    stream = jobs.stream_table(spark, f"{base}/silver", SILVER, files_per_trigger=-(-parts // 3))
     jobs.refresh_gold(stream, f"{base}/gold", f"{base}/checkpoint", once=True)
     return flat_gold(jobs.read_current_gold(spark, f"{base}/gold"))
 

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.complaints import build_silver
-from ..operators.hotspots import aggregate_hotspots_once, score_hotspots
+from ..operators.hotspots import KEYS, PART_KEYS, hotspot_parts, hotspots_of_parts, merge_parts, score_hotspots
 from ..schemas import GOLD
 from ..sources.readers import stream_calls
 from ..sources.sinks import ingest_bronze
+from ..sources.storage import stage
 
 DASHBOARD_INTERVAL = "60 seconds"
+GOLD_BUCKETS = 64  # pieces of gold that are rewritten on their own
+_PARTS = T.StructType(
+    [T.StructField(c, T.StringType()) for c in PART_KEYS]
+    + [T.StructField(c, T.LongType()) for c in ("_calls", "_rows", "_workers")] + [T.StructField("_violence", T.IntegerType())]
+)
+_VERSION = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("run", T.StringType())])
 
 
 def ingest_calls(
@@ -25,9 +34,10 @@ def ingest_calls(
     return ingest_bronze(stream_calls(spark, folder, lines, pattern, files_per_trigger), target, checkpoint)
 
 
-def stream_table(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """A Parquet folder as a stream."""
-    return spark.readStream.schema(schema).parquet(folder)
+def stream_table(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet folder as a stream, in batches of so many files if a number is given."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
 
 
 def silver_stream(bronze: DataFrame) -> DataFrame:
@@ -43,44 +53,90 @@ def _start(writer, once: bool, interval: str) -> StreamingQuery:
     return query
 
 
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system; none if it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The batches that have written a whole version list."""
+    named = [n for n in _children(spark, f"{folder}/versions") if n.startswith("batch-")]
+    whole = [n for n in named if "_SUCCESS" in _children(spark, f"{folder}/versions/{n}")]
+    return sorted(int(n.removeprefix("batch-")) for n in whole)
+
+
+def _version(spark: SparkSession, folder: str, batch: int) -> dict[int, str]:
+    """The run that wrote each bucket as this version has it; at most one row per bucket."""
+    rows = spark.read.schema(_VERSION).parquet(f"{folder}/versions/batch-{batch}").collect()
+    return {r["bucket"]: r["run"] for r in rows}
+
+
+def _read_buckets(spark: SparkSession, folder: str, kind: str, schema: T.StructType, runs: dict[int, str]) -> DataFrame:
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/{kind}/{run}/bucket={b}" for b, run in sorted(runs.items())])
+
+
+def _write_buckets(df: DataFrame, path: str) -> None:
+    # adaptive execution deals the rows by bucket, and splits what comes out too large
+    df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+
+
 def refresh_gold(
-    silver: DataFrame, folder: str, checkpoint: str, once: bool = False, interval: str = DASHBOARD_INTERVAL
+    silver: DataFrame, folder: str, checkpoint: str, once: bool = False, interval: str = DASHBOARD_INTERVAL,
+    buckets: int = GOLD_BUCKETS,
 ) -> StreamingQuery:
-    """Keep gold current: only new complaints are read, their aggregates are merged in the state store.
+    """Keep gold current: only new complaints are read, and only the hotspots' buckets that they touch are rewritten.
 
-    Every trigger writes a whole version into a folder of its own, then notes it. A repeated batch rewrites
-    its own version, readers never see a half-written table, and no version goes before ``drop_versions``.
+    A bucket holds the hotspots of one hash value: their parts (one row per hotspot, issue and site) and their gold.
+    A batch reduces its complaints to parts, adds those that the touched buckets hold already, writes parts and gold of
+    these buckets into a run of its own, and at last the list that names the run of every bucket. Other buckets keep
+    their files. Readers follow the newest whole list, so they never see a half-written version; a batch that is
+    repeated after its list was written does nothing, and one repeated before writes a new run.
     """
-    def write_version(gold: DataFrame, batch: int) -> None:
-        score_hotspots(gold).write.mode("overwrite").parquet(f"{folder}/version-{batch}")
-        note = gold.sparkSession.range(1).select(F.lit(batch).cast("long").alias("batch"))
-        note.write.mode("append").parquet(f"{folder}/versions")
-
-    writer = (
-        aggregate_hotspots_once(silver).writeStream.outputMode("complete")
-        .option("checkpointLocation", checkpoint).foreachBatch(write_version)
-    )
+    def write_version(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = _versions(spark, folder)
+        if number in known:
+            return
+        runs = _version(spark, folder, known[-1]) if known else {}
+        bucket = F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int").alias("bucket")
+        new = stage(hotspot_parts(batch).select("*", bucket), "parts")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most one row per bucket
+        run = f"run-{uuid.uuid4().hex}"
+        if touched:
+            held = _read_buckets(spark, folder, "parts", _PARTS, {b: runs[b] for b in touched if b in runs})
+            merged = merge_parts(new.select(*_PARTS.fieldNames()).unionByName(held))
+            _write_buckets(merged.select("*", bucket), f"{folder}/parts/{run}")
+            now = _read_buckets(spark, folder, "parts", _PARTS, dict.fromkeys(touched, run))
+            _write_buckets(score_hotspots(hotspots_of_parts(now)).select("*", bucket), f"{folder}/gold/{run}")
+        rows = sorted({**runs, **dict.fromkeys(touched, run)}.items())
+        listed = spark.createDataFrame(rows, _VERSION).coalesce(1)
+        listed.write.mode("overwrite").parquet(f"{folder}/versions/batch-{number}")
+
+    writer = silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_version)
     return _start(writer, once, interval)
 
 
 def read_current_gold(spark: SparkSession, folder: str) -> DataFrame:
     """The newest complete version."""
-    try:
-        newest = spark.read.parquet(f"{folder}/versions").agg(F.max("batch").alias("batch")).first()["batch"]
-    except AnalysisException:
-        return spark.createDataFrame([], GOLD)
-    return spark.read.schema(GOLD).parquet(f"{folder}/version-{newest}")
+    known = _versions(spark, folder)
+    return _read_buckets(spark, folder, "gold", GOLD, _version(spark, folder, known[-1]) if known else {})
 
 
 def drop_versions(spark: SparkSession, folder: str, keep: int = 10) -> int:
-    """Delete all versions but the newest ``keep``; call it when no reader needs older ones. Returns how many went."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    named = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("version-")]
-    named.sort(key=lambda p: int(p.getName().removeprefix("version-")))
-    old = named[:-keep] if keep else named
-    for version in old:
-        files.delete(version, True)
+    """Delete all versions but the newest ``keep`` and the runs that only they name; call it when no reader needs older
+    ones and no refresh is writing. Returns how many versions went."""
+    known = _versions(spark, folder)
+    kept, old = (known[-keep:], known[:-keep]) if keep else ([], known)
+    needed = {run for batch in kept for run in _version(spark, folder, batch).values()}
+    gone = [f"versions/batch-{batch}" for batch in old]
+    gone += [f"{kind}/{run}" for kind in ("parts", "gold") for run in _children(spark, f"{folder}/{kind}") if run not in needed]
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for name in gone:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
     return len(old)
 
 

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import random
-import re
 
 import pytest
 
@@ -10,21 +9,38 @@ from grievlake.schemas import CHUNKS, PAGES, SCHEMES, SECTIONS
 from grievlake.sources.readers import clean_pages
 
 BODY = "This body is surely longer than thirty characters."
-# one pass over a whole document, as plain Python
-WHOLE = re.compile(
-    r"(?:Section\s+)?(\d{1,3})\.\s+([A-Z][^\n]{5,80})\n(.*?)(?=(?:Section\s+)?\d{1,3}\.\s+[A-Z]|\Z)", re.DOTALL
-)
-
-
-def by_hand(pages):
-    texts: dict[str, list] = {}
-    for doc, number, text in pages:
-        texts.setdefault(doc, []).append((number, text))
-    return sorted(
-        (doc, m.group(1).strip(), m.group(2).strip(), m.group(3).strip().replace("\n", " "))
-        for doc, parts in texts.items()
-        for m in WHOLE.finditer("\n".join(t for _, t in sorted(parts)))
-    )
+TITLES = ["Wages", "Hours of work", "Short title and extent", "Duty of the contractor towards those employed"]
+
+
+def draft(draw):
+    """A statute as known sections, and its text: a preface, then every section under its header."""
+    known, text = [], draw.choice(["", "An Act to know.\n", "Preface of two\nlines\n"])
+    for number in sorted(draw.sample(range(1, 400), draw.randint(0, 7))):
+        title = draw.choice(TITLES) + f" {number}"
+        lines = [f"it is said that {draw.choice(['a', 'b', 'c'])} {k} shall hold" for k in range(draw.randint(1, 6))]
+        known.append((str(number), title, " ".join(lines)))
+        head = draw.choice(["", "Section ", "Section\n"]) + f"{number}." + draw.choice([" ", "  ", "\n"]) + title
+        text += head + "\n" + "\n".join(lines) + "\n"
+    return known, text.strip()
+
+
+def paged(draw, doc, text):
+    """The text cut into pages at some of its line ends."""
+    pages, held = [], []
+    for line in text.split("\n"):
+        held.append(line)
+        if draw.random() < 0.6:
+            pages.append("\n".join(held))
+            held = []
+    pages += ["\n".join(held)] if held else []
+    return [(doc, n * 2, p) for n, p in enumerate(pages) if p.strip()]
+
+
+def found(spark, pages, size, monkeypatch):
+    monkeypatch.setattr(sections, "PAGES_PER_BUCKET", size)
+    df = clean_pages(spark.createDataFrame(pages, PAGES)).filter("raw_text <> ''").repartition(3)
+    got = sections.split_sections(df, -1).select("doc_id", "section_num", "title", "content").collect()
+    return sorted(tuple(r) for r in got)
 
 
 def test_the_three_sections_of_the_example(spark, rows):
@@ -43,22 +59,60 @@ def test_sections_cross_pages_and_buckets(spark, rows, monkeypatch):
     assert got == [("12", "Title on next page", "a b c " + BODY)]
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_known_sections_are_found_again(spark, monkeypatch, size):
+    draw = random.Random(size)
+    pages, want = [], []
+    for doc in range(80):
+        known, text = draft(draw)
+        pages += paged(draw, str(doc), text)
+        want += [(str(doc), *section) for section in known]
+    assert found(spark, pages, size, monkeypatch) == sorted(want)
+
+
 @pytest.mark.parametrize("size", [1, 2, 5])
-def test_sections_equal_a_pass_over_the_whole_document(spark, monkeypatch, size):
-    monkeypatch.setattr(sections, "PAGES_PER_BUCKET", size)
-    rnd = random.Random(size)
+def test_borders_change_nothing(spark, monkeypatch, size):
+    """Odd texts cut anywhere give what they give in one bucket, which has no border."""
+    draw = random.Random(size)
     words = ["Section", "12.", "7.", "1234.", "Alpha beta gamma", "Short", "x", "\n", "\n", "\n", " ", "S", "8",
              "Section 9. Title of nine\n", "5. Fifth title here\n", "Long title " + "w" * 85, "१२. Nagari digits here\n", BODY]
     pages = []
     for doc in range(150):
-        for page in range(rnd.randint(1, 9)):
-            text = "".join(rnd.choice(words) + rnd.choice(["", " ", "\n"]) for _ in range(rnd.randint(1, 12)))
+        for page in range(draw.randint(1, 9)):
+            text = "".join(draw.choice(words) + draw.choice(["", " ", "\n"]) for _ in range(draw.randint(1, 12)))
             pages.append((str(doc), page, text))
-    df = clean_pages(spark.createDataFrame(pages, PAGES)).repartition(3)
-    kept = [(d, p, t.strip()) for d, p, t in pages if t.strip()]
-    df = df.filter("raw_text <> ''")
-    got = sorted(tuple(r) for r in sections.split_sections(df, -1).select("doc_id", "section_num", "title", "content").collect())
-    assert got == by_hand(kept)
+    assert found(spark, pages, size, monkeypatch) == found(spark, pages, 1000, monkeypatch)
+
+
+@pytest.mark.parametrize("size", [1, 2])
+def test_documents_of_single_lines(spark, monkeypatch, size):
+    """Pages without line breaks, among them long runs that may each be a title or leave a number open."""
+    draw = random.Random(size)
+    lines = ["Alpha beta 5.", "See Section", "7.", "Section", "Section 3.", "Beta gamma delta", "low text", "Gamma delta 12.", "4. Title here"]
+    pages = [(str(doc), page, draw.choice(lines[: 3 + doc])) for doc in range(6) for page in range(160)]
+    pages += [("turns", page, "Alpha beta 5.") for page in range(1001)]
+    got = found(spark, pages, size, monkeypatch)
+    assert got == found(spark, pages, 10_000, monkeypatch)
+    assert sum(r[0] == "turns" for r in got) == 500
+
+
+def test_no_text_passes_through_a_window(spark):
+    from pyspark.sql import types as T
+
+    pages = spark.createDataFrame([("d", 1, "1. Some title\nbody"), ("d", 300, "more")], PAGES)
+    summary = sections._border_summary(sections._page_buckets(pages)).drop("text")
+    plan = sections._settled_tails(summary)._jdf.queryExecution().optimizedPlan()
+    waiting, seen = [plan], 0
+    while waiting:
+        node = waiting.pop()
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "Window":
+            seen += 1
+            out = node.output()
+            names = {(out.apply(i).name(), out.apply(i).dataType().simpleString()) for i in range(out.size())}
+            assert {n for n, kind in names if kind == "string"} == {"doc_id"}
+    assert seen >= 2 and T.StringType() not in [f.dataType for f in sections._settled_tails(summary).schema.fields[1:]]
 
 
 def test_assembled_documents_keep_page_order(spark, rows, monkeypatch):

@@ -167,14 +167,105 @@ def test_unreadable_tables_are_not_called_missing(spark, tmp_path):
     assert got == {"full": (3, "OK"), "empty": (None, "UNREADABLE"), "none": (None, "MISSING")}
 
 
-def test_old_gold_versions_go_only_when_asked(spark, tmp_path):
-    from grievlake.streaming.jobs import drop_versions
-
-    for k in range(4):
-        (tmp_path / f"version-{k}").mkdir()
-    (tmp_path / "versions").mkdir()
-    assert drop_versions(spark, str(tmp_path), keep=3) == 1
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["version-1", "version-2", "version-3", "versions"]
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path, rows):
+    folder, gold, checkpoint = (str(tmp_path / n) for n in ("silver", "gold", "checkpoint"))
+    schema, files, seen = silver_of(spark, SIX_CALLS[:1]).schema, [], []
+    parts = [SIX_CALLS[:3], [SIX_CALLS[4]], [SIX_CALLS[5], ("7", None, None, None, None, None)]]
+    for part in parts:
+        sinks.append(silver_of(spark, part), folder)
+        jobs.refresh_gold(jobs.stream_table(spark, folder, schema), gold, checkpoint, once=True, buckets=64)
+        seen += part
+        assert rows(jobs.read_current_gold(spark, gold)) == rows(build_gold(silver_of(spark, seen)))
+        files.append(set(jobs.read_current_gold(spark, gold).inputFiles()))
+    # each hotspot of these calls has a bucket of its own: earlier ones keep their files
+    assert files[0] < files[1] and len(files[1] - files[0]) == 1
+    assert len(files[1] & files[2]) >= 1 and len(files[2]) > len(files[1])
+    # nothing new: no new version
+    jobs.refresh_gold(jobs.stream_table(spark, folder, schema), gold, checkpoint, once=True)
+    assert set(jobs.read_current_gold(spark, gold).inputFiles()) == files[2]
+
+
+def test_several_batches_in_one_run_and_a_repeated_batch(spark, tmp_path, rows):
+    import shutil
+
+    folder, gold, checkpoint = (str(tmp_path / n) for n in ("silver", "gold", "checkpoint"))
+    for call in SIX_CALLS[:4]:
+        sinks.append(silver_of(spark, [call]).coalesce(1), folder)
+    schema = silver_of(spark, SIX_CALLS[:1]).schema
+    jobs.refresh_gold(jobs.stream_table(spark, folder, schema, files_per_trigger=2), gold, checkpoint, once=True, buckets=2)
+    want = rows(build_gold(silver_of(spark, SIX_CALLS[:4])))
+    assert rows(jobs.read_current_gold(spark, gold)) == want
+    count = len(jobs._versions(spark, gold))
+    assert count >= 2
+    # the stream forgets that it committed its last batch: the repeated batch adds nothing
+    last = max((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    for crc in (tmp_path / "checkpoint" / "commits").glob(f".{last.name}.crc"):
+        crc.unlink()
+    jobs.refresh_gold(jobs.stream_table(spark, folder, schema, files_per_trigger=2), gold, checkpoint, once=True, buckets=2)
+    assert rows(jobs.read_current_gold(spark, gold)) == want and len(jobs._versions(spark, gold)) == count
+    # a list that was not written whole is not followed
+    newest = tmp_path / "gold" / "versions" / "batch-99"
+    newest.mkdir()
+    assert rows(jobs.read_current_gold(spark, gold)) == want
+    shutil.rmtree(newest)
+
+
+def test_old_gold_versions_go_only_when_asked(spark, tmp_path, rows):
+    folder, gold, checkpoint = (str(tmp_path / n) for n in ("silver", "gold", "checkpoint"))
+    schema = silver_of(spark, SIX_CALLS[:1]).schema
+    for call in SIX_CALLS[:3]:
+        sinks.append(silver_of(spark, [call]), folder)
+        jobs.refresh_gold(jobs.stream_table(spark, folder, schema), gold, checkpoint, once=True, buckets=1)
+    want = rows(jobs.read_current_gold(spark, gold))
+    assert jobs.drop_versions(spark, gold, keep=2) == 1
+    assert len(list((tmp_path / "gold" / "parts").iterdir())) == 2
+    assert jobs.drop_versions(spark, gold, keep=1) == 1
+    assert rows(jobs.read_current_gold(spark, gold)) == want
+
+
+def counts_by_hand(rows, hours=48):
+    width = hours * 3600 * 1_000_000
+    return {i: sum(k2 == k and (t2 is None if t is None else t2 is not None and t - width <= t2 <= t) for _, k2, t2 in rows)
+            for i, k, t in rows}
+
+
+def test_sliding_counts_equal_a_search_over_all_rows(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from grievlake.operators.recency import complaints_48h
+
+    draw, hour = random.Random(4), 3_600_000_000
+    times = [None, 0, 1, 48 * hour, 48 * hour + 1, -5] + [draw.randrange(200 * hour) for _ in range(40)]
+    rows = [(i, draw.choice(["a", "b", "", None]), draw.choice(times)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, contractor_name string, at long").withColumn("timestamp", F.timestamp_micros("at"))
+    got = {r["id"]: r["complaints_48h"] for r in complaints_48h(df.repartition(5)).collect()}
+    assert got == counts_by_hand(rows)
+
+
+def test_one_hour_of_one_key_is_counted_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from grievlake.operators import ordering
+    from grievlake.operators.recency import complaints_48h
+
+    df = spark.range(20_000).select(
+        F.col("id"), F.lit("busy").alias("contractor_name"), F.timestamp_micros(F.col("id") * 100_000).alias("timestamp"))
+    seen = []
+    place = ordering.place_sorted
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"  # so few rows would be one partition otherwise
+    try:
+        spark.conf.set(merged, "false")
+        ordering.place_sorted = lambda rows, order: seen.append(place(rows, order)) or seen[-1]
+        counted = complaints_48h(df)
+        assert counted.filter("complaints_48h != id + 1").count() == 0 and counted.count() == 20_000
+    finally:
+        ordering.place_sorted = place
+        spark.conf.unset(merged)
+    parts = [r["count"] for r in seen[0].groupBy("_part").count().collect()]
+    assert len(parts) >= 3 and max(parts) < 0.6 * sum(parts)
 
 
 def test_first_items_and_head(spark):

@@ -39,12 +39,16 @@ def test_six_calls_give_the_expected_gold(spark, rows):
     assert sets["work_sites"] == ["Site 1", "Site 2", "Site 3"]
 
 
-def test_one_step_aggregate_agrees(spark, rows):
+def test_parts_of_batches_add_up(spark, rows):
     calls = SIX_CALLS + [(None, "1", None, None, None, None), ("9", "1", None, "OTHER", None, None)]
     silver = silver_of(spark, [c if c[0] else ("x", *c[1:]) for c in calls]).withColumn(
         "call_id", F.nullif("call_id", F.lit("x"))
     )
-    assert rows(hotspots.aggregate_hotspots(silver)) == rows(hotspots.aggregate_hotspots_once(silver))
+    batches = [silver.filter(F.pmod(F.xxhash64("work_site"), F.lit(3)) == n) for n in range(3)] + [silver.limit(0)]
+    parts = hotspots.hotspot_parts(batches[0])
+    for batch in batches[1:]:
+        parts = hotspots.merge_parts(parts.unionByName(hotspots.hotspot_parts(batch)))
+    assert rows(hotspots.hotspots_of_parts(parts)) == rows(hotspots.aggregate_hotspots(silver))
 
 
 def test_nulls_count_as_the_rules_say(spark):
