@@ -24,9 +24,9 @@ from ..functions.text import head
 from ..sources.storage import stage
 from .vectors import UNIT
 
-TILE_BYTES = 32 << 20  # of vectors on either side of a tile pair
+TILE_BYTES = 8 << 20  # of vectors on either side of a tile pair
 LEAST_TILE_BYTES = 1 << 20  # tiles are made smaller, down to this, to keep all cores busy
-TILE_CELLS = 4_000_000  # distances held at once inside a task
+TILE_CELLS = 1_000_000  # distances held at once inside a task
 QUERY_ROWS, CHUNK_ROWS = 1024, 4096  # of sparse vectors taken at once
 _SLACK = 1e-9  # far above the rounding error of the fast distance, relative to the vector lengths
 
