@@ -179,9 +179,8 @@ This office has received {total_complaints} complaints of {primary_issue}.
 You are directed to appear before the Labour Commissioner within 7 days.
 Failure to comply will result in action under BNS Section 316 and Code on Wages 2019.
 Issued by: Municipal Labour Enforcement Cell"""
-NOTICE_RULE = "━" * 35
 LONG_NOTICE = """SHOW CAUSE NOTICE
-""" + NOTICE_RULE + """
+━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━
 To: Contractor {contractor_name}
 Pincode: {pincode}
 
@@ -196,7 +195,7 @@ Failure to comply will result in action under:
 • Code on Wages, 2019
 
 Issued by: Municipal Labour Enforcement Cell
-""" + NOTICE_RULE
+━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━━"""
 
 # --- fixed values: sample rows for a dashboard without data -------------------------------------
 # contractor_name, pincode, lat, lon, total_complaints, severity_score, primary_issue

@@ -1,14 +1,16 @@
 """Model replies (free text that should hold one JSON object) to typed columns.
 
-``from_json`` accepts text after the first complete object. The brackets of a candidate (outside its
-strings) are therefore counted first: one that closes before its end is more than one object. What is
-left is read as the only element of a list inside a larger object whose last member must be seen too, so a
-reply counts as parsed only when it is one object and nothing else. All fields are first read as text, so a wrong
+``from_json`` accepts text after the first complete object. A candidate is therefore read as the only element of a
+list inside a larger object whose last member must be seen too. Where an object is followed by the end of a list, the
+candidate's brackets (outside its strings) are counted as well: one that closes before its end is more than one object.
+So a reply counts as parsed only when it is one object and nothing else. All fields are first read as text, so a wrong
 type in one field never spoils the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ _JSON_OPTIONS = {
     "columnNameOfCorruptRecord": "_corrupt",
 }
 _STRING = r'"(?:[^"\\]|\\.)*+"'
+_LEAVES_LIST = r"\}\s*\]"
 # a Python literal standing for a value: after a colon, a comma or an opening bracket
 _PY_VALUE = r"([:,\[]\s*)%s(?=\s*[,}\]])"
 
@@ -49,8 +52,11 @@ def _read_object(candidate: Column, fields: list[str]) -> Column:
     parsed = F.from_json(F.concat(F.lit('{"r":['), candidate, F.lit('],"end":1}')), wrapped, _JSON_OPTIONS)
 
     def only_element(p: Column) -> Column:
-        alone = _closes_once(candidate) & p["_corrupt"].isNull() & p["end"].isNotNull() & (F.size(p["r"]) == 1)
-        return F.when(alone, F.get(p["r"], F.lit(0)))
+        read = p["_corrupt"].isNull() & p["end"].isNotNull() & (F.size(p["r"]) == 1)
+        # only an object that is followed by the end of a list can have left the one put around it: the others need
+        # no count of their brackets
+        alone = F.when(candidate.rlike(_LEAVES_LIST), _closes_once(candidate)).otherwise(True)
+        return F.when(F.when(read, alone), F.get(p["r"], F.lit(0)))
 
     return bind(parsed, only_element)
 
@@ -131,6 +137,18 @@ def parse_fenced_json(raw: Column | str, schema: T.StructType = ACTION) -> Colum
     return bind(_read_object(between_fences(raw), schema.fieldNames()), typed)
 
 
+def first_readable(replies: DataFrame, parse: Callable[[Column], Column], order: str | None = None) -> DataFrame:
+    """call_id, raw, parsed: per call its first reply that can be read, or its first one with ``parsed`` null.
+
+    A client that tried twice answers twice. ``order`` is the column that tells which answer came first; without it,
+    and for equal ones, text order decides. Replies are read where they are, and each task hands on one per call.
+    """
+    read = replies.select("call_id", "raw", *[order] if order else [], parse(F.col("raw")).alias("parsed"))
+    rank = F.struct(F.col("parsed").isNull(), *[F.col(order).isNull(), F.col(order)] if order else [], F.col("raw").isNull(), F.col("raw"))
+    best = F.min_by(F.struct("raw", "parsed"), rank).alias("best")
+    return read.groupBy("call_id").agg(best).select("call_id", "best.raw", "best.parsed")
+
+
 def with_entities(df: DataFrame, raw: str = "raw", repair: bool = True) -> DataFrame:
     """Entity columns plus ``parse_status`` (ok / default) for a reply column."""
     def read(parsed: Column) -> Column:

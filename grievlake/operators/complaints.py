@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
-from ..functions.replies import coerce_entities, parse_entities
+from ..functions.replies import coerce_entities, first_readable, parse_entities
 from ..functions.shape import conform
-from ..functions.text import as_column, bind, fill_template, strip
+from ..functions.text import as_column, fill_template, strip
 from ..schemas import SILVER
 
 # fixed values: words that decide issue, violence and counts; the first issue that matches wins
@@ -61,11 +61,6 @@ def untranslated(df: DataFrame, memory: DataFrame, text: str = "raw_text") -> Da
         known, "_digest", "left_anti").select("source_text")
 
 
-def one_reply_per_call(replies: DataFrame) -> DataFrame:
-    """A client that tried twice answers twice: of several replies to a call the first in text order counts."""
-    return replies.groupBy("call_id").agg(F.min("raw").alias("raw"))
-
-
 def issue_of(text: Column) -> Column:
     found = [F.when(text.rlike(_UNICODE + pattern), F.lit(issue)) for pattern, issue in ISSUE_PATTERNS]
     return F.coalesce(*found, F.lit(fixed.OTHER_ISSUE))
@@ -112,9 +107,14 @@ def entity_requests(df: DataFrame) -> DataFrame:
     return df.select("call_id", fill_template(fixed.ENTITY_PROMPT).alias("prompt"))
 
 
-def failed_replies(replies: DataFrame) -> DataFrame:
-    """call_id and raw of the replies that ``build_silver`` can read nothing from."""
-    return one_reply_per_call(replies).filter(parse_entities("raw").isNull())
+def read_replies(replies: DataFrame, order: str | None = None) -> DataFrame:
+    """call_id, raw, parsed of the reply that counts for each call: see ``replies.first_readable``."""
+    return first_readable(replies, parse_entities, order)
+
+
+def failed_replies(read: DataFrame) -> DataFrame:
+    """call_id and raw of the read replies (``read_replies``) that nothing could be read from: their calls get defaults."""
+    return read.filter(F.col("parsed").isNull()).select("call_id", "raw")
 
 
 def build_silver(
@@ -122,11 +122,12 @@ def build_silver(
     memory: DataFrame | None = None,
     replies: DataFrame | None = None,
     find_pincode: bool = False,
+    order: str | None = None,
 ) -> DataFrame:
     """Bronze calls to the silver schema in one plan.
 
-    Entities come from word rules, or from ``replies(call_id, raw)`` of a chat client; a call whose
-    reply is missing or unusable gets the default entities.
+    Entities come from word rules, or from ``replies(call_id, raw)`` of a chat client, read here or already
+    (``read_replies``); a call without a reply that can be read gets the default entities.
     """
     english = with_translation(to_raw(bronze), memory)
     if find_pincode:
@@ -134,7 +135,8 @@ def build_silver(
     if replies is None:
         found = extract_entities(english)
     else:
-        joined = english.join(one_reply_per_call(replies), "call_id", "left")
-        typed = joined.withColumn("_entities", bind(parse_entities("raw"), coerce_entities))
+        read = replies if "parsed" in replies.columns else read_replies(replies, order)
+        joined = english.join(read.select("call_id", "parsed"), "call_id", "left")
+        typed = joined.withColumn("_entities", coerce_entities(F.col("parsed")))
         found = typed.select(*english.columns, "_entities.*")
     return conform(found, SILVER)

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
-from ..functions.replies import parse_fenced_json
+from ..functions.replies import first_readable, parse_fenced_json
 from ..functions.scores import high_priority
-from ..functions.text import as_column, fill_template, iso_timestamp, issue_label, literal
+from ..functions.text import as_column, fill_template, first_items, iso_timestamp, issue_label, literal
 from ..schemas import ACTION, ACTION_LOG
-from .complaints import one_reply_per_call
 from .corpus import keep_first
 from .hotspots import KEYS
 from .knn import context_of_hits
@@ -131,6 +130,11 @@ def action_metrics(df: DataFrame) -> DataFrame:
     return df.select("call_id", count("bns_sections_cited").alias("sections_cited"), count("action_steps"))
 
 
+def first_steps(df: DataFrame, size: int = 2) -> DataFrame:
+    """call_id and the first steps of each action, for a short view."""
+    return df.select("call_id", first_items(F.col("action")["action_steps"], size).alias("first_steps"))
+
+
 def action_requests(asked: DataFrame, contexts: DataFrame) -> DataFrame:
     """Request table for a chat client, one row per distinct issue and threat level."""
     joined = asked.join(contexts, "query_id", "left")
@@ -143,9 +147,14 @@ def contexts_for(actions: DataFrame, model: TextModel, vectors: DataFrame, k: in
     return hits.groupBy(*ASKED_BY, "query_id").agg(context_of_hits().alias("c")).select(*ASKED_BY, "query_id", "c.*")
 
 
-def failed_replies(replies: DataFrame) -> DataFrame:
-    """call_id and raw of the replies that ``build_legal_actions`` replaces by advice."""
-    return one_reply_per_call(replies).filter(parse_fenced_json("raw").isNull())
+def read_replies(replies: DataFrame, order: str | None = None) -> DataFrame:
+    """call_id, raw, parsed of the reply that counts for each call: see ``replies.first_readable``."""
+    return first_readable(replies, parse_fenced_json, order)
+
+
+def failed_replies(read: DataFrame) -> DataFrame:
+    """call_id and raw of the read replies (``read_replies``) that ``build_legal_actions`` replaces by advice."""
+    return read.filter(F.col("parsed").isNull()).select("call_id", "raw")
 
 
 def build_legal_actions(
@@ -156,16 +165,17 @@ def build_legal_actions(
     on_failure: str = "advice",
     normalise: bool = True,
     at: Column | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Action log rows for all high-priority complaints at once.
 
-    ``replies(call_id, raw)`` are answers of a chat client, ``contexts`` the retrieved chunks per issue
+    ``replies(call_id, raw)`` are answers of a chat client, read here or already (``read_replies``), ``contexts`` the retrieved chunks per issue
     and threat level. ``on_failure`` picks the advice table or the generic advice for the other rows.
     """
     rows = high_priority_complaints(silver, gold).withColumnRenamed("threat_label", "threat_level")
     if replies is not None:
-        rows = rows.join(one_reply_per_call(replies), "call_id", "left")
-        rows = rows.withColumn("reply", parse_fenced_json("raw")).drop("raw")
+        read = replies if "parsed" in replies.columns else read_replies(replies, order)
+        rows = rows.join(read.select("call_id", F.col("parsed").alias("reply")), "call_id", "left")
     else:
         rows = rows.withColumn("reply", F.lit(None).cast(ACTION))
     if contexts is not None:

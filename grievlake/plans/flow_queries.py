@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import with_mime
 from ..functions import shape
@@ -14,7 +16,7 @@ from ..functions.text import base_name, extension, or_default
 from ..operators import audit, notices, radar
 from ..operators.calls import assign_call_ids, call_records, run_scoped_ids
 from ..operators.recency import complaints_48h
-from ..schemas import CALLS, CHUNKS, SILVER
+from ..schemas import CALLS, CHUNKS, SCHEMES, SILVER
 from ..sources import readers, sinks
 from ..sources.storage import new_folder, stage
 from ..streaming import jobs
@@ -62,6 +64,16 @@ def call_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_call_ids(files, offset=1000, order=["path", "page_id"])
 
 
+@query("call_ids_from_one", """
+SELECT n AS call_id, 'call_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END || '.json' AS file_name, s_suppkey
+FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_name DESC, s_suppkey) AS n FROM supplier)""")
+def call_ids_from_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of fewer than three digits are padded in file names."""
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/calls/"), "s_name").alias("path"), "s_suppkey")
+    ranked = files.withColumn("path", F.translate("path", "0123456789", "9876543210"))
+    return assign_call_ids(ranked, order=["path", "s_suppkey"]).select("call_id", "file_name", "s_suppkey")
+
+
 @query("call_records", """
 SELECT row_number() OVER (ORDER BY conv_id, turn) AS call_id, '000000' AS pincode, md5(text) AS text_digest,
        true AS duration_in_range, conv_id || '-' || turn || '.wav' AS audio_source
@@ -173,12 +185,15 @@ def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _write_call_arrays(calls: DataFrame, folder: str) -> None:
-    """Pretty-printed JSON arrays, one per file, of at most ``_CALLS_PER_FILE`` records (ids are unique)."""
+def _call_arrays(calls: DataFrame) -> DataFrame:
+    """file, value: pretty-printed JSON arrays of at most ``_CALLS_PER_FILE`` records (ids are unique)."""
     row = F.struct(*CALLS.fieldNames())
     grouped = calls.groupBy(F.floor(F.col("call_id") / _CALLS_PER_FILE).alias("file")).agg(F.collect_list(row).alias("rows"))
-    text = grouped.select(F.to_json("rows", {"pretty": "true"}).alias("value"))
-    text.write.option("maxRecordsPerFile", 1).text(folder)
+    return grouped.select("file", F.to_json("rows", {"pretty": "true"}).alias("value"))
+
+
+def _write_call_arrays(calls: DataFrame, folder: str) -> None:
+    _call_arrays(calls).select("value").write.option("maxRecordsPerFile", 1).text(folder)
 
 
 @query("bronze_ingest", _BRONZE_SQL)
@@ -191,6 +206,28 @@ def bronze_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(CALLS).parquet(f"{base}/bronze")
 
 
+@query("bronze_rejects", f"""
+SELECT 'call' AS kind, event_id::VARCHAR AS what, true AS named FROM events WHERE (event_id // {_CALLS_PER_FILE}) % 3 <> 1
+UNION ALL SELECT DISTINCT 'reject', '{{{{"call_id": ' || (event_id // {_CALLS_PER_FILE}) || ', cut off', true FROM events
+WHERE (event_id // {_CALLS_PER_FILE}) % 3 = 1""".replace("{{", "{"))
+def bronze_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third file is cut off; it is set aside with its path and text, once, although two runs look for files."""
+    base = new_folder(spark, "bronze")
+    texts = _call_arrays(event_calls(spark, sf_dir))
+    cut = F.concat(F.lit('{"call_id": '), F.col("file").cast("string"), F.lit(", cut off"))
+    broken = texts.select(F.when(F.col("file") % 3 == 1, cut).otherwise(F.col("value")).alias("value"))
+    broken.write.option("maxRecordsPerFile", 1).text(f"{base}/in")
+    for _ in range(2):
+        jobs.ingest_calls(spark, f"{base}/in", f"{base}/bronze", f"{base}/checkpoint", pattern="*.txt")
+    taken = readers.read_table(spark, f"{base}/bronze").select(
+        F.lit("call").alias("kind"), F.col("call_id").cast("string").alias("what"), F.lit(True).alias("named")
+    )
+    rejects = readers.read_table(spark, f"{base}/bronze_rejects").select(
+        F.lit("reject").alias("kind"), F.rtrim("text", F.lit("\n")).alias("what"), F.contains("path", F.lit("/in/")).alias("named")
+    )
+    return taken.unionByName(rejects)
+
+
 @query("bronze_ingest_lines", _BRONZE_SQL)
 def bronze_ingest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-delimited bulk export, read as a stream."""
@@ -282,15 +319,53 @@ def vectors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("notices_roundtrip", f"""{_TARGET_SQL}
-SELECT 'notice_' || replace(contractor_name, ' ', '_') AS file_key,
+SELECT 'notice_' || replace(contractor_name, ' ', '_') || '.txt' AS file_name, 'SHOW CAUSE NOTICE' AS first_line,
        'To: Contractor ' || contractor_name || ', Pincode ' || pincode AS second_line
 FROM target""")
 def notices_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One exported text file per contractor, read back whole."""
     folder = new_folder(spark, "notices")
     sinks.write_notices(notices.show_cause_notice(notices.notice_target(radar_of(spark, sf_dir))), folder)
-    files = spark.read.text(folder, wholetext=True)
-    return files.select("file_key", F.get(F.split("value", "\n"), F.lit(1)).alias("second_line"))
+    files = spark.read.option("pathGlobFilter", "notice_*.txt").text(folder, wholetext=True)
+    line = lambda n: F.get(F.split("value", "\n"), F.lit(n))
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))  # stated as part of an address
+    return files.select(name.alias("file_name"), line(0).alias("first_line"), line(1).alias("second_line"))
+
+
+@query("notices_without_file", f"""{_TARGET_SQL}
+SELECT twice AS contractor_name, 'notice_' || replace(twice, ' ', '_') AS file_key
+FROM (SELECT unnest([contractor_name || ' Sons', contractor_name || '_Sons']) AS twice FROM target)""")
+def notices_without_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contractors whose names differ only by a blank and an underscore claim the same file: they are reported."""
+    rows = notices.show_cause_notice(notices.notice_target(radar_of(spark, sf_dir))).select("contractor_name", "notice")
+    names = F.array(*[F.concat("contractor_name", F.lit(end)) for end in ("", " Sons", "_Sons")])
+    return sinks.notice_files(rows.select(F.explode(names).alias("contractor_name"), "notice"))[1]
+
+
+@query("catalog_tables", """
+SELECT p_name AS scheme_name, p_brand AS eligibility, p_type AS benefits, NULL::VARCHAR AS application, 'stored' AS origin FROM part
+UNION ALL SELECT p_name, p_brand, p_type, NULL::VARCHAR, 'appended' FROM part WHERE p_size > 25
+UNION ALL SELECT 'Pension', 'workers over sixty', 'monthly pay', 'office', 'fallback'
+UNION ALL SELECT 'Pension', 'workers over sixty', 'monthly pay', 'office', 'fallback'""")
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the session's catalog: empty, given rows stand in for it; it is created, appended to twice, read, and
+    dropped, after which the given rows stand in for it again."""
+    name, given = "grievlake_" + uuid.uuid4().hex, [("Pension", "workers over sixty", "monthly pay", "office")]
+    parts = table(spark, sf_dir, "part")
+    schemes = parts.select(
+        F.col("p_name").alias("scheme_name"), F.col("p_brand").alias("eligibility"), F.col("p_type").alias("benefits"),
+        F.lit(None).cast("string").alias("application"), F.lit("stored").alias("origin"), "p_size",
+    )
+    schema = T.StructType([*SCHEMES.fields, T.StructField("origin", T.StringType())])
+    sinks.ensure_table(spark, name, schema)
+    sinks.ensure_table(spark, name, schema)
+    fallback = [(*row, "fallback") for row in given]
+    before = readers.table_or_default(spark, name, fallback, schema)
+    sinks.append(schemes.drop("p_size"), name)
+    sinks.append(schemes.filter("p_size > 25").drop("p_size").withColumn("origin", F.lit("appended")), name)
+    kept = stage(readers.table_or_default(spark, name, fallback, schema), "schemes")
+    sinks.reset(spark, name)
+    return before.unionByName(kept).unionByName(readers.table_or_default(spark, name, fallback, schema))
 
 
 @query("table_audit", " UNION ALL ".join(

@@ -331,14 +331,16 @@ SELECT call_id, pincode, issue_type, threat_level,
        'law of ' || issue_type || ' ' || threat_level || ', BNS_316' AS retrieved_chunks, {_LOGGED_AT} AS timestamp
 FROM urgent""")
 def legal_actions_with_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls whose id has an even length got an answer; every question has two retrieved chunks."""
+    """Every call got an error text, and those whose id has an even length an answer; every question has two chunks."""
     silver = complaints(spark, sf_dir)
     answer = fill_template(
         '```json\n{{"bns_sections_cited":["Section for {call_id}"],"action_steps":["Go"],'
         '"government_portal":"portal","urgency":"LOW"}}\n```'
     )
     answered = silver.select("call_id").distinct()
-    replies = answered.select("call_id", F.when(F.length("call_id") % 2 == 0, answer).otherwise("none").alias("raw"))
+    replies = answered.select("call_id", F.explode(F.array_compact(F.array(
+        F.lit("I cannot answer."), F.when(F.length("call_id") % 2 == 0, answer))
+    )).alias("raw"))
     asked = silver.select("issue_type").distinct().withColumn(
         "threat_level", F.explode(F.array(*[F.lit(t) for t in fixed.THREAT_LEVELS]))
     )
@@ -443,6 +445,13 @@ def notice_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.select("contractor_name", "pincode", F.md5("prompt").alias("prompt_digest"))
 
 
+@query("first_steps", f"""WITH {_ACTIONS_SQL}
+SELECT call_id, array_to_string(string_split({advice_case('label', 1, ' | ')}, ' | ')[1:2], ' | ') AS first_steps FROM actions""")
+def first_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = legal.with_fallback_action(action_rows(spark, sf_dir).select("call_id", "issue_type"))
+    return legal.first_steps(rows).select("call_id", F.array_join("first_steps", " | ").alias("first_steps"))
+
+
 _STEPS_SQL = f"""{_ACTIONS_SQL}, steps AS (
   SELECT call_id, unnest(string_split({advice_case('label', 1, chr(10))}, chr(10))) AS step,
          generate_subscripts(string_split({advice_case('label', 1, chr(10))}, chr(10)), 1) AS n

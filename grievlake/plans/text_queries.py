@@ -90,6 +90,18 @@ def reply_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("verdict").agg(F.count(F.lit(1)).alias("replies"))
 
 
+@query("failed_replies", f"""WITH {COMPLAINTS_SQL}
+SELECT call_id, md5(min('{{"contractor_name":"' || contractor_name || '","work_site":"' || work_site || '","issue_type":"'
+  || issue_type || '","violence_threatened":' || violence_threatened || ',"worker_count_mentioned":7}} as asked }}')) AS raw_digest
+FROM complaints WHERE worker_count_mentioned = 7 GROUP BY call_id""")
+def failed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that were cut off were asked for again; those with left-over text are the ones that failed."""
+    first = replies(spark, sf_dir)
+    again = first.filter(~F.endswith("raw", F.lit("}"))).select("call_id", F.concat("raw", F.lit("}")).alias("raw"))
+    failed = calls.failed_replies(calls.read_replies(first.unionByName(again)))
+    return failed.select("call_id", F.md5("raw").alias("raw_digest"))
+
+
 @query("reply_fenced", """
 SELECT o_orderkey AS call_id,
        CASE o_orderstatus WHEN 'P' THEN NULL ELSE 'Section ' || o_custkey || ', Section 316' END AS sections,
@@ -152,6 +164,15 @@ _CALL_SQL = f"""{COMPLAINTS_SQL}, told AS (
 )"""
 
 
+_ENGLISH_SQL = """CASE issue_type WHEN 'PHYSICAL_ASSAULT' THEN 'Contractor ' || contractor_name || ' slapped '
+            WHEN 'WRONGFUL_TERMINATION' THEN 'Contractor ' || contractor_name || ' fired '
+            WHEN 'UNSAFE_CONDITIONS' THEN 'Contractor ' || contractor_name || ' gave no helmet to '
+            WHEN 'WAGE_THEFT' THEN 'Contractor ' || contractor_name || ' has not given wages to '
+            ELSE 'Contractor ' || contractor_name || ' insulted ' END
+         || worker_count_mentioned || ' workers at the ' || work_site || ' site.'
+         || CASE WHEN violence_threatened THEN ' He made a threat.' ELSE '' END"""
+
+
 @query("extract_entities", f"WITH {_CALL_SQL} SELECT * FROM told")
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = call_texts(spark, sf_dir).withColumnRenamed("hindi_audio_text", "english_text")
@@ -160,13 +181,7 @@ def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("silver_from_calls", f"""WITH {_CALL_SQL}
 SELECT call_id, pincode, contractor_name, work_site, issue_type, violence_threatened, worker_count_mentioned,
-       CASE issue_type WHEN 'PHYSICAL_ASSAULT' THEN 'Contractor ' || contractor_name || ' slapped '
-            WHEN 'WRONGFUL_TERMINATION' THEN 'Contractor ' || contractor_name || ' fired '
-            WHEN 'UNSAFE_CONDITIONS' THEN 'Contractor ' || contractor_name || ' gave no helmet to '
-            WHEN 'WAGE_THEFT' THEN 'Contractor ' || contractor_name || ' has not given wages to '
-            ELSE 'Contractor ' || contractor_name || ' insulted ' END
-         || worker_count_mentioned || ' workers at the ' || work_site || ' site.'
-         || CASE WHEN violence_threatened THEN ' He made a threat.' ELSE '' END AS english_text
+       {_ENGLISH_SQL} AS english_text
 FROM told""")
 def silver_from_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.build_silver(call_texts(spark, sf_dir)).drop("raw_text")
@@ -181,7 +196,7 @@ SELECT o_orderkey::VARCHAR AS call_id, lpad(o_custkey::VARCHAR, 6, '0') AS pinco
        CASE WHEN o_orderstatus = 'P' THEN 0 ELSE (o_custkey % 9)::INTEGER END AS worker_count_mentioned
 FROM orders""")
 def silver_from_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as calls; those in status P have no reply."""
+    """Orders as calls. Every one got a refusal first; all but those in status P a good answer on the second try."""
     orders = table(spark, sf_dir, "orders")
     bronze = orders.select(
         F.col("o_orderkey").alias("call_id"),
@@ -195,7 +210,8 @@ def silver_from_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     replied = orders.filter("o_orderstatus <> 'P'").withColumns({
         "flag": F.when(F.col("o_orderstatus") == "F", "True").otherwise("False"), "heads": F.col("o_custkey") % 9,
     }).select(F.col("o_orderkey").cast("string").alias("call_id"), body.alias("raw"))
-    return calls.build_silver(bronze, replies=replied).drop("raw_text", "english_text")
+    refused = orders.select(F.col("o_orderkey").cast("string").alias("call_id"), F.lit("I cannot answer that.").alias("raw"))
+    return calls.build_silver(bronze, replies=replied.unionByName(refused)).drop("raw_text", "english_text")
 
 
 @query("gold_from_calls", f"""WITH {_CALL_SQL.replace('complaints AS', 'lines AS').replace('FROM complaints', 'FROM lines')
@@ -292,12 +308,12 @@ def enrich_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("entity_prompts", f"""WITH {_CALL_SQL}
 SELECT call_id, md5('Extract entities from this labor complaint and return ONLY a JSON object.' || chr(10) || chr(10)
-  || 'Complaint: ' || contractor_name || chr(10) || chr(10) || 'Return exactly this structure:' || chr(10)
+  || 'Complaint: ' || {_ENGLISH_SQL} || chr(10) || chr(10) || 'Return exactly this structure:' || chr(10)
   || '{{"contractor_name":"name mentioned or UNKNOWN","work_site":"location mentioned or UNKNOWN","issue_type":"one of WAGE_THEFT/PHYSICAL_ASSAULT/WRONGFUL_TERMINATION/UNSAFE_CONDITIONS/OTHER","violence_threatened":true or false,"worker_count_mentioned":number or 0}}')
   AS prompt_digest
-FROM complaints""")
+FROM told""")
 def entity_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = complaints(spark, sf_dir).select("call_id", F.col("contractor_name").alias("english_text"))
+    texts = call_texts(spark, sf_dir).select("call_id", strip("hindi_audio_text").alias("english_text"))
     return calls.entity_requests(texts).select("call_id", F.md5("prompt").alias("prompt_digest"))
 
 
@@ -320,6 +336,22 @@ def labour_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.labour_schemes(parts, ["widget", "economy", "brand#1"]).select("p_partkey", "p_name")
 
 
+_KINDS = [*fixed.LABOUR_KEYWORDS, "sport", "music", "tourism", "harvest", "fishery"]
+
+
+@query("labour_schemes_of_the_contract", f"""
+SELECT p_partkey FROM part
+WHERE regexp_matches([{", ".join(f"'{k}'" for k in _KINDS)}][p_partkey % {len(_KINDS)} + 1], '{"|".join(fixed.LABOUR_KEYWORDS)}')""")
+def labour_schemes_of_the_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as schemes of fifteen kinds, ten of which the word list of the contract names."""
+    kinds = F.array(*[F.lit(k) for k in _KINDS])
+    kind = F.get(kinds, (F.col("p_partkey") % len(_KINDS)).cast("int"))
+    schemes = table(spark, sf_dir, "part").select(
+        "p_partkey", F.lit("Scheme").alias("scheme_name"), F.concat(F.lit("State fund for "), F.initcap(kind)).alias("benefits")
+    )
+    return corpus.labour_schemes(schemes).select("p_partkey")
+
+
 def bench_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("BNS_"), "item_id").alias("section_id"),

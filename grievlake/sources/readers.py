@@ -12,6 +12,8 @@ from .. import fixed_values as fixed
 from ..functions.text import base_name, extension, strip
 from ..schemas import CALLS, VECTORS
 
+_UNREAD = "_unread"
+
 
 def is_path(target: str) -> bool:
     """Targets holding a slash are folders; all others are catalog tables."""
@@ -22,26 +24,60 @@ def read_table(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target) if is_path(target) else spark.table(target)
 
 
+def _raw_calls(reader, path: str, lines: bool, pattern: str) -> DataFrame:
+    """Call records with the file they come from and, where they cannot be read, their text."""
+    schema = T.StructType([*CALLS.fields, T.StructField(_UNREAD, T.StringType())])
+    raw = (
+        reader.format("json").schema(schema).option("columnNameOfCorruptRecord", _UNREAD)
+        .option("multiLine", not lines).option("pathGlobFilter", pattern).load(path)
+    )
+    return raw.select("*", F.col("_metadata.file_path").alias("path"))
+
+
+def split_calls(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(call records, rejects): a reject has the path of its file, its text, and the call id if that was legible.
+
+    A file that is not JSON is one reject; so is a record with a value of another type than its column.
+    """
+    # Spark refuses to read the text of rejects alone, as a count of rows would: the test names another column, too
+    bad = F.array_position(F.array(F.col(_UNREAD).isNotNull(), F.col("call_id").isNull()), True) == 1
+    rejects = raw.filter(bad).select("path", "call_id", F.col(_UNREAD).alias("text"))
+    return raw.filter(~bad).select(*CALLS.fieldNames()), rejects
+
+
+def read_calls_and_rejects(
+    spark: SparkSession, path: str, lines: bool = False, pattern: str = "*.json"
+) -> tuple[DataFrame, DataFrame]:
+    return split_calls(_raw_calls(spark.read, path, lines, pattern))
+
+
 def read_calls(spark: SparkSession, path: str, lines: bool = False, pattern: str = "*.json") -> DataFrame:
-    """Call records. A file holds one pretty-printed object or an array; ``lines`` reads one per line."""
-    return spark.read.schema(CALLS).json(path, multiLine=not lines, pathGlobFilter=pattern)
+    """Call records. A file holds one pretty-printed object or an array; ``lines`` reads one per line.
+
+    What cannot be read is left out here: ``read_calls_and_rejects`` hands it out.
+    """
+    return read_calls_and_rejects(spark, path, lines, pattern)[0]
 
 
 def sample_call(spark: SparkSession, path: str) -> DataFrame:
     return read_calls(spark, path).limit(1)
 
 
-def stream_calls(
+def stream_calls_and_rejects(
     spark: SparkSession, path: str, lines: bool = False, pattern: str = "*.json", files_per_trigger: int | None = None
-) -> DataFrame:
-    """Incremental read of a folder of call files under the fixed schema."""
-    reader = (
-        spark.readStream.format("json").schema(CALLS)
-        .option("multiLine", not lines).option("pathGlobFilter", pattern)
-    )
+) -> tuple[DataFrame, DataFrame]:
+    """Incremental read of a folder of call files under the fixed schema: (call records, rejects)."""
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
+    return split_calls(_raw_calls(reader, path, lines, pattern))
+
+
+def stream_calls(
+    spark: SparkSession, path: str, lines: bool = False, pattern: str = "*.json", files_per_trigger: int | None = None
+) -> DataFrame:
+    """The call records alone."""
+    return stream_calls_and_rejects(spark, path, lines, pattern, files_per_trigger)[0]
 
 
 def rows_table(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:

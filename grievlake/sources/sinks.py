@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import CALLS, VECTORS
 from .readers import is_path, read_table
+from .text_files import write_text_files
 
 
 def _write(df: DataFrame, target: str, mode: str) -> None:
@@ -56,13 +57,18 @@ def reset(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def ingest_bronze(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append everything new to the table, then stop. The checkpoint makes reruns exactly-once."""
+def start_append(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Start to append everything new to the table; the query ends by itself."""
     writer = (
         stream.writeStream.format("parquet").outputMode("append")
         .trigger(availableNow=True).option("checkpointLocation", checkpoint)
     )
-    query = writer.start(target) if is_path(target) else writer.toTable(target)
+    return writer.start(target) if is_path(target) else writer.toTable(target)
+
+
+def ingest_bronze(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Append everything new to the table, then stop. The checkpoint makes reruns exactly-once."""
+    query = start_append(stream, target, checkpoint)
     query.awaitTermination()
     return query
 
@@ -84,10 +90,25 @@ def notice_key(name: str = "contractor_name"):
     return F.concat(F.lit("notice_"), F.replace(F.col(name), F.lit(" "), F.lit("_")))
 
 
-def write_notices(notices: DataFrame, folder: str, text: str = "notice") -> None:
-    """One folder of text per contractor, keyed by ``notice_key``."""
-    keyed = notices.select(notice_key().alias("file_key"), F.col(text).alias("value"))
-    keyed.repartition("file_key").write.partitionBy("file_key").text(folder)
+def notice_files(notices: DataFrame, text: str = "notice") -> tuple[DataFrame, DataFrame]:
+    """(file_name, value of the notices that have a file of their own; contractor_name, file_key of the others).
+
+    Names that differ only by blanks and underscores claim the same file, and so do several notices of one contractor;
+    a missing name or one with a slash has none.
+    """
+    keyed = notices.select("contractor_name", notice_key().alias("file_key"), F.col(text).alias("value"))
+    claims = keyed.groupBy(F.col("file_key").alias("_claimed")).agg(F.count(F.lit(1)).alias("_claims"))
+    own = F.coalesce(~F.contains("file_key", F.lit("/")), F.lit(False)) & (F.col("_claims") == 1)
+    joined = keyed.join(claims, F.col("file_key").eqNullSafe(F.col("_claimed")))
+    files = joined.filter(own).select(F.concat("file_key", F.lit(".txt")).alias("file_name"), "value")
+    return files, joined.filter(~own).select("contractor_name", "file_key")
+
+
+def write_notices(notices: DataFrame, folder: str, text: str = "notice") -> DataFrame:
+    """One text file ``notice_<name>.txt`` per contractor. Returns those without a file of their own."""
+    files, others = notice_files(notices, text)
+    write_text_files(files, folder)
+    return others
 
 
 def preview(df: DataFrame, size: int = 5) -> None:

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.complaints import build_silver
 from ..operators.hotspots import KEYS, PART_KEYS, hotspot_parts, hotspots_of_parts, merge_parts, score_hotspots
 from ..schemas import GOLD
-from ..sources.readers import stream_calls
-from ..sources.sinks import ingest_bronze
+from ..sources.readers import stream_calls_and_rejects
+from ..sources.sinks import start_append
 from ..sources.storage import stage
 
 DASHBOARD_INTERVAL = "60 seconds"
@@ -27,11 +27,20 @@ _VERSION = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField
 
 def ingest_calls(
     spark: SparkSession, folder: str, target: str, checkpoint: str, lines: bool = False, pattern: str = "*.json",
-    files_per_trigger: int | None = 10_000,
+    files_per_trigger: int | None = 10_000, rejects: str | None = None,
 ) -> StreamingQuery:
     """Take up every call file not seen before, append its rows, and stop. A large folder is taken up in
-    batches of ``files_per_trigger`` files, each committed on its own."""
-    return ingest_bronze(stream_calls(spark, folder, lines, pattern, files_per_trigger), target, checkpoint)
+    batches of ``files_per_trigger`` files, each committed on its own.
+
+    What cannot be read goes to ``rejects`` (by default ``<target>_rejects``) with its path and text, by a second query
+    with a checkpoint of its own that runs beside the first: each of them is exactly-once.
+    """
+    calls, unread = stream_calls_and_rejects(spark, folder, lines, pattern, files_per_trigger)
+    other = start_append(unread, rejects or target.rstrip("/") + "_rejects", checkpoint.rstrip("/") + "_rejects")
+    query = start_append(calls, target, checkpoint)
+    for started in (query, other):
+        started.awaitTermination()
+    return query
 
 
 def stream_table(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:

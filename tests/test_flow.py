@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from grievlake.fixed_values import DEMO_RADAR, DEMO_SCENARIOS
 from grievlake.operators import audit
@@ -112,11 +113,36 @@ def test_csv_and_manifest(spark, tmp_path):
     assert [(r["name"], r["ext"], r["length"]) for r in files] == [("a.wav", "wav", 5), ("d.mp3", "mp3", 5)]
 
 
-def test_exported_notices(spark, tmp_path):
-    df = spark.createDataFrame([("Suresh Patil", "line 1\nline 2"), ("A", "x")], "contractor_name string, notice string")
-    sinks.write_notices(df, str(tmp_path / "n"))
-    back = spark.read.text(str(tmp_path / "n"), wholetext=True).filter("file_key = 'notice_Suresh_Patil'").first()
-    assert back["value"].strip() == "line 1\nline 2"
+def test_exported_notices(spark, tmp_path, rows):
+    df = spark.createDataFrame(
+        [("Suresh Patil", "line 1\nline 2"), ("A", "x"), ("M K", "1"), ("M_K", "2"), ("B", "1"), ("B", "2"), (None, "n"),
+         ("../up", "u"), ("Z#1 é%20", None)],
+        "contractor_name string, notice string").repartition(3)
+    others = sinks.write_notices(df, str(tmp_path / "n"))
+    found = {p.name: p.read_text() for p in (tmp_path / "n").iterdir()}
+    assert found == {"_SUCCESS": "", "notice_Suresh_Patil.txt": "line 1\nline 2", "notice_A.txt": "x", "notice_Z#1_é%20.txt": ""}
+    assert rows(others) == sorted([
+        ("M K", "notice_M_K"), ("M_K", "notice_M_K"), ("B", "notice_B"), ("B", "notice_B"), (None, None), ("../up", "notice_../up")], key=repr)
+    sinks.write_notices(df.filter("contractor_name = 'A'").withColumn("notice", F.lit("new")), str(tmp_path / "n"))
+    assert (tmp_path / "n" / "notice_A.txt").read_text() == "new"
+
+
+def test_a_repeated_task_leaves_one_whole_file(tmp_path):
+    from grievlake.sources.text_files import _OneFilePerRow
+
+    writer = _OneFilePerRow(str(tmp_path))
+    rows = [{"file_name": f"notice_{i}.txt", "value": "text " * i} for i in range(5)]
+
+    def broken():
+        yield from rows[:3]
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        writer.write(broken())
+    writer.write(iter(rows))
+    writer.commit([])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["_SUCCESS"] + [f"notice_{i}.txt" for i in range(5)]
+    assert all((tmp_path / r["file_name"]).read_text() == r["value"] for r in rows)
 
 
 def test_pages_and_previews(spark, rows, capsys):
@@ -151,11 +177,52 @@ def test_calls_without_a_readable_time_count_each_other(spark):
     assert {r.id: r.complaints_48h for r in complaints_48h(df).collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 5: 2}
 
 
-def test_second_replies_do_not_double_calls(spark):
-    from grievlake.operators.complaints import one_reply_per_call
+def test_of_several_replies_the_first_that_can_be_read_counts(spark):
+    from grievlake.operators.complaints import failed_replies, read_replies
+
+    good, other = '{"contractor_name":"A"}', '{"contractor_name":"B"}'
+    df = spark.createDataFrame(
+        [("1", "I cannot", 1), ("1", good, 2), ("2", None, 1), ("3", other, 1), ("3", good, 2), ("4", "no", 2), ("4", "nay", 1),
+         ("5", other, None), ("5", good, 7)], "call_id string, raw string, attempt int")
+    names = lambda read: {r["call_id"]: r["parsed"] and r["parsed"]["contractor_name"] for r in read.collect()}
+    assert names(read_replies(df.drop("attempt"))) == {"1": "A", "2": None, "3": "A", "4": None, "5": "A"}
+    read = read_replies(df, order="attempt")
+    assert names(read) == {"1": "A", "2": None, "3": "B", "4": None, "5": "A"}
+    assert sorted(map(tuple, failed_replies(read).collect()), key=repr) == [("2", None), ("4", "nay")]
+
+
+def test_a_refusal_does_not_beat_the_answer_of_the_second_try(spark):
+    from grievlake.operators import complaints, legal
+
+    bronze = spark.createDataFrame([(1, "1", "text")], "call_id long, pincode string, hindi_audio_text string")
+    replies = spark.createDataFrame([("1", "I cannot answer"), ("1", '{"contractor_name":"Ravi","issue_type":"WAGE_THEFT"}')], "call_id string, raw string")
+    row = complaints.build_silver(bronze, replies=replies).first()
+    assert (row["contractor_name"], row["issue_type"]) == ("Ravi", "WAGE_THEFT")
+    read = complaints.read_replies(replies)
+    assert complaints.build_silver(bronze, replies=read).first() == row
+    silver = silver_of(spark, SIX_CALLS)
+    answers = spark.createDataFrame([("1", "Error 500"), ("1", '{"bns_sections_cited":["S 1"],"urgency":"LOW"}')], "call_id string, raw string")
+    log = {r["call_id"]: r["bns_sections_cited"] for r in legal.build_legal_actions(silver, build_gold(silver), answers).collect()}
+    assert log["1"] == "S 1" and log["2"] != "S 1" and len(log) == 4
 
-    df = spark.createDataFrame([("1", "b"), ("1", "a"), ("2", None)], "call_id string, raw string")
-    assert sorted(map(tuple, one_reply_per_call(df).collect())) == [("1", "a"), ("2", None)]
+
+def test_a_broken_file_is_set_aside_once(spark, tmp_path):
+    folder, table, checkpoint = str(tmp_path / "in"), str(tmp_path / "bronze"), str(tmp_path / "checkpoint")
+    write_call(folder, 1)
+    write_call(folder, 2)
+    (tmp_path / "in" / "call_003.json").write_text('{"call_id": 3, "pincode": "00')
+    for _ in range(2):
+        jobs.ingest_calls(spark, folder, table, checkpoint)
+        assert sorted(r["call_id"] for r in spark.read.parquet(table).collect()) == [1, 2]
+        reject = spark.read.parquet(f"{table}_rejects").collect()
+        assert len(reject) == 1 and reject[0]["path"].endswith("/in/call_003.json")
+        assert reject[0]["text"] == '{"call_id": 3, "pincode": "00'
+    good, rejects = readers.read_calls_and_rejects(spark, folder)
+    assert good.count() == 2 and rejects.select("text").collect() == [(reject[0]["text"],)] and good.columns == CALLS.fieldNames()
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.json").write_text('{"call_id":1}\n{"call_id":"x","pincode":"9"}\nnot json\n')
+    good, rejects = readers.read_calls_and_rejects(spark, str(tmp_path / "lines"), lines=True)
+    assert [r["call_id"] for r in good.collect()] == [1] and len(rejects.collect()) == 2
 
 
 def test_unreadable_tables_are_not_called_missing(spark, tmp_path):
@@ -281,5 +348,5 @@ def test_failed_replies_can_be_seen(spark):
     from grievlake.operators import complaints, legal
 
     df = spark.createDataFrame([("1", '{"contractor_name":"A"}'), ("2", "sorry"), ("3", None), ("4", "```json\n{\"urgency\":\"HIGH\"}\n```")], "call_id string, raw string")
-    assert sorted(r.call_id for r in complaints.failed_replies(df).collect()) == ["2", "3"]
-    assert sorted(r.call_id for r in legal.failed_replies(df).collect()) == ["2", "3"]
+    for part in (complaints, legal):
+        assert sorted(r.call_id for r in part.failed_replies(part.read_replies(df)).collect()) == ["2", "3"]
