@@ -384,14 +384,24 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+#: What makes a word: see ``scan``.
+_WORDED = r"[0-9A-Za-z]|[^\x00-\x7F]"
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without near-duplicates: of each class the one of the smallest id, once.
+    """The documents without near-duplicates: one row of each class, that of the smallest id, and of rows that share it
+    the one of the smallest hash of all columns.
 
-    Texts without words are kept. Documents without id cannot be told apart, so a class of them is kept whole.
+    Classes belong to rows, known by id and hash, so an id that several texts share loses none of them; rows without an
+    id come after the others. Rows that are equal in all columns are one row. Texts without words have no duplicates and
+    are all kept.
     """
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    gone = classes.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_id")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns)))
-    ranked = left.filter(F.col(id_col).isNotNull()).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-    return ranked.union(left.filter(F.col(id_col).isNull()))
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("row"))
+    keyed = docs.select(F.struct("*").alias("_doc"), key.alias("_key"))
+    classes = near_duplicates(keyed.select("_key", F.col("_doc")[text_col].alias("text")), "_key", "text", **options)
+    gone = classes.filter(F.col("_key") != F.col("class_id")).select(F.col("_key").alias("_gone")).distinct()
+    left = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    worded = F.coalesce(F.col("_doc")[text_col].rlike(_WORDED), F.lit(False))
+    first = left.filter(worded).withColumn("_rank", rank).filter("_rank = 1").select("_doc.*")
+    return first.unionByName(left.filter(~worded).select("_doc.*"))

@@ -94,6 +94,56 @@ def test_pairs_and_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*range(6), 9} - linked)
 
 
+def one_of_each_class(rows):
+    """Rows that stay, from classes found by comparing all rows: the least (no id, id, place in ``order``) of each."""
+    distinct = list(dict.fromkeys(rows))
+    classes = {k: c for k, c, _ in brute_force([(k, t) for k, (_, t) in enumerate(distinct)])}
+    members = {}
+    for k, c in classes.items():
+        members.setdefault(c, []).append(distinct[k])
+    kept = {}
+    for c, own in members.items():
+        kept[c] = [r for r in rows if r in own] if not shingles(own[0][1] or "") else own
+    return kept
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "a"), (1, "b"), (2, "a x"), (3, "b y")],
+    [(5, "a"), (7, "a"), (7, "g")],
+    [(None, "same words"), (None, "same words"), (None, "other words"), (4, "same words"), (4, None), (4, None), (6, "..."), (6, "...")],
+])
+def test_classes_belong_to_rows_not_to_ids(spark, rows):
+    long = lambda t: t and f"{t} " * 2 if t in ("a", "b", "g") else t
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+    text = {"a": base, "a x": base + "x", "b": base.upper()[::-1], "b y": base.upper()[::-1] + " y"}
+    rows = [(i, text.get(t, long(t))) for i, t in rows]
+    got = sorted((tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    want = one_of_each_class(rows)
+    left = list(got)
+    for own in want.values():
+        if not shingles(own[0][1] or ""):
+            for r in own:
+                left.remove(r)
+            continue
+        stay = [r for r in left if r in own]
+        assert len(stay) == 1 and (stay[0][0] is None, stay[0][0] or 0) == min((i is None, i or 0) for i, _ in own)
+        left.remove(stay[0])
+    assert not left
+
+
+def test_reused_and_missing_ids_lose_no_class(spark):
+    import random
+
+    draw = random.Random(9)
+    texts = near_copies(25, edits=1) + near_copies(25, words=60, edits=40, seed=5) + ["", None, "!!"]
+    rows = [(draw.choice([None, *range(8)]), draw.choice(texts)) for _ in range(150)]
+    got = [tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = one_of_each_class(rows)
+    worded = [own for own in want.values() if shingles(own[0][1] or "")]
+    assert all(sum(r in own for r in got) == 1 for own in worded)
+    assert len(got) == len(worded) + sum(not shingles(t or "") for _, t in rows)
+
+
 def test_pruning_rarely_loses_a_pair_at_the_threshold():
     least = jaccard_join.fewest_matches(0.8, 1e-5)
     draw = np.random.default_rng(0)
