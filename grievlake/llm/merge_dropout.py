@@ -410,7 +410,8 @@ ENCODED = T.StructType([
 def encode(
     docs: DataFrame, model_path: str, text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` with ``pieces`` (ids), ``n_pieces`` and ``lossless``: whether the pieces decode to the text."""
+    """``docs`` with ``pieces`` (ids), ``n_pieces`` and ``lossless``: whether the pieces decode to the text. Columns of
+    these names that ``docs`` has already give way to them, as ``withColumn`` would have it."""
     model = load_model(model_path)
     key = ("pieces", model_path, dropout, seed)
 
@@ -431,8 +432,10 @@ def encode(
         return pa.StructArray.from_arrays([lists, pa.array(sizes), pa.array(exact, pa.bool_())], names=["pieces", "n_pieces", "lossless"])
 
     coded = F.arrow_udf(run, ENCODED)(F.col(text_col))
-    fields = [F.col("_coded")[f].alias(f) for f in ("pieces", "n_pieces", "lossless")]
-    return docs.withColumn("_coded", coded).select(*[F.col(c) for c in docs.columns], *fields)
+    names = ENCODED.fieldNames()
+    both = docs.select(F.struct("*").alias("doc"), coded.alias("coded"))
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in names]
+    return both.select(*kept, *[F.col("coded")[f].alias(f) for f in names])
 
 
 def decode(encoded: DataFrame, model_path: str, pieces_col: str = "pieces") -> DataFrame:

@@ -152,3 +152,7 @@ def test_encode_and_decode_columns(spark):
     assert out.columns == ["doc_id", "text", "kind", "pieces", "n_pieces", "lossless", "decoded"] and len(rows) == 2 * len(ODD)
     assert all(r.lossless and r.decoded == (r.text or "") and r.n_pieces == len(r.pieces) for r in rows)
     assert merge_dropout.encode(df.limit(0), PIECES).count() == 0
+    clash = merge_dropout.encode(df.selectExpr("*", "1 AS _coded", "'old' AS pieces", "2 AS coded", "3 AS doc"), PIECES)
+    assert clash.columns == ["doc_id", "text", "kind", "_coded", "coded", "doc", "pieces", "n_pieces", "lossless"]
+    row = clash.filter("doc_id = 4").first()
+    assert (row["_coded"], row["coded"], row["doc"]) == (1, 2, 3) and isinstance(row["pieces"], list)
