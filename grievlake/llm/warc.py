@@ -1,13 +1,14 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged files.
 
-Writing uses Spark's text writer, so archives land on any file system Spark knows and a lost executor leaves
-no half-written file. A record is an HTTP response; of equal payloads of at least ``least_bytes`` only that of
+Writing goes through a Spark data source whose tasks write files of their own, one gzip member per record and a bounded
+number of bytes per file; the files of tasks that count are put in place at the end, so a lost executor leaves none that
+is half-written. A record is an HTTP response; of equal payloads of at least ``least_bytes`` only that of
 the largest page id is stored, the others are revisit records with the response's headers.
 
 Reading takes files as they are, plain or gzip, one member for all records or one for each. A record is valid
 if its headers, length, closing blank lines and SHA-1 agree. After a failed check the reader searches for the
 next valid gzip member, or inside a member for the next version line with valid headers, goes on there and
-reports the bytes between as a gap. A file is read as one row (at most 2 GB), so ``records_per_file`` bounds
+reports the bytes between as a gap. A file is read as one row (at most 2 GB), so ``bytes_per_file`` bounds
 what one task holds.
 
 A null html is an empty payload, a null url leaves the target out. Rows that share the largest page id of
@@ -16,16 +17,22 @@ equal payloads are all responses. A null page id counts as smaller than any othe
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-LEAST_BYTES, RECORDS_PER_FILE = 1000, 10_000
+LEAST_BYTES, RECORDS_PER_FILE, BYTES_PER_FILE = 1000, 10_000, 64 << 20
+WRITING = "_writing"
 #: Every page gets this date unless another is given: archives of the same rows are then the same.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,15 +83,79 @@ def record_text(id_col: str, url_col: str, date: str) -> Column:
     )
 
 
+class _Archives(DataSourceArrowWriter):
+    """Each task writes files of its own under names of their own; only those of tasks that count are moved to their
+    places in the end."""
+
+    def __init__(self, options: dict[str, str]):
+        self.folder, self.packed = options["path"], options["compression"] == "gzip"
+        self.records, self.bytes = int(options["records"]), int(options["bytes"])
+
+    def _open(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.folder)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        files, base = self._open()
+        files.create_dir(f"{base}/{WRITING}")
+        names, out, records, held = [], None, 0, 0
+        for batch in iterator:
+            for value in batch.column(0):
+                record = value.as_py().encode() + END.encode()
+                if out is not None and (records >= self.records or held + len(record) > self.bytes):
+                    out.close()
+                    out = None
+                if out is None:
+                    names.append(uuid.uuid4().hex + (".warc.gz" if self.packed else ".warc"))
+                    out, records, held = files.open_output_stream(f"{base}/{WRITING}/{names[-1]}", compression=None), 0, 0
+                # a member for each record: a bad byte costs one record, and readers need not inflate a whole file
+                out.write(gzip.compress(record, 6, mtime=0) if self.packed else record)
+                records, held = records + 1, held + len(record)
+        if out is not None:
+            out.close()
+        return _Written(names)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        files, base = self._open()
+        files.create_dir(f"{base}/{WRITING}")
+        for task, message in enumerate(messages):
+            for name in message.names if message else ():
+                files.move(f"{base}/{WRITING}/{name}", f"{base}/part-{task:05d}-{name}")
+        files.delete_dir(f"{base}/{WRITING}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        files, base = self._open()
+        files.create_dir(f"{base}/{WRITING}")
+        files.delete_dir(f"{base}/{WRITING}")
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
+
+
+class Archives(DataSource):
+    """Format of rows (value): option ``path`` names a folder that pyarrow's file systems reach."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_archives"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Archives(dict(self.options))
+
+
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip", date: str = DATE,
+    least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE,
+    compression: str = "gzip", date: str = DATE,
 ) -> None:
-    """One record per row under ``path``. ``compression``: gzip (one member per file) or none."""
+    """One record per row under ``path``. ``compression``: gzip (one member per record) or none. A file ends before it
+    has more than ``bytes_per_file`` bytes of records, unless a single record has more."""
     records = with_roles(pages, id_col, html_col, least_bytes).select(record_text(id_col, url_col, date).alias("value"))
+    pages.sparkSession.dataSource.register(Archives)
     (
-        records.write.option("lineSep", END).option("compression", compression)
-        .option("maxRecordsPerFile", records_per_file).text(path)
+        records.write.format("warc_archives").mode("append").option("path", path).option("compression", compression)
+        .option("records", records_per_file).option("bytes", bytes_per_file).save()
     )
 
 
@@ -169,7 +240,7 @@ PIECE, CRUMB = 1 << 16, 16
 
 
 def inflate(raw: bytes, at: int) -> tuple[bytes, int, str]:
-    """The member at ``at``: its bytes (as far as they go), where it ends, and what is wrong."""
+    """The member at ``at``: its bytes (as far as they go), where it ends or cannot be read any more, and what is wrong."""
     member, parts, place = zlib.decompressobj(31), [], at
     while not member.eof:
         piece = raw[place: place + PIECE]
@@ -179,12 +250,11 @@ def inflate(raw: bytes, at: int) -> tuple[bytes, int, str]:
         try:
             parts.append(member.decompress(piece))
         except zlib.error as error:
-            try:
-                for k in range(0, len(piece), CRUMB):
+            for k in range(0, len(piece), CRUMB):
+                try:
                     parts.append(before.decompress(piece[k: k + CRUMB]))
-            except zlib.error:
-                pass
-            return b"".join(parts), at, f"bad member: {str(error)[:60]}"
+                except zlib.error:
+                    return b"".join(parts), place + k, f"bad member: {str(error)[:60]}"
         place += len(piece)
     return b"".join(parts), place - len(member.unused_data), ""
 
@@ -199,18 +269,20 @@ def next_member(raw: bytes, at: int) -> int:
 
 
 def read_file(raw: bytes) -> Iterator[tuple]:
-    """Records and gaps of a whole file. In gzip files gaps of member -1 are bytes of the file itself."""
+    """Records and gaps of a whole file. In gzip files gaps of member -1 are bytes of the file itself, others bytes of
+    the member as far as it could be inflated; what stands before a member's bad byte and was recovered is in neither."""
     if raw[:2] != MAGIC[:2] and (VERSION.match(raw) or MAGIC not in raw):
         yield from salvage(raw, -1)
         return
     at = 0
     while at < len(raw):
         data, end, why = inflate(raw, at) if raw.startswith(MAGIC, at) else (b"", at, "no member")
-        recovered = [x for x in salvage(data, at) if not why or x[0] == "record"]
-        yield from recovered
+        yield from salvage(data, at)
         if why:
-            end = next_member(raw, at)
-            yield "gap", -1, at, end, why
+            following = next_member(raw, at)
+            # a member that is cut off may have taken in the start of the next one; decoders look ahead a little
+            yield "gap", -1, max(at, min(end, following) - CRUMB), following, why
+            end = following
         at = end
 
 
