@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
 import pytest
@@ -8,8 +9,13 @@ import pytest
 from grievlake.llm import wrapper_induction as w
 
 
-def text_of(page, wrapper=None, template=()):
-    return w.extract(page, wrapper, frozenset(template))
+def text_of(page):
+    return w.extract(page, None)
+
+
+def texts_by_query(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in w.main_text(pages, w.induce(pages), ["page_id"]).collect()}
 
 
 @pytest.mark.parametrize("page, text", [
@@ -38,23 +44,58 @@ def brute_match(a, b):
             return 0
         return max(pairs(x[1:], y), pairs(x, y[1:]), brute_match(x[0], y[0]) + pairs(x[1:], y[1:]))
 
-    return 1 + pairs(a[2], b[2])
+    return 1 + pairs(a[1], b[1])
 
 
-def test_matching_against_plain_recursion():
-    import random
+def flat(nested):
+    tree = w.Tree([], [], [])
 
-    draw = random.Random(4)
+    def add(node, parent):
+        at = tree.add(node[0], parent)
+        for kid in node[1]:
+            add(kid, at)
 
-    def tree(depth):
-        kids = [tree(depth - 1) for _ in range(draw.randrange(4))] if depth else []
-        return [draw.choice("ab"), 0, kids, 0, 0]
+    add(nested, -1)
+    return tree
 
+
+def drawn_tree(draw, depth, most=4):
+    return [draw.choice("ab"), [drawn_tree(draw, depth - 1, most) for _ in range(draw.randrange(most))] if depth else []]
+
+
+def test_matching_against_plain_recursion():
+    draw = random.Random(4)
     for _ in range(150):
-        a, b = tree(3), tree(3)
-        size, found = w.match_trees(a, b)
-        assert size == brute_match(a, b) == len(found)
-        assert all(x[0] == y[0] for x, y in found)
+        a, b = drawn_tree(draw, 3), drawn_tree(draw, 3)
+        x, y = flat(a), flat(b)
+        found = w.match_trees(x, y)
+        assert len(found) == brute_match(a, b)
+        assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+        for i, j in found:
+            assert x.labels[i] == y.labels[j]
+            if i:
+                assert (x.parents[i], y.parents[j]) in found
+        assert w.tree_of(x.skeleton()).skeleton() == x.skeleton()
+
+
+def test_long_lists_match_in_order(monkeypatch):
+    assert w.in_order(list("abcab"), list("bacb")) in ([(0, 1), (2, 2), (4, 3)], [(1, 0), (2, 2), (4, 3)])
+    assert w.in_order([], ["a"]) == [] and w.in_order(list("aaa"), list("aa")) == [(0, 0), (1, 1)]
+    monkeypatch.setattr(w, "CELLS", 6)
+    x, y = flat(["r", [[c, []] for c in "abcabc"]]), flat(["r", [[c, []] for c in "abcxabc"]])
+    assert [(x.labels[i], j) for i, j in w.match_trees(x, y)[1:]] == [("a", 1), ("b", 2), ("c", 3), ("a", 5), ("b", 6), ("c", 7)]
+
+
+def test_a_grown_template_holds_every_page_of_its_sample():
+    draw = random.Random(2)
+    for _ in range(60):
+        sample = [flat(["html", drawn_tree(draw, 3)[1]]) for _ in range(4)]
+        grown = w.tree_of(w.template_of([t.skeleton() for t in sample]))
+        first = max(sample, key=lambda t: len(t.labels))
+        assert len(grown.labels) >= len(first.labels)
+    x = flat(["html", [["nav", []], ["p", []], ["footer", []]]])
+    w.grow(x, flat(["html", [["nav", []], ["div", [["b", []]]], ["p", []], ["footer", []], ["i", []]]]))
+    assert x.skeleton() == "0 html\n1 nav\n1 div\n2 b\n1 p\n1 footer\n1 i"
 
 
 def site(k, body):
@@ -105,11 +146,99 @@ def test_alignment_decides_outside_and_inside_articles(spark):
     for k in range(5):
         assert got[k] == f"teaser {k}\n\nThe body of {k}"
         assert got[100 + k] == f"The body of {k}"
-        assert got[200 + k] == f"Title {k}\n\ntext {k}"
+        assert got[200 + k] == f"Title {k}\n\ntext {k}\n\nThanks", "what articles share is content"
         assert got[300 + k] == got[400 + k] == f"text {k}"
     assert text_of("<article></article><div>body</div>") == "body"
 
 
+@pytest.mark.parametrize("name", [
+    "side-effects", "ad-hoc note", "related-work", "share-price", "price-notice", "social-science", "comment-free", "post share",
+])
+def test_classes_count_as_whole_words(spark, name):
+    rows = [(k, "http://a.org", f"<div class=top>Site</div><article><h1>T {k}</h1><div class='{name}'>said {k}</div></article>") for k in range(10)]
+    assert texts_by_query(spark, rows) == {k: f"T {k}\n\nsaid {k}" for k in range(10)}
+
+
+@pytest.mark.parametrize("wrap", [
+    "<div class='content has-sidebar'>{}</div>", "<div class=sidebar><p>see also {k}</p>{}</div>", "<form id=aspnetForm>{}<input></form>",
+    "<aside class='widget'>{}</aside>", "<section class=comments><div class=ad>buy {k}</div>{}</section>",
+])
+def test_names_never_remove_what_an_article_stands_in(spark, wrap):
+    article = "<article><p>text {k}</p></article>"
+    rows = [(k, "http://a.org", wrap.replace("{}", article).replace("{k}", str(k))) for k in range(10)]
+    assert texts_by_query(spark, rows) == {k: f"text {k}" for k in range(10)}
+
+
+def test_what_articles_share_stays(spark):
+    quote = "<blockquote>It was said before</blockquote>"
+    make = lambda k: (
+        f"<div>Site title</div><main><h1>Daily report</h1><h2>Introduction</h2><p>first {k}</p>{quote}<h2>Results</h2><p>then {k}</p></main><div>Rights</div>"
+    )
+    want = lambda k: f"Daily report\n\nIntroduction\n\nfirst {k}\n\nIt was said before\n\nResults\n\nthen {k}"
+    assert texts_by_query(spark, [(k, "http://a.org", make(k)) for k in range(10)]) == {k: want(k) for k in range(10)}
+
+
+def test_long_boilerplate_does_not_make_pages_copies(spark):
+    terms, about = "These are our terms. " * 20, "About us and what we do. " * 12
+    rows = [(k, "http://a.org", f"<div><p>{terms}</p></div><section><p>body {k}</p></section><div><p>{about}</p></div>") for k in range(10)]
+    assert texts_by_query(spark, rows) == {k: f"body {k}" for k in range(10)}
+
+
+def test_aligned_siblings_are_told_apart(spark):
+    """Plain elements of one label, some of them missing on some pages: only their order tells which is which."""
+    def page(k):
+        notice = "<div>We use cookies</div>" if k % 3 else ""
+        extra = f"<div>update {k}</div>" if k % 4 == 0 else ""
+        return f"<div>Menu</div>{notice}<div><h1>Story {k}</h1><div>body {k}</div>{extra}</div><div>All rights kept</div>"
+
+    want = {k: f"Story {k}\n\nbody {k}" + (f"\n\nupdate {k}" if k % 4 == 0 else "") for k in range(24)}
+    assert texts_by_query(spark, [(k, "http://a.org", page(k)) for k in range(24)]) == want
+
+
+def drawn_site(draw):
+    """A site of known slots: a function from a page number to its html and main text."""
+    tags = ["div", "section", "header.top", "ul.list", "table.t"]
+
+    def open_close(tag):
+        name, _, cls = tag.partition(".")
+        return f"<{name}{' class=' + cls if cls else ''}>", f"</{name}>"
+
+    kinds = [(draw.choice(["constant", "slot", "slot", "optional"]), draw.choice(tags[:2]), n) for n in range(draw.randint(3, 7))]
+    kinds = [("constant", "div.head", 90), *kinds, ("slot", "section.story", 91), ("constant", "div.foot", 92)]
+
+    def page(k):
+        html, texts = "", []
+        for kind, tag, n in kinds:
+            start, end = open_close(tag if kind != "constant" else tag.split(".")[0] + f".c{'abcdefghij'[n % 10]}")
+            if kind == "constant":
+                html += f"{start}<p>Standing words {n}</p>{end}"
+            elif kind == "slot":
+                html += f"{start}<h2>Part {n} of {k}</h2><p>words {k * 7 + n}</p><p>more {k}</p>{end}"
+                texts += [f"Part {n} of {k}", f"words {k * 7 + n}", f"more {k}"]
+            elif (k + n) % 3:
+                html += f"<div class=ad>offer {k} {n}</div>"
+        return html, "\n\n".join(texts)
+
+    return page
+
+
+def test_known_slots_of_drawn_sites(spark):
+    draw, rows, want = random.Random(12), [], {}
+    for host in range(12):
+        page = drawn_site(draw)
+        for k in range(12):
+            html_, text = page(k)
+            rows.append((host * 100 + k, f"https://h{host}.org/{k}", html_))
+            want[host * 100 + k] = text
+    assert texts_by_query(spark, rows) == want
+
+
+def test_a_kept_column_may_be_named_like_the_result(spark):
+    pages = spark.createDataFrame([(1, None, "<p>a", "x", 2)], "page_id long, url string, html string, text string, host int")
+    got = w.main_text(pages, w.induce(pages), ["page_id", "text", "host"])
+    assert got.columns == ["page_id", "host", "text"] and [tuple(r) for r in got.collect()] == [(1, 2, "a")]
+
+
 def test_empty_table_and_long_page(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert w.main_text(none, w.induce(none), ["page_id"]).count() == 0
