@@ -3,8 +3,9 @@
 Tokens are runs of ASCII letters, digits and non-ASCII bytes, or single other bytes. Each is tagged O, B
 (begins a secret) or I (goes on with it) from its shape, the two words before and the one after it, and the
 share of digits and equals signs in its text. Weights are trained on the driver by forward-backward on at
-most ``max_windows`` windows of tokens around pattern matches and at drawn places, taken from at most
-``max_docs`` documents chosen by a hash of the id.
+most ``max_windows`` windows of tokens, taken from at most ``max_docs`` documents chosen by a hash of the id: around
+pattern matches, around the same places with a string of another alphabet in place of the match, so that the field
+learns what stands for a secret and not which kind the patterns know, and at drawn places, numbers among them.
 
 Decoding is exact Viterbi over whole texts. A token whose O beats B and I by more than transitions can ever
 make up is O on every best path, so texts fall apart there and only the short stretches between are searched.
@@ -15,6 +16,7 @@ from, the field tags nothing and the patterns stand alone. Other columns are kep
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +39,7 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 
 KINDS = ("assign", "access", "hex", "crf")
 MAX_DOCS, MAX_WINDOWS, WINDOW = 8000, 2500, 24
-#: Shortest span, in bytes, that the field may add.
+#: Shortest span, in bytes, that the field may add; a parameter of ``find_secrets`` and ``redact``.
 LEAST_FOUND = 12
 
 _BUCKETS = 4096
@@ -229,8 +231,8 @@ def decode(field: Field, active: np.ndarray, text: np.ndarray) -> np.ndarray:
     return tags
 
 
-def found_spans(field: Field, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(text, start, end) in bytes of the slice of every secret that the field finds."""
+def found_spans(field: Field, data: np.ndarray, at: np.ndarray, least: int = LEAST_FOUND) -> Iterator[tuple[int, int, int]]:
+    """(text, start, end) in bytes of the slice of every secret of ``least`` bytes or more that the field finds."""
     starts, ends, text = tokens(data, at)
     tags = decode(field, features(data, at, starts, ends, text), text)
     hot = np.flatnonzero(tags > O).tolist()
@@ -241,12 +243,13 @@ def found_spans(field: Field, data: np.ndarray, at: np.ndarray) -> Iterator[tupl
         while k < len(hot) and hot[k] == last + 1 and tags[hot[k]] == I and text[hot[k]] == text[first]:
             last = hot[k]
             k += 1
-        if ends[last] - starts[first] >= LEAST_FOUND:
+        if ends[last] - starts[first] >= least:
             yield int(text[first]), int(starts[first]), int(ends[last])
 
 
-def scan(texts: pa.Array, field: Field | None) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) of all spans of every text in code points, by start and kind."""
+def scan(texts: pa.Array, field: Field | None, least: int = LEAST_FOUND) -> list[list[tuple[int, int, int]]]:
+    """(kind, start, end) of all spans of every text in code points, by start and kind. A find of the field counts
+    unless a match of a pattern holds all of it; it may go on beyond one."""
     data, offsets = text_bytes(texts)
     hexes = byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 102)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
@@ -270,8 +273,8 @@ def scan(texts: pa.Array, field: Field | None) -> list[list[tuple[int, int, int]
             spans[k] += [(kind, a + int(at[k]), b + int(at[k])) for kind, a, b in base_spans(part[at[k]: at[k + 1]].tobytes())]
         if field is not None:
             extra: dict[int, list[tuple[int, int, int]]] = {}
-            for k, a, b in found_spans(field, part, at):
-                if all(b <= x or y <= a for _, x, y in spans[k]):
+            for k, a, b in found_spans(field, part, at, least):
+                if not any(x <= a and b <= y for _, x, y in spans[k]):
                     extra.setdefault(k, []).append((3, a, b))
             for k, more in extra.items():
                 spans[k] += more
@@ -283,35 +286,87 @@ def scan(texts: pa.Array, field: Field | None) -> list[list[tuple[int, int, int]
     return out
 
 
+#: Alphabets and lengths of the strings that stand in for a secret in a second example of its surroundings.
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+STAND_INS = (
+    (_LETTERS.upper() + _DIGITS, (16, 20, 24, 32)), (_LETTERS + _LETTERS.upper() + _DIGITS, (20, 24, 32, 40)),
+    (_LETTERS + _LETTERS.upper() + _DIGITS + "+/", (28, 40, 64)), (_LETTERS + _LETTERS.upper() + _DIGITS + "_-", (22, 36, 43)),
+    (_LETTERS + _DIGITS, (16, 25, 32)), ("0123456789ABCDEF", (32, 40)),
+)
+#: Bytes on either side of a match that a second example keeps.
+AROUND = 300
+
+
+#: How often a match is followed by other strings in its place, and what may join the groups of one.
+VARIANTS, JOINTS = 2, ("", "", "-", "_", ".")
+
+
+def stand_in(secret: bytes, number: int = 0) -> bytes:
+    """Another string in place of a secret, drawn by a hash of it: one group of an alphabet, or several with a joint."""
+    draw = hashlib.shake_128(secret + bytes([number])).digest(200)
+    alphabet, sizes = STAND_INS[draw[0] % len(STAND_INS)]
+    size, joint = sizes[draw[1] % len(sizes)], JOINTS[draw[2] % len(JOINTS)]
+    out = "".join(alphabet[x % len(alphabet)] for x in draw[8:8 + size])
+    if joint:
+        cuts = sorted({2 + x % (size - 4) for x in draw[3:4 + draw[4] % 4]})
+        out = joint.join(out[a:b] for a, b in zip([0, *cuts], [*cuts, size]))
+    return out.encode()
+
+
+def _tagged(part: np.ndarray, secrets: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    at = np.array([0, len(part)])
+    starts, ends, text = tokens(part, at)
+    tag = np.zeros(len(starts), np.int8)
+    for a, b in reversed(secrets):
+        own = np.flatnonzero((starts >= a) & (ends <= b))
+        tag[own] = I
+        tag[own[:1]] = B
+    return starts, features(part, at, starts, ends, text).T.astype(np.int32), tag
+
+
+def examples(part: np.ndarray, secrets: list[tuple[int, int]]) -> Iterator[tuple[bytes, bytes, int, bool]]:
+    """(features, tags, draw, whether a match is in it) of windows of one text: around every match, around every match
+    with other strings in its place, at a drawn token and at a drawn token of digits that is no match."""
+    starts, active, tag = _tagged(part, secrets)
+    if not len(starts):
+        return
+    digit = byte_table(lambda b: 48 <= b <= 57)
+    draw = int(mix(np.array([len(part) * 31 + len(starts)], np.uint64))[0])
+    plain = np.flatnonzero(digit[part[starts]] & (tag == O))
+    middles = [(int(np.searchsorted(starts, a)), True) for a, _ in secrets] + [(draw % len(starts), False)]
+    middles += [(int(plain[draw % len(plain)]), False)] if len(plain) else []
+
+    def window(active: np.ndarray, tag: np.ndarray, middle: int, number: int, hit: bool):
+        low = max(0, min(middle - WINDOW // 2, len(tag) - WINDOW))
+        rows, marks = active[low: low + WINDOW], tag[low: low + WINDOW]
+        pad = WINDOW - len(rows)
+        drawn = int(mix(np.array([draw % (1 << 32) + number * 7919 + len(part)], np.uint64))[0] >> np.uint64(1))
+        return np.pad(rows, ((0, pad), (0, 0))).tobytes(), np.pad(marks, (0, pad), constant_values=-1).tobytes(), drawn, hit
+
+    for number, (middle, hit) in enumerate(middles):
+        yield window(active, tag, middle, number, hit)
+    for number, (a, b) in enumerate(x for x in secrets for _ in range(VARIANTS)):
+        new, low = stand_in(part[a:b].tobytes(), number % VARIANTS), max(0, a - AROUND)
+        around = np.concatenate([part[low:a], np.frombuffer(new, np.uint8), part[b: b + AROUND]])
+        own = (a - low, a - low + len(new))
+        others = [(x - low, y - low) for x, y in secrets if low <= x and y <= a]
+        others += [(x - b + own[1], y - b + own[1]) for x, y in secrets if x >= b and y <= b + AROUND]
+        starts, active, tag = _tagged(around, sorted([own, *others]))
+        yield window(active, tag, int(np.searchsorted(starts, own[0])), len(middles) + number, True)
+
+
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of features and tags to learn from: around every match, and one at a drawn place of each text."""
+    """Windows of features and tags to learn from."""
     for batch in batches:
         order, rows, tags = [], [], []
         data, offsets = text_bytes(batch.column(0))
         for first, last in slices(offsets):
             for k in range(first, last):
                 part = data[offsets[k]: offsets[k + 1]]
-                at = np.array([0, len(part)])
-                starts, ends, text = tokens(part, at)
-                if not len(starts):
-                    continue
-                active = features(part, at, starts, ends, text).T.astype(np.int32)
-                tag = np.zeros(len(starts), np.int8)
-                secrets = sorted(secret_parts(part.tobytes()))
-                for a, b in reversed(secrets):
-                    own = np.flatnonzero((starts >= a) & (ends <= b))
-                    tag[own] = I
-                    tag[own[:1]] = B
-                draw = int(mix(np.array([len(part) * 31 + len(starts)], np.uint64))[0] % np.uint64(len(starts)))
-                middles = [int(np.searchsorted(starts, a)) for a, _ in secrets[:4]] + [draw]
-                for number, middle in enumerate(middles):
-                    low = max(0, min(middle - WINDOW // 2, len(starts) - WINDOW))
-                    window, marks = active[low: low + WINDOW], tag[low: low + WINDOW]
-                    pad = WINDOW - len(window)
-                    rows.append(np.pad(window, ((0, pad), (0, 0))).tobytes())
-                    tags.append(np.pad(marks, (0, pad), constant_values=-1).tobytes())
-                    drawn = int(mix(np.array([draw + number * 7919 + len(part)], np.uint64))[0] >> np.uint64(1))
-                    order.append(drawn // 4 if number < len(secrets[:4]) else drawn)  # windows with a match come first
+                for active, tag, drawn, hit in examples(part, sorted(secret_parts(part.tobytes()))):
+                    rows.append(active)
+                    tags.append(tag)
+                    order.append(drawn // 4 if hit else drawn)  # windows with a match come first
         yield pa.RecordBatch.from_arrays(
             [pa.array(order, pa.int64()), pa.array(rows, pa.binary()), pa.array(tags, pa.binary())],
             names=["drawn", "features", "tags"],
@@ -353,10 +408,11 @@ SPANS = T.ArrayType(T.StructType([
 ]))
 
 
-def find_secrets(text: Column, field: Field | None) -> Column:
-    """All spans of a text as an array of (kind, start, after), by start, then kind; without a field the base ones."""
+def find_secrets(text: Column, field: Field | None, least: int = LEAST_FOUND) -> Column:
+    """All spans of a text as an array of (kind, start, after), by start, then kind; without a field the base ones.
+    ``least`` is the shortest find of the field, in bytes."""
     def run(texts: pa.Array) -> pa.Array:
-        spans = scan(texts, field)
+        spans = scan(texts, field, least)
         at = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
         every = [x for s in spans for x in s]
         items = pa.StructArray.from_arrays(
@@ -368,11 +424,13 @@ def find_secrets(text: Column, field: Field | None) -> Column:
     return F.arrow_udf(run, SPANS)(text)
 
 
-def redact(docs: DataFrame, field: Field | None, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def redact(
+    docs: DataFrame, field: Field | None, text_col: str = "text", mask: str = "[SECRET]", least: int = LEAST_FOUND
+) -> DataFrame:
     """``docs`` with every span of every text replaced; overlapping spans become one mask."""
     def run(texts: pa.Array) -> pa.Array:
         out = texts.to_pylist()
-        for k, spans in enumerate(scan(texts, field)):
+        for k, spans in enumerate(scan(texts, field, least)):
             done, pieces = 0, []
             for _, a, b in spans:
                 if a >= done:

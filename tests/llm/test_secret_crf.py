@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +89,78 @@ def made_docs(spark, n=400):
 def test_field_finds_what_patterns_miss_and_spares_clean_texts(spark):
     field = s.learn(made_docs(spark))
     found = s.scan(pa.array(["note 4f9a01bc77de4501Xq9 then", "a plain sentence of words", "on 2024-05-06 at 12:30 call 5551234"]), field)
-    assert [k for k, _, _ in found[0]] == [3] or [k for k, _, _ in found[0]] == [2] and found[1] == found[2] == []
-    assert found[1] == [] and found[2] == []
+    assert 3 in [k for k, _, _ in found[0]] and found[1] == found[2] == []
+
+
+DRAW = random.Random(3)
+
+
+def drawn(alphabet, size):
+    return "".join(DRAW.choice(alphabet) for _ in range(size))
+
+
+MIXED = string.ascii_letters + string.digits
+# kinds that neither the patterns nor the given documents show; access keys are hidden from the field's labels by absence
+UNSEEN = {
+    "access": lambda: "AKIA" + drawn(string.ascii_uppercase + string.digits, 16),
+    "prefixed": lambda: "ghp_" + drawn(MIXED, 36),
+    "live key": lambda: "sk_live_" + drawn(MIXED, 24),
+    "three parts": lambda: ".".join(drawn(MIXED + "-_", n) for n in (33, 60, 43)),
+    "base 64": lambda: drawn(MIXED + "+/", 40),
+    "upper hex": lambda: drawn("0123456789ABCDEF", 32),
+    "dashes": lambda: "-".join(drawn("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+}
+
+
+def alone(field, texts):
+    """What the field finds without the patterns, in code points of ASCII texts."""
+    data, at = s.text_bytes(pa.array(texts))
+    out = [[] for _ in texts]
+    for k, a, b in s.found_spans(field, data, at):
+        out[k].append((a - int(at[k]), b - int(at[k])))
+    return out
+
+
+def test_planted_secrets_of_unseen_kinds_in_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = s.learn(docs)
+    given = [t for (t,) in docs.filter("lang = 'en'").orderBy("doc_id").select("text").limit(200).collect() if t and t.isascii()]
+    clean = [t for t in given if not plain(t)]
+    kept = s.scan(pa.array(clean), field)
+    assert sum(bool(x) for x in kept) <= 0.02 * len(clean), "clean documents stay clean"
+    recall = {}
+    for name, make in UNSEEN.items():
+        texts, truth = [], []
+        for text in clean[:80]:
+            words, secret = text[:2000].split(" "), make()
+            place = DRAW.randrange(len(words) + 1)
+            before = " ".join(words[:place]) + " use "
+            texts.append(before + secret + " " + " ".join(words[place:]))
+            truth.append((len(before), len(before) + len(secret)))
+        found = alone(field, texts)
+        covered = [sum(max(0, min(b, y) - max(a, x)) for x, y in spans) >= 0.7 * (b - a) for spans, (a, b) in zip(found, truth)]
+        recall[name] = sum(covered) / len(covered)
+    assert min(recall.values()) >= 0.8 and sum(recall.values()) / len(recall) >= 0.9, recall
+
+
+def test_a_find_may_go_on_beyond_a_pattern():
+    weights = np.zeros((s.FEATURES, 3), np.float32)
+    weights[:, s.O] = 0.1
+    data, at = s.text_bytes(pa.array(["see ZZtop90123456789abcdef01QQ now"]))
+    starts, ends, text = s.tokens(data, at)
+    weights[s.features(data, at, starts, ends, text)[0, 1], s.B] = 5
+    field = s.Field(weights, np.zeros((3, 3)), np.zeros(3))
+    assert s.scan(pa.array(["see ZZtop90123456789abcdef01QQ now"]), field)[0] == [(3, 4, 30), (2, 9, 28)]
+    assert s.scan(pa.array(["see ZZtop90123456789abcdef01QQ now"]), field, least=27)[0] == [(2, 9, 28)]
+
+
+def test_every_match_of_a_text_is_an_example():
+    text = " and ".join(f"token = {k:040x}" for k in range(1, 10)).encode()
+    part = np.frombuffer(text, np.uint8)
+    got = list(s.examples(part, sorted(s.secret_parts(text))))
+    hits = [np.frombuffer(tags, np.int8) for _, tags, _, hit in got if hit]
+    assert len(hits) >= 27 and all((tags == s.B).any() for tags in hits)
+    assert s.stand_in(b"abc") == s.stand_in(b"abc") != s.stand_in(b"abd")
 
 
 def test_redaction_and_odd_tables(spark):
