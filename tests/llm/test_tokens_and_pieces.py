@@ -29,7 +29,7 @@ def library():
     return Tokenizer.from_file(WORD_BPE)
 
 
-@pytest.mark.parametrize("chunk, overlap", [(32_768, 256), (400, 40), (60, 4)])
+@pytest.mark.parametrize("chunk, overlap", [(65_536, 512), (400, 40), (60, 4)])
 def test_counts_are_those_of_the_library(chunk, overlap):
     texts = ODD + [prose(900, k) for k in range(3)]
     with open(WORD_BPE, encoding="utf-8") as file:
@@ -37,14 +37,52 @@ def test_counts_are_those_of_the_library(chunk, overlap):
     assert got.tolist() == [len(e.ids) for e in library().encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-def test_splice_points_are_proven_and_overlaps_widen():
-    encode = lambda some: library().encode_batch(some, add_special_tokens=False)
-    text = prose(300)
-    points = token_splice.splice_points(text, encode, 200, 20)
-    assert points[0] == 0 and points[-1] == len(text) and len(points) > 5 and points == sorted(set(points))
-    assert all(text[p - 1] in token_splice.SPACE and text[p] not in token_splice.SPACE for p in points[1:-1])
-    wall = "a" * 500 + " b c"
-    assert all(p == 0 or p >= 501 for p in token_splice.splice_points(wall, encode, 50, 10))
+def test_boundaries_need_agreement_on_both_sides():
+    tokens = lambda *pairs: tuple(np.array(x) for x in zip(*pairs))
+    left = tokens((7, 0), (8, 2), (1, 4), (2, 5), (3, 7), (4, 9), (5, 11), (99, 12))
+    right = tokens((1, 4), (2, 5), (3, 7), (4, 9), (5, 11), (6, 13))
+    assert token_splice.stable_boundary(left, right, 2) == (5, 3)
+    assert token_splice.stable_boundary(left, right, 3) is None
+    # two tokens that spell one character are not parted
+    left = tokens((1, 4), (2, 5), (3, 5), (4, 9))
+    assert token_splice.stable_boundary(left, left, 2) is None and token_splice.stable_boundary(left, left, 1) == (1, 1)
+
+
+def joining_tokenizer():
+    """Merges reach across white space, and a run of one letter is cut in twos from its start."""
+    from tokenizers import Tokenizer, models
+
+    merges = [("a", "a"), ("b", " "), (" ", "c"), ("b ", "aa"), ("c", "c"), ("cc", "cc"), ("x", "y"), (" ", "xy")]
+    words = ["a", "b", "c", "x", "y", " "] + [m + n for m, n in merges]
+    return Tokenizer(models.BPE(vocab={w: k for k, w in enumerate(words)}, merges=merges))
+
+
+@pytest.mark.parametrize("chunk, overlap, agree", [(40, 6, 4), (90, 30, 8), (17, 3, 2)])
+def test_splicing_is_right_where_runs_alone_are_not(chunk, overlap, agree):
+    tokenizer, draw = joining_tokenizer(), random.Random(chunk)
+    assert not token_splice.drops_white_space(tokenizer.to_str()) and token_splice.drops_white_space(library().to_str())
+    texts = ["".join(draw.choice(["a", "b", "c", "xy", " ", "b a", "aaa", "cccc"]) for _ in range(draw.randrange(400))) for _ in range(60)]
+    texts += ["a" * 501, " " * 300, "b " * 200, "c" * 200 + " " + "a" * 99, "cab " * 90]
+    want = [len(tokenizer.encode(t).ids) for t in texts]
+    assert token_splice.make_counter(tokenizer.to_str(), chunk, overlap, agree)(pa.array(texts)).tolist() == want
+    assert sum(len(tokenizer.encode(r).ids) for t in texts for r in t.split()) != sum(want)
+
+
+def test_long_texts_are_encoded_in_chunks_and_overlaps_widen():
+    seen, tokenizer = [], library()
+
+    def encode(text):
+        seen.append(len(text))
+        coded = tokenizer.encode(text, add_special_tokens=False)
+        return np.array(coded.ids), np.array([a for a, _ in coded.offsets])
+
+    text = prose(3000)
+    assert token_splice.spliced_count(text, encode, 1000, 120, 8) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    assert max(seen) <= 1000 and len(text) < sum(seen) < 1.4 * len(text)
+    seen.clear()
+    wall = "a" * 900 + " b c" + " d" * 300
+    assert token_splice.spliced_count(wall, encode, 100, 10, 8) == len(tokenizer.encode(wall, add_special_tokens=False).ids)
+    assert max(seen) > 100, "the overlap and the chunk grow over what is never stable"
 
 
 def test_token_count_column(spark):
