@@ -158,6 +158,33 @@ def test_staged_rows_stay_in_the_shared_folder(spark):
     assert staged.count() == 3 and folder in staged.inputFiles()[0]
 
 
+def test_staged_data_goes_when_asked(spark, tmp_path):
+    first, second = storage.stage(spark.range(3), "first"), storage.stage(spark.range(4), "second")
+    place = os.path.dirname(first.inputFiles()[0].removeprefix("file://"))
+    storage.remove(spark, place)
+    assert not os.path.exists(place) and second.count() == 4
+    with pytest.raises(ValueError, match="not a staged folder"):
+        storage.remove(spark, str(tmp_path))
+    other = spark.newSession()
+    kept = storage.stage(other.range(2), "kept")
+    storage.clear(spark)
+    assert not os.path.exists(os.path.dirname(second.inputFiles()[0].removeprefix("file://"))) and kept.count() == 2
+    storage.clear(other)
+
+
+def test_without_a_checkpoint_folder_the_warehouse_is_used():
+    from types import SimpleNamespace
+
+    class Conf(dict):
+        def get(self, key, *default):
+            return super().get(key, *default) if default else self[key]
+
+    settings = Conf({"spark.sql.warehouse.dir": "file:/w/", "spark.checkpoint.dir": "hdfs://c/"})
+    assert storage.shared_folder(SimpleNamespace(conf=settings)) == "hdfs://c"
+    del settings["spark.checkpoint.dir"]
+    assert storage.shared_folder(SimpleNamespace(conf=settings)) == "file:/w"
+
+
 @pytest.mark.parametrize("delay,closed", [("1 hour", 1), ("0 seconds", 2)])
 def test_only_closed_windows_are_written(spark, tmp_path, delay, closed):
     rows = [("A", "2026-01-01 05:00:00"), ("A", "2026-01-01 06:00:00"), ("A", "2026-01-03 00:30:00")]
