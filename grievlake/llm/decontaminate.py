@@ -8,7 +8,7 @@ and the verified hits give the spans to remove or the documents to drop.
 Words are runs of ASCII letters and digits and of everything outside ASCII, A-Z lower-cased. A null or empty
 text has no words, so neither hits nor is hit. Repeated document rows are judged one by one, repeated items
 count once per item id. Items with a null id can be hit but are not named. Other columns are kept by
-``remove``, where the names starting with ``_`` used here must be free.
+``remove``, whatever their names. Very long texts cost work in proportion to their words and hits.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..sources.storage import stage
 
 WINDOW = 13
@@ -55,6 +56,15 @@ def find_hits(
     """A row per document: the ``keep`` columns (the id by default), ``n_words``, ``spans`` (struct of the numbers
     of the first word and of the word after the last, merged and in order) and ``items`` (sorted ids)."""
     keep = [id_col] if keep is None else keep
+    hits = _hits(docs, items, text_col, item_id_col, item_text_col, width, broadcast_bytes, keep)
+    return hits.select(*[F.col("_row")[c].alias(c) for c in keep], "n_words", "spans", "items")
+
+
+def _hits(
+    docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, item_text_col: str, width: int, broadcast_bytes: int,
+    keep: list[str],
+) -> DataFrame:
+    """The same with the ``keep`` columns as one struct ``_row``, which no column name can clash with."""
     windows = benchmark_windows(items, item_id_col, item_text_col, width)
     # window lengths: at most ``width`` numbers; the bytes decide how the set travels
     facts = windows.agg(
@@ -97,32 +107,33 @@ def find_hits(
         ).select(F.lit(None).cast(words.schema["_row"].dataType).alias("_row"), "_doc", F.lit(None).cast("int").alias("_n"), "_p", "_len", "_items")
         own = words.select("_row", "_doc", F.size("_w").alias("_n"), F.lit(0).alias("_p"), F.lit(0).alias("_len"),
                            F.lit(None).cast("array<string>").alias("_items"))
-        return _collect(own.unionByName(hits), keep)
+        return _collect(own.unionByName(hits))
     found = found.filter(marker | F.col("_hash").isNotNull())
     return _collect(found.select(
         F.when(marker, F.col("_row")).alias("_row"), "_doc", F.when(marker, F.size("_w")).alias("_n"), "_p", "_len", "_items",
-    ), keep)
-
-
-def _collect(found: DataFrame, keep: list[str]) -> DataFrame:
-    """Hits of each document, merged into spans. A group is as large as the hits of one text."""
-    span = F.when(F.col("_p") > 0, F.struct((F.col("_p") - 1).alias("first"), (F.col("_p") - 1 + F.col("_len")).alias("after")))
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(span)), F.array().cast("array<struct<first:int,after:int>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["after"] >= x["first"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["after"], x["after"]).alias("after"))),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
+    ))
+
+
+def _collect(found: DataFrame) -> DataFrame:
+    """Hits of each document, merged into spans. A group is as large as the hits of one text, and the work grows with
+    their words: a span starts at a hit word that follows none, and ends behind one that none follows."""
+    words = F.when(F.col("_p") > 0, F.sequence(F.col("_p") - 1, F.col("_p") + F.col("_len") - 2))
+    hit = F.array_distinct(F.flatten(F.collect_set(words)))
+
+    def spans(hit: Column) -> Column:
+        behind = F.transform(hit, lambda x: x + 1)
+        return F.zip_with(
+            F.array_sort(F.array_except(hit, behind)), F.array_sort(F.array_except(behind, hit)),
+            lambda first, after: F.struct(first.alias("first"), after.alias("after")),
+        )
+
+    merged = bind(hit, spans)
     return (
         found.groupBy("_doc").agg(
             F.max("_row").alias("_row"), F.max("_n").cast("long").alias("n_words"), merged.alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"),
         )
-        .select(*[F.col("_row")[c].alias(c) for c in keep], "n_words", "spans", "items")
+        .select("_row", "n_words", "spans", "items")
     )
 
 
@@ -136,18 +147,23 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def remove(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", what: str = "documents", **options,
+    docs: DataFrame, items: DataFrame, text_col: str = "text", what: str = "documents", item_id_col: str = "item_id",
+    item_text_col: str = "text", width: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``docs`` without contaminated documents, or (``what="spans"``) with every hit word cut out of the texts.
 
     A cut takes the words of the span and the separators before each of them; all else stays as it was.
     """
-    found = find_hits(docs, items, id_col, text_col, keep=docs.columns, **options)
+    found = _hits(docs, items, text_col, item_id_col, item_text_col, width, broadcast_bytes, docs.columns)
     if what == "documents":
-        return found.filter(~is_contaminated(hit_words(), F.col("n_words"))).select(*docs.columns)
+        return found.filter(~is_contaminated(hit_words(), F.col("n_words"))).select("_row.*")
     if what != "spans":
         raise ValueError("what must be 'documents' or 'spans'")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)[{SEPARATORS}]*(?:[^{SEPARATORS}]+|$)"), F.lit(0))
-    inside = lambda k: F.exists("spans", lambda s: (s["first"] <= k) & (k < s["after"]))
-    cut = F.array_join(F.filter(pieces, lambda piece, k: ~inside(k)), "")
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(F.col(text_col))).select(*docs.columns)
+    text = F.col("_row")[text_col]
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)[{SEPARATORS}]*(?:[^{SEPARATORS}]+|$)"), F.lit(0))
+    ends = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.lit(1 << 30)))
+    starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["after"]))
+    # what stands between the spans, each stretch taken once
+    kept = lambda p: F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(p, a + 1, b - a), ""))
+    cut = F.when(F.size("spans") > 0, F.array_join(bind(pieces, kept), "")).otherwise(text)
+    return found.select(*[cut.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -73,3 +73,24 @@ def test_plan_has_no_python(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = d.find_hits(docs, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_columns_of_any_name_pass_through(spark, rows):
+    docs = spark.createDataFrame(
+        [(1, "one two", 5, "x", "y"), (2, "quite other words", 6, "z", "w")],
+        "doc_id long, text string, spans int, _doc string, n_words string",
+    )
+    items = spark.createDataFrame([("i", "one two")], "item_id string, text string")
+    assert d.remove(docs, items).columns == docs.columns
+    assert rows(d.remove(docs, items)) == [(2, "quite other words", 6, "z", "w")]
+    assert rows(d.remove(docs, items, what="spans")) == [(1, "", 5, "x", "y"), (2, "quite other words", 6, "z", "w")]
+
+
+def test_a_very_long_text_with_very_many_spans(spark):
+    text = " ".join(f"filler{k} hit" for k in range(40_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "hit")], "item_id string, text string")
+    row = d.find_hits(docs, items).first()
+    assert len(row["spans"]) == 40_000 and tuple(row["spans"][1]) == (3, 4) and row["n_words"] == 80_000
+    cut = d.remove(docs, items, what="spans").first()["text"]
+    assert cut == " ".join(f"filler{k}" for k in range(40_000))
