@@ -553,9 +553,13 @@ def _meet(pages: DataFrame, by_host: DataFrame, size: Column) -> DataFrame:
 def host_templates(plain: DataFrame) -> DataFrame:
     """host and template from a bounded sample of every host's different pages. ``plain`` has host and html."""
     hashed = plain.select("host", "html", F.xxhash64("html").alias("_hash"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("_hash"))
-    chosen = hashed.select("host", "_hash").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE_PAGES)
-    drawn = hashed.join(chosen.drop("_rank"), ["host", "_hash"]).groupBy("host", "_hash").agg(F.min("html").alias("html"))
+    least = lambda rows, *keys: rows.withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))
+    ).filter(F.col("_rank") <= SAMPLE_PAGES).drop("_rank")
+    # first within shares of a host, so that a busy one is ranked by several tasks
+    shares = hashed.select("host", "_hash").distinct().withColumn("_share", F.pmod("_hash", F.lit(16)))
+    chosen = least(least(shares, "host", "_share").drop("_share"), "host")
+    drawn = hashed.join(chosen, ["host", "_hash"]).groupBy("host", "_hash").agg(F.min("html").alias("html"))
     trees = drawn.select("host", F.arrow_udf(skeletons, T.StringType())("html").alias("tree"))
     grown = trees.groupBy("host").agg(F.collect_list("tree").alias("trees"))
     return stage(grown.select("host", F.arrow_udf(templates, T.StringType())("trees").alias("template")), "templates")
