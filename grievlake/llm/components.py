@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import stage
+from ..sources import storage
 
 
 def _fingerprint(edges: DataFrame):
@@ -34,15 +34,24 @@ def _stars(edges: DataFrame) -> DataFrame:
 def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node with a link to another one.
 
-    The number of edges never grows beyond that of the input. Every round is written to the shared folder.
+    The number of edges never grows beyond that of the input. Every round is written to the shared folder, and the
+    round before it goes then.
     """
-    edges = stage(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges"
+    spark = links.sparkSession
+
+    def written(edges: DataFrame) -> tuple[DataFrame, str]:
+        path = storage.new_folder(spark, "edges")
+        edges.write.parquet(path)
+        return spark.read.schema(edges.schema).parquet(path), path
+
+    edges, path = written(
+        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     )
     before = _fingerprint(edges)
     while True:
-        edges = stage(_stars(edges), "edges")
-        now = _fingerprint(edges)
+        edges, new_path = written(_stars(edges))
+        storage.remove(spark, path)
+        path, now = new_path, _fingerprint(edges)
         if now == before:
             break
         before = now
