@@ -61,7 +61,7 @@ def test_tiles_fill_the_cores_and_stay_bounded():
     assert knn._tiles((10, 10), 8, knn.TILE_BYTES) == (1, 1)
     assert knn._tiles((10, 5 * mega), 8, knn.TILE_BYTES) == (1, 5)
     assert knn._tiles((40 * mega, 100), 8, knn.TILE_BYTES) == (8, 1)
-    assert knn._tiles((40 * mega, 3200 * mega), 8, knn.TILE_BYTES) == (2, 100)
+    assert knn._tiles((40 * mega, 3200 * mega), 8, knn.TILE_BYTES) == (5, 400)
 
 
 def test_the_corpus_sets_the_dimension(spark):
