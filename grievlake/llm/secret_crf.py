@@ -219,15 +219,27 @@ def decode(field: Field, active: np.ndarray, text: np.ndarray) -> np.ndarray:
     open_at = np.flatnonzero(score[:, O] - score[:, 1:].max(1) <= field.slack + 1e-3)
     if not len(open_at):
         return tags
-    cuts = np.flatnonzero((np.diff(open_at) > 1) | (text[open_at[1:]] != text[open_at[:-1]])) + 1
-    for stretch in np.split(open_at, cuts):
-        a, b = int(stretch[0]), int(stretch[-1])
-        inner = a > 0 and text[a - 1] == text[a]
-        outer = b + 1 < n and text[b + 1] == text[b]
-        tags[a: b + 1] = viterbi(
-            score[a: b + 1].astype(float), field.moves, field.moves[O] if inner else field.first,
-            field.moves[:, O] if outer else np.zeros(3),
-        )
+    cuts = np.flatnonzero((np.diff(open_at) > 1) | (text[open_at[1:]] != text[open_at[:-1]]))
+    first, last = open_at[np.concatenate([[0], cuts + 1])], open_at[np.concatenate([cuts, [len(open_at) - 1]])]
+    order = np.argsort(first - last, kind="stable")  # the longest first, so that those still going are the first ones
+    first, last = first[order], last[order]
+    inner = (first > 0) & (text[first - 1] == text[first])
+    after = np.minimum(last + 1, n - 1)
+    outer = (last + 1 < n) & (text[after] == text[last])
+    best = score[first].astype(float) + np.where(inner[:, None], field.moves[O], field.first)
+    size, came = last - first + 1, []
+    for step in range(1, int(size[0])):
+        going = int(np.searchsorted(-size, -step, "left"))
+        options = best[:going, :, None] + field.moves
+        came.append(options.argmax(1).astype(np.int8))
+        best[:going] = options.max(1) + score[first[:going] + step]
+    tag = (best + np.where(outer[:, None], field.moves[:, O], 0.0)).argmax(1)
+    for step in range(len(came), 0, -1):
+        pointers = came[step - 1]
+        going = len(pointers)
+        tags[first[:going] + step] = tag[:going]
+        tag[:going] = pointers[np.arange(going), tag[:going]]
+    tags[first] = tag
     return tags
 
 
