@@ -17,7 +17,7 @@ from ..sources.sinks import start_append
 from ..sources.storage import stage
 
 DASHBOARD_INTERVAL = "60 seconds"
-GOLD_BUCKETS = 64  # pieces of gold that are rewritten on their own
+GOLD_BUCKETS = 32  # pieces of gold that are rewritten on their own
 _PARTS = T.StructType(
     [T.StructField(c, T.StringType()) for c in PART_KEYS]
     + [T.StructField(c, T.LongType()) for c in ("_calls", "_rows", "_workers")] + [T.StructField("_violence", T.IntegerType())]
@@ -88,11 +88,6 @@ def _read_buckets(spark: SparkSession, folder: str, kind: str, schema: T.StructT
     return spark.read.schema(schema).parquet(*[f"{folder}/{kind}/{run}/bucket={b}" for b, run in sorted(runs.items())])
 
 
-def _write_buckets(df: DataFrame, path: str) -> None:
-    # adaptive execution deals the rows by bucket, and splits what comes out too large
-    df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
-
-
 def refresh_gold(
     silver: DataFrame, folder: str, checkpoint: str, once: bool = False, interval: str = DASHBOARD_INTERVAL,
     buckets: int = GOLD_BUCKETS,
@@ -117,10 +112,12 @@ def refresh_gold(
         run = f"run-{uuid.uuid4().hex}"
         if touched:
             held = _read_buckets(spark, folder, "parts", _PARTS, {b: runs[b] for b in touched if b in runs})
-            merged = merge_parts(new.select(*_PARTS.fieldNames()).unionByName(held))
-            _write_buckets(merged.select("*", bucket), f"{folder}/parts/{run}")
-            now = _read_buckets(spark, folder, "parts", _PARTS, dict.fromkeys(touched, run))
-            _write_buckets(score_hotspots(hotspots_of_parts(now)).select("*", bucket), f"{folder}/gold/{run}")
+            # dealt by bucket once: neither the sums nor the files of a bucket need another shuffle
+            both = new.unionByName(held.select("*", bucket)).repartition("bucket")
+            merge_parts(both, ("bucket",)).write.partitionBy("bucket").parquet(f"{folder}/parts/{run}")
+            now = _read_buckets(spark, folder, "parts", _PARTS, dict.fromkeys(touched, run)).select("*", bucket)
+            gold = score_hotspots(hotspots_of_parts(now.repartition("bucket"), ("bucket",)))
+            gold.write.partitionBy("bucket").parquet(f"{folder}/gold/{run}")
         rows = sorted({**runs, **dict.fromkeys(touched, run)}.items())
         listed = spark.createDataFrame(rows, _VERSION).coalesce(1)
         listed.write.mode("overwrite").parquet(f"{folder}/versions/batch-{number}")
