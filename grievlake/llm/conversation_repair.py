@@ -10,12 +10,12 @@ lowest price behind it, so that the work grows with the length of the conversati
 distances to the end: an arc is tight if the prices of its ends differ by its cost, and the first tight arc in ASCII
 order, node by node, spells the least of the cheapest edit strings.
 
-Rows get a number in the order of (conversation, turn, role, hash of the text) by a range sort, and are written once. Only one
+Rows get a number in the order of (conversation, turn, role, text) by a range sort, and are written once. Only one
 letter a row (role and fault) goes to the task of its conversation, as short as the edit string that the result holds
 in one value anyhow; texts are joined to the edits by row number, and hashed row by row in order, never held together.
 
 Nulls in any column count as one space, but a null turn stays null and comes first, and a null conversation is one of
-its own. Equal turns are ordered by role, then by a hash of the text, so repeated rows are adjacent. Blank texts
+its own. Equal turns are ordered by role and the first ``TIE_CHARS`` of the text, then by its hash, so repeated rows are adjacent. Blank texts
 must go, and so must rows that repeat an earlier role and text. Very long texts stay one value of one row. An empty
 table gives an empty result; other columns are ignored.
 """
@@ -37,6 +37,7 @@ WHITE_SPACE = " \t\n\v\f\r"
 FAULTS = ("none", "blank", "duplicate", "truncated")
 RUN_BITS = 12  # letters are joined in runs of 4,096 rows before they go to their conversation
 STRIP = 16
+TIE_CHARS = 256
 _START, _SYSTEM, _USER, _ASSISTANT = range(4)
 _ROLES = {_USER: "user", _ASSISTANT: "assistant"}
 _NEXT = (_USER, _USER, _ASSISTANT, _USER)  # what may follow each state, other than an opening system turn
@@ -206,7 +207,8 @@ def _numbered(turns: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     rows = turns.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"))
     order = [
-        F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.xxhash64("text").asc(),
+        F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc(),
+        F.left("text", F.lit(TIE_CHARS)).asc(), F.xxhash64("text").asc(),
     ]
     # equal rows are told apart so that even they can be dealt to several tasks
     tied = rows.withColumn("_tie", F.monotonically_increasing_id())

@@ -87,7 +87,6 @@ def by_hand(turns):
         conversations[conv] += [(turn, role, text)] * (2 if draw == 3 else 1)
     out = {}
     for conv, rows in conversations.items():
-        # rows of equal turn and role stand in the order of a hash: the cases avoid different texts there
         rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
         seen, word, faults = set(), "", []
         for _, role, text in rows:
@@ -138,22 +137,11 @@ def drawn_turns():
             role = draw.choice(["system", "user", "assistant", "user", "assistant", "tool", "", None])
             text = draw.choice(["Fine.", "no end", "What? ", " \t", None, "é! \n", f"own {turn}."])
             turns.append((conv, draw.choice([turn, turn, turn + 3, None]) if turn % 4 == 3 else turn, role, text))
-    keyed = {}
-    for t in turns:  # one text for rows of equal conversation, turn and role
-        keyed[t[0], t[1], "user" if t[2] is None else t[2]] = t
-    return list(keyed.values())
-
-
-def without_tied_roles(turns):
-    """Damage sets some roles to user: turns that would then be tied with another text go."""
-    groups = {}
-    for t in turns:
-        groups.setdefault(t[:2], []).append(t)
-    return [t for rows in groups.values() for t in (rows if len(rows) == 1 else rows[:1])]
+    return turns + turns[::9]
 
 
 def test_query_columns_equal_the_contract(spark):
-    turns = without_tied_roles(drawn_turns())
+    turns = drawn_turns()
     want = by_hand(turns)
     got = repaired(spark, turns)
     assert got == {c: v for c, v in want.items() if v[6] or c in got}
@@ -175,7 +163,7 @@ def test_repeated_rows_and_empty_table(spark):
 
 
 def test_repaired_turns_alternate(spark):
-    summary, lines = cr.repair(spark.createDataFrame(without_tied_roles(drawn_turns()), SCHEMA))
+    summary, lines = cr.repair(spark.createDataFrame(drawn_turns(), SCHEMA))
     assert lines.columns == ["conv_id", "line", "role", "text"]
     talks = {}
     for r in sorted(lines.collect(), key=lambda r: (str(r["conv_id"]), r["line"])):
