@@ -18,6 +18,7 @@ from ..sources.storage import stage
 
 DASHBOARD_INTERVAL = "60 seconds"
 GOLD_BUCKETS = 32  # pieces of gold that are rewritten on their own
+SLICE_ROWS = 100_000  # parts that one slice of a bucket should hold
 _PARTS = T.StructType(
     [T.StructField(c, T.StringType()) for c in PART_KEYS]
     + [T.StructField(c, T.LongType()) for c in ("_calls", "_rows", "_workers")] + [T.StructField("_violence", T.IntegerType())]
@@ -88,6 +89,14 @@ def _read_buckets(spark: SparkSession, folder: str, kind: str, schema: T.StructT
     return spark.read.schema(schema).parquet(*[f"{folder}/{kind}/{run}/bucket={b}" for b, run in sorted(runs.items())])
 
 
+def _deal(parts: DataFrame, slices: int, buckets: int) -> DataFrame:
+    """Parts dealt by bucket and, within it, by slices of whole hotspots, so that a task's share does not grow with the
+    bucket. Neither the sums nor the hotspots of the dealt rows need another shuffle."""
+    sliced = parts.withColumn("_slice", F.pmod(F.hash(*KEYS), F.lit(slices)))
+    dealt_by = ("bucket", "_slice")
+    return sliced.repartition(*dealt_by) if slices == 1 else sliced.repartition(slices * buckets, *dealt_by)
+
+
 def refresh_gold(
     silver: DataFrame, folder: str, checkpoint: str, once: bool = False, interval: str = DASHBOARD_INTERVAL,
     buckets: int = GOLD_BUCKETS,
@@ -112,11 +121,12 @@ def refresh_gold(
         run = f"run-{uuid.uuid4().hex}"
         if touched:
             held = _read_buckets(spark, folder, "parts", _PARTS, {b: runs[b] for b in touched if b in runs})
-            # dealt by bucket once: neither the sums nor the files of a bucket need another shuffle
-            both = new.unionByName(held.select("*", bucket)).repartition("bucket")
-            merge_parts(both, ("bucket",)).write.partitionBy("bucket").parquet(f"{folder}/parts/{run}")
+            both = new.unionByName(held.select("*", bucket))
+            slices = -(-both.count() // (SLICE_ROWS * len(touched)))  # the files know their numbers of rows
+            merged = merge_parts(_deal(both, slices, len(touched)), ("bucket", "_slice")).drop("_slice")
+            merged.write.partitionBy("bucket").parquet(f"{folder}/parts/{run}")
             now = _read_buckets(spark, folder, "parts", _PARTS, dict.fromkeys(touched, run)).select("*", bucket)
-            gold = score_hotspots(hotspots_of_parts(now.repartition("bucket"), ("bucket",)))
+            gold = score_hotspots(hotspots_of_parts(_deal(now, slices, len(touched)), ("bucket", "_slice")))
             gold.write.partitionBy("bucket").parquet(f"{folder}/gold/{run}")
         rows = sorted({**runs, **dict.fromkeys(touched, run)}.items())
         listed = spark.createDataFrame(rows, _VERSION).coalesce(1)

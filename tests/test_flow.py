@@ -305,6 +305,24 @@ def test_several_batches_in_one_run_and_a_repeated_batch(spark, tmp_path, rows):
     shutil.rmtree(newest)
 
 
+def test_a_large_bucket_is_dealt_over_several_tasks(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(jobs, "SLICE_ROWS", 10, raising=False)
+    folder, gold, checkpoint = (str(tmp_path / n) for n in ("silver", "gold", "checkpoint"))
+    calls = spark.range(200).select(
+        F.col("id").cast("string").alias("call_id"), (F.col("id") % 40).cast("string").alias("pincode"),
+        F.lit("C").alias("contractor_name"), (F.col("id") % 3).cast("string").alias("issue_type"),
+        F.lit("S").alias("work_site"), F.lit(False).alias("violence_threatened"), F.lit(1).alias("worker_count_mentioned"),
+    )
+    for _ in range(2):
+        sinks.append(calls, folder)
+        jobs.refresh_gold(jobs.stream_table(spark, folder, calls.schema), gold, checkpoint, once=True, buckets=1)
+        seen = spark.read.parquet(folder)
+        current = jobs.read_current_gold(spark, gold)
+        assert rows(current) == rows(build_gold(seen))
+        # a task writes one file of the only bucket: several tasks have shared it
+        assert len(current.inputFiles()) > 3
+
+
 def test_old_gold_versions_go_only_when_asked(spark, tmp_path, rows):
     folder, gold, checkpoint = (str(tmp_path / n) for n in ("silver", "gold", "checkpoint"))
     schema = silver_of(spark, SIX_CALLS[:1]).schema
