@@ -62,26 +62,30 @@ def _read_object(candidate: Column, fields: list[str]) -> Column:
 
 
 def _python_literals_to_json(candidate: Column) -> Column:
-    """Strings stay as they are: the literals are looked for between them."""
+    """Strings stay as they are: the literals are looked for between them, so a JSON object does not change."""
     def outside(piece: Column) -> Column:
+        # what follows a literal is not part of its match, so neighbours in a list are found in one pass
         for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
-            # neighbours in a list share a comma, so every other one is left to a second pass
-            for _ in range(2):
-                piece = F.regexp_replace(piece, _PY_VALUE % python, "$1" + json)
+            piece = F.regexp_replace(piece, _PY_VALUE % python, "$1" + json)
         return piece
 
+    def joined(both: Column) -> Column:
+        parts, strings = both["parts"], both["strings"]
+        text = F.array_join(F.zip_with(parts, strings, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+        # a quote without its partner: the text is no object either way
+        return F.when(F.size(parts) == F.size(strings) + 1, text)
+
     # a string takes part as one mark, so that what stands around it still reads as one text
     strings = F.regexp_extract_all(candidate, F.lit(_STRING), F.lit(0))
     parts = F.split(outside(F.regexp_replace(candidate, _STRING, '"')), '"')
-    joined = F.array_join(F.zip_with(parts, strings, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    # a quote without its partner: the text is no object either way
-    return F.when(F.size(parts) == F.size(strings) + 1, joined).otherwise(candidate)
+    return F.coalesce(bind(F.struct(parts.alias("parts"), strings.alias("strings")), joined), candidate)
 
 
 def outer_braces(raw: Column | str) -> Column:
     """The span from the first ``{`` to the last ``}`` after dropping thinking text and fences."""
-    answer = F.substring_index(as_column(raw), "</think>", -1)
-    unfenced = F.regexp_replace(answer, r"```(?:json)?", "")
+    raw = as_column(raw)
+    answer = F.substring_index(raw, "</think>", -1)
+    unfenced = F.when(F.contains(raw, F.lit("```")), F.regexp_replace(answer, r"```(?:json)?", "")).otherwise(answer)
     return F.regexp_extract(unfenced, r"(?s)\{.*\}", 0)
 
 
@@ -95,27 +99,35 @@ def between_fences(raw: Column | str) -> Column:
 def parse_entities(raw: Column | str, repair: bool = True) -> Column:
     """Entity struct of text fields; null when no object can be read."""
     names = ENTITIES.fieldNames()
-    if not repair:
-        return _read_object(outer_braces(raw), names)
 
     def read(candidate: Column) -> Column:
-        again = F.when(candidate.rlike(_PY_VALUE % "(?:True|False|None)"), _python_literals_to_json(candidate))
-        return bind(_read_object(candidate, names), lambda p: F.coalesce(p, _read_object(again, names)))
+        return _read_object(candidate, names)
+
+    if not repair:
+        return bind(outer_braces(raw), read)
+
+    def repaired(candidate: Column) -> Column:
+        # what is JSON already stays as it is: one reading does for both
+        literals = candidate.rlike(_PY_VALUE % "(?:True|False|None)")
+        return bind(F.when(literals, _python_literals_to_json(candidate)).otherwise(candidate), read)
 
-    return bind(outer_braces(raw), read)
+    return bind(outer_braces(raw), repaired)
 
 
 def coerce_entities(parsed: Column) -> Column:
     """Typed entity struct. Absent or unusable fields take their defaults, whatever the others hold."""
-    flag = F.lower(strip(parsed["violence_threatened"]))
+    stated = parsed["violence_threatened"]
+    flag = F.lower(strip(stated))
     workers = parsed["worker_count_mentioned"]
+    # a text without a digit is no number; to find that out by casting costs an exception for each
+    count = F.when(workers.rlike("[0-9]"), F.coalesce(workers.try_cast("int"), workers.try_cast("double").try_cast("int")))
     return F.struct(
         F.coalesce(parsed["contractor_name"], F.lit(fixed.UNKNOWN)).alias("contractor_name"),
         F.coalesce(parsed["work_site"], F.lit(fixed.UNKNOWN)).alias("work_site"),
         F.coalesce(parsed["issue_type"], F.lit(fixed.OTHER_ISSUE)).alias("issue_type"),
-        F.coalesce(~flag.isin("", "false", "0", "0.0", "[]", "{}"), F.lit(False)).alias("violence_threatened"),
-        F.coalesce(workers.try_cast("int"), workers.try_cast("double").try_cast("int"), F.lit(0))
-        .alias("worker_count_mentioned"),
+        F.when(stated == "true", True).when(stated == "false", False)
+        .otherwise(F.coalesce(~flag.isin("", "false", "0", "0.0", "[]", "{}"), F.lit(False))).alias("violence_threatened"),
+        F.coalesce(count, F.lit(0)).alias("worker_count_mentioned"),
     )
 
 

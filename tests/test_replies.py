@@ -149,3 +149,14 @@ def test_literals_in_lists_and_inside_strings(spark):
     got = {r.k: (r.contractor_name, r.work_site, r.violence_threatened) for r in with_entities(df).collect()}
     assert got[0][0] == "R" and got[1] == ("S", "gate: True, west", True)
     assert got[2][0] == "UNKNOWN" and got[3][0] == "C" and got[4][0] == "UNKNOWN" and got[5][0] == "UNKNOWN"
+
+
+def test_a_reply_is_read_once(spark):
+    raw = ['{"contractor_name":"say, True, or, None, so","flags":[True,True, None,None,False]}', '{"worker_count_mentioned":" 1e1 "}',
+           '{"worker_count_mentioned":"NaN","violence_threatened":" TRUE "}', '{"contractor_name":"a, True, b"}']
+    df = with_entities(spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k int, raw string"))
+    got = {r.k: (r.contractor_name, r.violence_threatened, r.worker_count_mentioned, r.parse_status) for r in df.collect()}
+    assert got == {0: ("say, True, or, None, so", False, 0, "ok"), 1: ("UNKNOWN", False, 10, "ok"),
+                   2: ("UNKNOWN", True, 0, "ok"), 3: ("a, True, b", False, 0, "ok")}
+    # a second reading, and the exception of the first, cost more than all else
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
