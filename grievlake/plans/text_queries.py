@@ -96,9 +96,10 @@ SELECT call_id, md5(min('{{"contractor_name":"' || contractor_name || '","work_s
 FROM complaints WHERE worker_count_mentioned = 7 GROUP BY call_id""")
 def failed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies that were cut off were asked for again; those with left-over text are the ones that failed."""
-    first = replies(spark, sf_dir)
-    again = first.filter(~F.endswith("raw", F.lit("}"))).select("call_id", F.concat("raw", F.lit("}")).alias("raw"))
-    failed = calls.failed_replies(calls.read_replies(first.unionByName(again)))
+    once = F.array("raw")
+    twice = F.when(F.endswith("raw", F.lit("}")), once).otherwise(F.array("raw", F.concat("raw", F.lit("}"))))
+    given = replies(spark, sf_dir).select("call_id", F.explode(twice).alias("raw"))
+    failed = calls.failed_replies(calls.read_replies(given))
     return failed.select("call_id", F.md5("raw").alias("raw_digest"))
 
 
