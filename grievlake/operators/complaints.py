@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,14 @@ ISSUE_PATTERNS = [
     (r"\b(wages?|salary|money|paid|payment)\b", "WAGE_THEFT"),
 ]
 VIOLENCE_PATTERN = r"\b(threat\w*|beat\w*|hit|assault\w*|kill\w*)\b"
+# every text that matches a pattern holds one of these as it is: a plain search spares most texts the pattern
+WORD_STEMS = {
+    "PHYSICAL_ASSAULT": ("assault", "beaten", "hit", "slapped", "struck"),
+    "WRONGFUL_TERMINATION": ("fired", "terminat", "dismiss", "without notice"),
+    "UNSAFE_CONDITIONS": ("unsafe", "safety", "helmet", "accident"),
+    "WAGE_THEFT": ("wage", "salary", "money", "paid", "payment"),
+}
+VIOLENCE_STEMS = ("threat", "beat", "hit", "assault", "kill")
 COUNT_PATTERN = r"(\d+)\s+(?:workers?|labou?rers?|mazdoors?)"
 CONTRACTOR_PATTERN = r"(?i:contractor|supervisor)\s+([A-Z][a-z]+)"
 SITE_PATTERN = r"\bat\s+(?:the\s+)?([A-Z]\w+(?:\s+\w+){0,2})\s+site\b"
@@ -61,8 +70,13 @@ def untranslated(df: DataFrame, memory: DataFrame, text: str = "raw_text") -> Da
         known, "_digest", "left_anti").select("source_text")
 
 
+def _matches(text: Column, pattern: str, stems: tuple[str, ...]) -> Column:
+    holds = reduce(lambda a, b: a | b, [F.contains(text, F.lit(stem)) for stem in stems])
+    return F.when(holds, text.rlike(_UNICODE + pattern)).otherwise(False)
+
+
 def issue_of(text: Column) -> Column:
-    found = [F.when(text.rlike(_UNICODE + pattern), F.lit(issue)) for pattern, issue in ISSUE_PATTERNS]
+    found = [F.when(_matches(text, pattern, WORD_STEMS[issue]), F.lit(issue)) for pattern, issue in ISSUE_PATTERNS]
     return F.coalesce(*found, F.lit(fixed.OTHER_ISSUE))
 
 
@@ -79,7 +93,7 @@ def entities_of(text: Column | str) -> Column:
         named(CONTRACTOR_PATTERN).alias("contractor_name"),
         named(SITE_PATTERN).alias("work_site"),
         issue_of(lower).alias("issue_type"),
-        F.coalesce(lower.rlike(_UNICODE + VIOLENCE_PATTERN), F.lit(False)).alias("violence_threatened"),
+        _matches(lower, VIOLENCE_PATTERN, VIOLENCE_STEMS).alias("violence_threatened"),
         F.coalesce(count, F.lit(0)).alias("worker_count_mentioned"),
     )
 

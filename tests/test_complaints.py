@@ -190,3 +190,21 @@ def test_notices(spark):
     assert "in the past 48 hours" in notices.show_cause_notice(chosen, long=True).first()["notice"]
     assert notices.notice_candidates(df).count() == 1
     assert notices.notice_requests(chosen).filter(F.col("prompt").contains("in 48 hours: 15")).count() == 1
+
+
+def test_stems_stand_in_every_text_that_matches(spark):
+    import re
+
+    words = ["assaulted", "beaten", "hit", "slapped", "struck", "fired", "terminated", "dismissal", "without notice", "unsafe",
+             "safety", "helmet", "accident", "wage", "wages", "salary", "money", "paid", "payment", "threats", "beating", "killed", "white"]
+    for pattern, stems in [(p, calls.WORD_STEMS[i]) for p, i in calls.ISSUE_PATTERNS] + [
+        (calls.VIOLENCE_PATTERN, calls.VIOLENCE_STEMS)
+    ]:
+        matched = [w for w in words if re.search(pattern, f"he was {w}.")]
+        assert matched and all(any(s in w for s in stems) for w in matched)
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "english_text string")
+    got = {r.english_text: (r.issue_type, r.violence_threatened) for r in calls.extract_entities(df).collect()}
+    for word in words:
+        issue = next((i for p, i in calls.ISSUE_PATTERNS if re.search(p, word)), "OTHER")
+        assert got[word] == (issue, bool(re.search(calls.VIOLENCE_PATTERN, word)))
+    assert got[None] == ("OTHER", False)
