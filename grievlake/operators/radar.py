@@ -9,7 +9,7 @@ from .. import fixed_values as fixed
 from ..functions.scores import high_priority, marker_radius, marker_tooltip, score_to_urgency, style_columns
 from ..functions.shape import ensure_columns, rename_if_present
 from ..functions.text import fill_template, lookup
-from .hotspots import KEYS, aggregate_with_primary_issue, score_hotspots
+from .hotspots import KEYS, scores_with_primary_issue
 
 
 def primary_issue(silver: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def build_radar(silver: DataFrame, gold: DataFrame, places: DataFrame | None = N
 
 
 def radar_from_silver(silver: DataFrame, places: DataFrame | None = None) -> DataFrame:
-    """The same from complaints alone: gold and primary issue come from one aggregate, without a join."""
-    return _radar_of(score_hotspots(aggregate_with_primary_issue(silver)), places)
+    """The same from complaints alone: scores and primary issue come from one aggregate, without a join."""
+    return _radar_of(scores_with_primary_issue(silver), places)
 
 
 def _radar_of(joined: DataFrame, places: DataFrame | None) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import audit, notices, radar
 from ..operators.calls import assign_call_ids, call_records, run_scoped_ids
 from ..operators.recency import complaints_48h
 from ..schemas import CALLS, CHUNKS, SCHEMES, SILVER
-from ..sources import readers, sinks
+from ..sources import readers, sinks, text_files
 from ..sources.storage import new_folder, stage
 from ..streaming import jobs
 from .hotspot_queries import flat_gold, radar_of
@@ -326,10 +326,9 @@ def notices_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One exported text file per contractor, read back whole."""
     folder = new_folder(spark, "notices")
     sinks.write_notices(notices.show_cause_notice(notices.notice_target(radar_of(spark, sf_dir))), folder)
-    files = spark.read.option("pathGlobFilter", "notice_*.txt").text(folder, wholetext=True)
+    files = text_files.read_text_files(spark, folder, "notice_*.txt")
     line = lambda n: F.get(F.split("value", "\n"), F.lit(n))
-    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))  # stated as part of an address
-    return files.select(name.alias("file_name"), line(0).alias("first_line"), line(1).alias("second_line"))
+    return files.select("file_name", line(0).alias("first_line"), line(1).alias("second_line"))
 
 
 @query("notices_without_file", f"""{_TARGET_SQL}

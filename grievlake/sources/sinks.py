@@ -97,11 +97,13 @@ def notice_files(notices: DataFrame, text: str = "notice") -> tuple[DataFrame, D
     a missing name or one with a slash has none.
     """
     keyed = notices.select("contractor_name", notice_key().alias("file_key"), F.col(text).alias("value"))
-    claims = keyed.groupBy(F.col("file_key").alias("_claimed")).agg(F.count(F.lit(1)).alias("_claims"))
-    own = F.coalesce(~F.contains("file_key", F.lit("/")), F.lit(False)) & (F.col("_claims") == 1)
-    joined = keyed.join(claims, F.col("file_key").eqNullSafe(F.col("_claimed")))
-    files = joined.filter(own).select(F.concat("file_key", F.lit(".txt")).alias("file_name"), "value")
-    return files, joined.filter(~own).select("contractor_name", "file_key")
+    named = F.coalesce(~F.contains("file_key", F.lit("/")), F.lit(False))
+    # the files come from one pass over the notices: of a key that is claimed once, the only text is the largest, too
+    claims = keyed.groupBy("file_key").agg(F.count(F.lit(1)).alias("_claims"), F.max("value").alias("value"))
+    files = claims.filter(named & (F.col("_claims") == 1)).select(F.concat("file_key", F.lit(".txt")).alias("file_name"), "value")
+    counts = claims.select(F.col("file_key").alias("_claimed"), "_claims")
+    joined = keyed.join(counts, F.col("file_key").eqNullSafe(F.col("_claimed")))
+    return files, joined.filter(~named | (F.col("_claims") > 1)).select("contractor_name", "file_key")
 
 
 def write_notices(notices: DataFrame, folder: str, text: str = "notice") -> DataFrame:

@@ -10,7 +10,7 @@ from grievlake.fixed_values import DEMO_RADAR, DEMO_SCENARIOS
 from grievlake.operators import audit
 from grievlake.operators.hotspots import build_gold
 from grievlake.schemas import CALLS, CHUNKS, RADAR, SCENARIOS, SCHEMES
-from grievlake.sources import readers, sinks, storage
+from grievlake.sources import readers, sinks, storage, text_files
 from grievlake.streaming import jobs
 from tests.test_hotspots import SIX_CALLS, silver_of
 
@@ -127,6 +127,22 @@ def test_exported_notices(spark, tmp_path, rows):
     assert (tmp_path / "n" / "notice_A.txt").read_text() == "new"
 
 
+def test_notice_files_take_one_pass_over_the_notices(spark):
+    df = spark.createDataFrame([("A", "x"), ("M K", "1"), ("M_K", "2"), (None, "n")], "contractor_name string, notice string")
+    files, _ = sinks.notice_files(df)
+    assert [tuple(r) for r in files.collect()] == [("notice_A.txt", "x")]
+    plan = files._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_files_by_name_are_read_whole(spark, tmp_path, rows):
+    wanted = [("notice_A.txt", "one\ntwo\n"), ("notice_Z#1_+ é%20.txt", "मज़दूर\r\nx")]
+    others = [("other.txt", "o"), ("notice_empty.txt", "")]
+    folder = str(tmp_path / "n")
+    text_files.write_text_files(spark.createDataFrame([*wanted, *others], "file_name string, value string"), folder)
+    assert rows(text_files.read_text_files(spark, folder, "notice_*.txt")) == sorted(wanted, key=repr)
+
+
 def test_a_repeated_task_leaves_one_whole_file(tmp_path):
     from grievlake.sources.text_files import _OneFilePerRow
 

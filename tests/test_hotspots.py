@@ -181,3 +181,11 @@ def test_urgency_steps(spark):
 def test_radar_in_one_pass_equals_the_join(spark, rows):
     silver = silver_of(spark, SIX_CALLS)
     assert rows(radar.radar_from_silver(silver)) == rows(radar.build_radar(silver, hotspots.build_gold(silver)))
+
+
+def test_radar_from_complaints_does_not_group_by_site(spark, rows):
+    calls = SIX_CALLS + [("x", "400053", "Rajesh", None, None, None), ("8", "400053", "Nobody", None, None, None)]
+    silver = silver_of(spark, calls).withColumn("call_id", F.nullif("call_id", F.lit("x")))
+    radar_rows = radar.radar_from_silver(silver)
+    assert rows(radar_rows) == rows(radar.build_radar(silver, hotspots.build_gold(silver)))
+    assert radar_rows._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # by issue, then by hotspot
